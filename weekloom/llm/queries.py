@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm import bpe, mixing, simhash
+from weekloom.llm import ann, bpe, html_extract, line_dedup, mixing, pii, quality_classifier, quality_rules, secrets, simhash
 from weekloom.llm.common import table
 
 _W = "'[^\\x20\\x09-\\x0D]+'"
@@ -23,23 +23,62 @@ def vocabulary() -> str:
     return str(found)
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20, by best-bin-first search."""
+    return ann.search(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, k=20)
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text."""
+    return secrets.secrets(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document less the lines that an earlier line equals or nearly equals."""
+    return line_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", F.col("n_lines").cast("long"), F.col("n_dropped").cast("long"), "text")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text."""
+    return pii.find(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded by the tokenization automaton."""
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary()).withColumnRenamed("id", "doc_id")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of the quality rules on every document."""
+    found = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance", 4).alias("distance"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    found = quality_classifier.scores(docs, model)
+    return found.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= quality_classifier.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents by capped water-filling."""
     found = mixing.mix(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 OP9_SQL = f"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, {_W})), 0)::BIGINT AS size, md5('42|' || coalesce(doc_id::VARCHAR, '-')) AS k
@@ -58,5 +97,5 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
-QUERIES = {"op5_bpe": op5_bpe, "op7_simhash": op7_simhash, "op9_mixing": op9_mixing}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_secrets, op3_line_dedup, op4_pii, op5_bpe, op6_quality_rules, op7_simhash, op8_quality_classifier, op9_mixing, op10_html)}
 ORACLES = {"op9_mixing": OP9_SQL}
