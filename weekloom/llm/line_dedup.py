@@ -30,17 +30,16 @@ DENSE_SEGMENT = 64
 BROADCAST_ROWS = 1_000_000
 
 
-def _segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
-    """(start, length) of segment ``i`` of ``k + 1`` even ones, the longer ones last; start from 0."""
-    n = k + 1
-    short, longer = F.floor(length / n).cast("int"), F.pmod(length, F.lit(n))
-    first_long = F.lit(n) - longer
-    return i * short + F.greatest(F.lit(0), F.lit(i) - first_long), short + F.when(F.lit(i) >= first_long, 1).otherwise(0)
-
-
-def _key(line: Column, length: Column, i: int, shift: int, k: int) -> Column:
-    start, size = _segment(length, i, k)
-    return F.xxhash64(length, F.lit(i), F.substring(line, start + shift + 1, size))
+def _keys(lines: DataFrame, places: list[tuple[int, int, int]], k: int, *carry: str) -> DataFrame:
+    """(carry, d, key) for each line and place (characters shorter, segment, shift). Of the ``k + 1``
+    even segments of a length the longer ones come last. Places are rows before the key is made, so
+    that the code for it stays small enough to be compiled."""
+    spots = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("s")) for d, i, s in places])
+    rows = lines.select(*carry, "line", F.length("line").alias("n"), F.explode(spots).alias("p")).select(*carry, "line", (F.col("n") - F.col("p.d")).alias("n"), "p.d", "p.i", "p.s")
+    short, first_long = F.expr(f"n div {k + 1}").cast("int"), F.expr(f"{k + 1} - n % {k + 1}")
+    start = F.col("i") * short + F.greatest(F.lit(0), F.col("i") - first_long) + F.col("s") + 1
+    size = short + (F.col("i") >= first_long).cast("int")
+    return rows.select(*carry, "d", F.xxhash64("n", "i", F.substring(F.col("line"), start, size)).alias("key"))
 
 
 def _probes(k: int) -> list[tuple[int, int, int]]:
@@ -68,49 +67,62 @@ def edit_distance(a: Column, b: Column, k: int = THRESHOLD) -> Column:
     One word of 2k + 1 bits holds the differences along the band's column; each character of the
     shorter string moves the band one place down (Hyyrö's recurrences). Two equal characters are put
     before both strings, which the band's first columns need."""
+    longer, shorter = F.when(F.length(a) >= F.length(b), a).otherwise(b), F.when(F.length(a) >= F.length(b), b).otherwise(a)
+    pad = F.lit("\x01" * k)
+    # an expression language without let: a one-element array is bound by a lambda. Rows are read
+    # through the binding and not carried along, since what a lambda returns is copied.
+    bound = F.array(F.struct(F.split(F.concat(pad, longer), "").alias("rows"), F.split(F.concat(pad, shorter), "").alias("cols")))
+    found = F.element_at(F.transform(bound, lambda s: _banded(s["rows"], s["cols"], k)), 1)
+    return F.when(F.abs(F.length(a) - F.length(b)) > k, F.lit(k + 1)).otherwise(found)
+
+
+def _banded(rows: Column, cols: Column, k: int) -> Column:
+    """The distance of two arrays of characters, of which ``rows`` is not the shorter."""
     w = 2 * k + 1
     full, high = (1 << w) - 1, 1 << (w - 1)
-    pad = "\x01" * k
-    longer, shorter = F.when(F.length(a) >= F.length(b), a).otherwise(b), F.when(F.length(a) >= F.length(b), b).otherwise(a)
-    rows, cols = F.split(F.concat(F.lit(pad), longer), ""), F.split(F.concat(F.lit(pad), shorter), "")
+    marks = F.array(*[F.lit(1 << max(0, w - 2 - e)) for e in range(k + 1)])
 
     def bits(x: Column, y: Column) -> Column:
         return x.bitwiseAND(y)
 
     def step(acc: Column, c: Column) -> Column:
-        j, vp, vn, d = acc["j"], acc["vp"], acc["vn"], acc["d"]
         match = F.lit(0)
         for bit in range(w):
-            at = j + F.lit(k + 1 - w + bit)  # row of this bit
-            match = match + F.when((at >= 0) & F.equal_null(F.get(acc["rows"], at), c), F.lit(1 << bit)).otherwise(0)
-        inner = F.struct(j.alias("j"), vp.alias("vp"), vn.alias("vn"), d.alias("d"), acc["rows"].alias("rows"), match.alias("x"))
-        # the let-bindings of an expression language without let: one-element arrays
-        first = F.transform(F.array(inner), lambda s: F.struct(s.alias("s"), bits(((bits(s["x"], s["vp"]) + s["vp"]).bitwiseXOR(s["vp"])).bitwiseOR(s["x"]).bitwiseOR(s["vn"]), F.lit(full)).alias("d0")))
-        second = F.transform(first, lambda t: F.struct(t["s"].alias("s"), t["d0"].alias("d0"), bits(t["s"]["vn"].bitwiseOR(F.bitwise_not(t["d0"].bitwiseOR(t["s"]["vp"]))), F.lit(full)).alias("hp"), bits(t["d0"], t["s"]["vp"]).alias("hn")))
-
-        def last(u: Column) -> Column:
-            s, d0, hp, hn = u["s"], u["d0"], u["hp"], u["hn"]
-            down = F.shiftright(d0, 1)
-            past = s["j"] - (F.size(s["rows"]) - k)  # below zero on the diagonal, then along the last row
-            mark = F.element_at(F.array(*[F.lit(1 << max(0, w - 2 - e)) for e in range(k + 1)]), F.greatest(F.lit(0), F.least(past, F.lit(k))) + 1)
-            side = (bits(hp, mark) != 0).cast("int") - (bits(hn, mark) != 0).cast("int")
-            d = s["d"] + F.when(past < 0, (bits(d0, F.lit(high)) == 0).cast("int")).otherwise(side)
-            return F.struct((s["j"] + 1).alias("j"), bits(hn.bitwiseOR(F.bitwise_not(down.bitwiseOR(hp))), F.lit(full)).alias("vp"), bits(down, hp).alias("vn"), d.alias("d"), s["rows"].alias("rows"))
-
-        return F.element_at(F.transform(second, last), 1)
-
-    start = F.struct(F.lit(0).alias("j"), F.lit((full << (w - k - 1)) & full).alias("vp"), F.lit(0).alias("vn"), F.lit(k).alias("d"), rows.alias("rows"))
-    found = F.aggregate(cols, start, step, lambda acc: acc["d"])
-    return F.when(F.abs(F.length(a) - F.length(b)) > k, F.lit(k + 1)).otherwise(found)
+            at = acc["j"] + F.lit(k + 1 - w + bit)  # row of this bit
+            match = match + F.when((at >= 0) & (F.get(rows, at) == c), F.lit(1 << bit)).otherwise(0)
+        one = F.array(F.struct(acc["j"].alias("j"), acc["vp"].alias("vp"), acc["vn"].alias("vn"), acc["d"].alias("d"), match.alias("x")))
+
+        def diagonal(s: Column) -> Column:
+            d0 = bits(((bits(s["x"], s["vp"]) + s["vp"]).bitwiseXOR(s["vp"])).bitwiseOR(s["x"]).bitwiseOR(s["vn"]), F.lit(full))
+            return F.struct(s["j"].alias("j"), s["vp"].alias("vp"), s["vn"].alias("vn"), s["d"].alias("d"), d0.alias("d0"))
+
+        def moved(s: Column) -> Column:
+            hp = bits(s["vn"].bitwiseOR(F.bitwise_not(s["d0"].bitwiseOR(s["vp"]))), F.lit(full))
+            return F.struct(s["j"].alias("j"), s["d"].alias("d"), s["d0"].alias("d0"), hp.alias("hp"), bits(s["d0"], s["vp"]).alias("hn"), (s["j"] - (F.size(rows) - k)).alias("past"))
+
+        def last(s: Column) -> Column:
+            down = F.shiftright(s["d0"], 1)
+            mark = F.element_at(marks, F.greatest(F.lit(0), F.least(s["past"], F.lit(k))) + 1)
+            side = (bits(s["hp"], mark) != 0).cast("int") - (bits(s["hn"], mark) != 0).cast("int")
+            d = s["d"] + F.when(s["past"] < 0, (bits(s["d0"], F.lit(high)) == 0).cast("int")).otherwise(side)  # on the diagonal, then along the last row
+            return F.struct((s["j"] + 1).alias("j"), bits(s["hn"].bitwiseOR(F.bitwise_not(down.bitwiseOR(s["hp"]))), F.lit(full)).alias("vp"), bits(down, s["hp"]).alias("vn"), d.alias("d"))
+
+        return F.element_at(F.transform(F.transform(F.transform(one, diagonal), moved), last), 1)
+
+    start = F.struct(F.lit(0).alias("j"), F.lit((full << (w - k - 1)) & full).alias("vp"), F.lit(0).alias("vn"), F.lit(k).alias("d"))
+    # far above the bound nothing is worth computing
+    on = lambda acc, c: F.when(acc["d"] > 3 * k, acc).otherwise(step(acc, c))
+    return F.aggregate(cols, start, on, lambda acc: acc["d"])
 
 
 def _trimmed(pairs: DataFrame) -> DataFrame:
-    """``pairs`` with the middles ``x`` and ``y`` of the lines ``la`` and ``lb``."""
-    p = pairs.withColumn("pre", _common(F.col("la"), F.col("lb"), False))
-    for c in ("la", "lb"):
-        p = p.withColumn(c, F.substring(F.col(c), F.col("pre") + 1, F.length(c)))
-    p = p.withColumn("suf", _common(F.col("la"), F.col("lb"), True))
-    return p.withColumn("x", F.left("la", F.length("la") - F.col("suf"))).withColumn("y", F.left("lb", F.length("lb") - F.col("suf")))
+    """(a, b, x, y): the middles of the lines ``la`` and ``lb``. Each step is written: the next one
+    names its columns many times over, and a plan would repeat their making."""
+    p = written(pairs.withColumn("pre", _common(F.col("la"), F.col("lb"), False)), "prefix")
+    rest = [F.substring(F.col(c), F.col("pre") + 1, F.length(c)).alias(c) for c in ("la", "lb")]
+    p = written(p.select("a", "b", *rest), "rest")
+    p = written(p.withColumn("suf", _common(F.col("la"), F.col("lb"), True)), "suffix")
+    return written(p.select("a", "b", F.left("la", F.length("la") - F.col("suf")).alias("x"), F.left("lb", F.length("lb") - F.col("suf")).alias("y")), "middles")
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -129,13 +141,11 @@ def near_links(lines: DataFrame, k: int = THRESHOLD, dense: int = DENSE_SEGMENT)
     """Pairs (a, b) of structs (h, g): distinct lines within ``k`` edits. ``lines``: h, g, line, each
     line once; read several times."""
     long = lines.where(F.length("line") >= LEAST_CHARS)
-    n = F.length("line")
-    index = F.array(*[_key(F.col("line"), n, i, 0, k) for i in range(k + 1)])
-    probe = F.array(*[F.struct(_key(F.col("line"), n - d, i, s, k).alias("key"), F.lit(d).alias("d")) for d, i, s in _probes(k)])
-    indexed = written(long.select("h", F.explode(index).alias("key")), "index")
+    own, probe = [(0, i, 0) for i in range(k + 1)], _probes(k)
+    indexed = written(_keys(long, own, k, "h").select("h", "key"), "index")
     heavy = written(indexed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense).select("key"), "dense")
     dense_keys = small(heavy, BROADCAST_ROWS)
-    probing = long.select("h", F.explode(probe).alias("p")).select("h", "p.key", "p.d")
+    probing = _keys(long, probe, k, "h")
     i = indexed.join(dense_keys, "key", "left_anti").select(F.col("key").alias("k1"), F.col("h").alias("h1"))
     met = probing.join(i, (F.col("key") == F.col("k1")) & ((F.col("d") > 0) | (F.col("h") < F.col("h1"))) & (F.col("h") != F.col("h1")))
     pairs = written(met.select(F.least("h", "h1").alias("h1"), F.greatest("h", "h1").alias("h2")).distinct(), "pairs")
@@ -149,8 +159,8 @@ def near_links(lines: DataFrame, k: int = THRESHOLD, dense: int = DENSE_SEGMENT)
     if heavy.isEmpty():
         return found
     # dense segments: texts go along, and the condition leaves links only
-    rows = long.select("h", "g", "line", F.explode(probe).alias("p")).select("h", "g", "line", "p.key", "p.d").join(dense_keys, "key", "left_semi")
-    base = long.select("h", "g", "line", F.explode(index).alias("key")).join(dense_keys, "key", "left_semi")
+    rows = _keys(long, probe, k, "h", "g", "line").join(dense_keys, "key", "left_semi")
+    base = _keys(long, own, k, "h", "g", "line").join(dense_keys, "key", "left_semi")
     l, r = rows.alias("l"), base.alias("r")
     near = (F.col("l.key") == F.col("r.key")) & (F.col("l.h") != F.col("r.h")) & ((F.col("l.d") > 0) | (F.col("l.h") < F.col("r.h"))) & (F.levenshtein("l.line", "r.line", k) >= 0)
     close = l.join(r, near).select(F.struct("l.h", "l.g").alias("a"), F.col("l.line").alias("la"), F.struct("r.h", "r.g").alias("b"), F.col("r.line").alias("lb"))
@@ -158,8 +168,8 @@ def near_links(lines: DataFrame, k: int = THRESHOLD, dense: int = DENSE_SEGMENT)
 
 
 def _verified(pairs: DataFrame, k: int) -> DataFrame:
-    close = _trimmed(pairs.where(F.abs(F.length("la") - F.length("lb")) <= k)).where(edit_distance(F.col("x"), F.col("y"), k) <= k)
-    return close.select("a", "b")
+    close = _trimmed(pairs.where(F.abs(F.length("la") - F.length("lb")) <= k))
+    return close.where(edit_distance(F.col("x"), F.col("y"), k) <= k).select("a", "b")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = THRESHOLD, dense: int = DENSE_SEGMENT) -> tuple[DataFrame, DataFrame]:
@@ -168,13 +178,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     scan = _hashed(_lines(docs, id_col, text_col))
     seen = written(scan.select("id", "dk", "pos", "h", "g"), "seen")
     there = seen.where("h IS NOT NULL")
-    copied = written(there.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g"), "copied")
-    known = small(copied, BROADCAST_ROWS)
-    usable = scan.where("h IS NOT NULL").where(F.length("line") >= LEAST_CHARS).select("h", "g", "line")
-    once = usable.join(known, ["h", "g"], "left_anti")
-    first = written(usable.join(known, ["h", "g"], "left_semi").dropDuplicates(["h", "g"]), "first")
-    links = near_links(once.unionByName(first), k, dense)
-    near = connected_components(links)
+    counted = there.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "dk", "pos")).alias("at")).where("n > 1")
+    copied = written(counted.select("h", "g", "at"), "copied")
+    # of a line that occurs more than once, its first occurrence stands for it
+    usable = scan.where(F.length("line") >= LEAST_CHARS).where("h IS NOT NULL").join(small(copied, BROADCAST_ROWS), ["h", "g"], "left")
+    once = usable.where(F.col("at").isNull() | F.struct("id", "dk", "pos").eqNullSafe(F.col("at"))).select("h", "g", "line")
+    near = connected_components(near_links(once, k, dense))
     named = near.select(F.col("node.h").alias("h"), F.col("node.g").alias("g"), F.col("root").alias("class"))
     alone = copied.join(named.select("h", "g"), ["h", "g"], "left_anti").select("h", "g", F.struct("h", "g").alias("class"))
     return seen, written(named.unionByName(alone), "classes")
