@@ -75,11 +75,11 @@ def _vector(t: bytes, n: int, chars: int, symbols: int, same: int, repeat: int)
     capitals = len(t) - len(t.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     lines = 1 + t.count(b"\n")
 
-    def odds(k: float, of: float, usual: float, weight: float) -> float:
-        p = (k + usual * weight) / (of + weight)
-        return math.log(p / max(1e-9, 1 - min(p, 1 - 1e-9)))
+    def level(k: float, of: float, usual: float, weight: float) -> float:
+        # bounded below, however long a text without any: to have less than usual is no fault
+        return math.log((k + usual * weight) / (of + weight) + usual)
 
-    return (math.log((chars + 100.0) / (n + 20.0)), odds(symbols, chars, 0.002, 500), odds(marks, chars, 0.02, 200), odds(capitals, chars, 0.02, 200), odds(repeat, n, 0.02, 200), odds(same, lines, 0.02, 50))
+    return (math.log((chars + 100.0) / (n + 20.0)), level(symbols, chars, 0.002, 500), level(marks, chars, 0.02, 200), level(capitals, chars, 0.02, 200), level(repeat, n, 0.02, 200), level(same, lines, 0.02, 50))
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -117,8 +117,8 @@ def chi_square_quantile(q: float, p: int) -> float:
     return lo
 
 
-#: Squared distance beyond which a document goes: far outside what clean text reaches.
-CUTOFF = 3 * chi_square_quantile(0.9999, len(STATS))
+#: Squared distance beyond which a document goes: one in ten thousand of a normal group.
+CUTOFF = chi_square_quantile(0.9999, len(STATS))
 
 
 def _grouped(stats: DataFrame) -> DataFrame:
