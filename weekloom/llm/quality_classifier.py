@@ -54,7 +54,7 @@ def features(text: bytes | None) -> list[float]:
     return [
         math.log1p(n), math.log((chars + 10) / (n + 2)), share(symbols, chars, 1), share(t.count(b"!"), n, 0.5), share(t.count(b"!!"), n, 0.5),
         share(size - len(t.translate(None, _UPPER)), chars, 1), share(size - len(t.translate(None, _DIGIT)), chars, 1), share(stops, n, 0.5), share(twins, n, 0.5),
-        share(lone, n, 0.5), share(repeat, n, 1), share(same, len(lines), 0.5), share(n - 1 - pairs, n, 1), math.log((kinds + 2) / (n + 2)) / math.log(n + 3),
+        share(lone, n, 0.5), share(repeat, n, 1), share(same, len(lines), 0.5), share(max(0, n - 1 - pairs), n, 1), math.log((kinds + 2) / (n + 2)) / math.log(n + 3),
         math.log((n + 5) / (len(lines) + 1)), share(t.count(b"|"), n, 0.5), share(sum(w[-1:] in b".!?" for w in words), n, 0.5),
     ]
 
