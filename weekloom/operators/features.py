@@ -6,36 +6,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from weekloom.functions.exprs import heat, momentum
 from weekloom.schemas import with_defaults
 
-_BY = W.partitionBy("industry").orderBy("period")
-_ALL = W.partitionBy("industry")
 S, V = "sentiment_mean", "news_count"
 
 
+def _all() -> WindowSpec:
+    return W.partitionBy("industry")
+
+
+def _by() -> WindowSpec:
+    return _all().orderBy("period")
+
+
 def _numbered(series: DataFrame) -> DataFrame:
     """With the row number ``rn`` (from 0) and the number of rows ``n`` of the industry."""
-    return series.withColumn("rn", F.row_number().over(_BY) - 1).withColumn("n", F.count(F.lit(1)).over(_ALL))
+    return series.withColumn("rn", F.row_number().over(_by()) - 1).withColumn("n", F.count(F.lit(1)).over(_all()))
 
 
 def _past(col: str | Column, n: int, upto: int = -1) -> Column:
     """The ``n`` values that end ``upto`` rows from here, in order; nulls keep their places."""
     x = F.col(col) if isinstance(col, str) else col
-    return F.transform(F.collect_list(F.struct(x.alias("x"))).over(_BY.rowsBetween(upto - n + 1, upto)), lambda s: s["x"])
+    return F.transform(F.collect_list(F.struct(x.alias("x"))).over(_by().rowsBetween(upto - n + 1, upto)), lambda s: s["x"])
 
 
 def changes(series: DataFrame) -> DataFrame:
     """Sentiment momentum and volume heat against the row before; null on the first."""
-    return series.withColumn("momentum", momentum(F.col(S), F.lag(S).over(_BY))).withColumn("news_heat", heat(F.col(V), F.lag(V).over(_BY)))
+    return series.withColumn("momentum", momentum(F.col(S), F.lag(S).over(_by()))).withColumn("news_heat", heat(F.col(V), F.lag(V).over(_by())))
 
 
 def isolation_features(series: DataFrame) -> DataFrame:
     """Volume ratio (the first row's own volume), sentiment difference (0 on the first), sentiment."""
-    first = F.row_number().over(_BY) == 1
-    ratio = F.when(first, F.col(V).cast("double")).otherwise(F.col(V) / (F.lag(V).over(_BY) + 1))
-    diff = F.when(first, F.col(S) - F.col(S)).otherwise(F.col(S) - F.lag(S).over(_BY))
+    first = F.row_number().over(_by()) == 1
+    ratio = F.when(first, F.col(V).cast("double")).otherwise(F.col(V) / (F.lag(V).over(_by()) + 1))
+    diff = F.when(first, F.col(S) - F.col(S)).otherwise(F.col(S) - F.lag(S).over(_by()))
     return series.select("period", "industry", ratio.alias("vol_norm"), diff.alias("sent_diff"), F.col(S).alias("sent_cur"))
 
 
@@ -44,15 +51,15 @@ def sequences(series: DataFrame, lookback: int = 5, threshold: float = 0.03) ->
     momentum as the label and whether its return is large. The last row is never a label, and an
     industry with fewer than lookback + 2 rows has none."""
     rows = with_defaults(series, **{"return": 0.0})
-    rows = _numbered(rows).withColumn("sequence", _past(S, lookback)).withColumn("momentum", momentum(F.col(S), F.lag(S).over(_BY)))
+    rows = _numbered(rows).withColumn("sequence", _past(S, lookback)).withColumn("momentum", momentum(F.col(S), F.lag(S).over(_by())))
     rows = rows.where((F.col("n") >= lookback + 2) & F.col("rn").between(F.lit(lookback), F.col("n") - 2))
     return rows.select("period", "industry", "sequence", "momentum", F.when(F.abs("return") > threshold, 1).otherwise(0).alias("anomaly"))
 
 
 def industry_sequences(series: DataFrame, lookback: int = 5) -> DataFrame:
     """(period, industry, sequence, deltas, momentum) for every row with ``lookback`` before it."""
-    delta = heat(F.col(V), F.lag(V).over(_BY))
-    rows = _numbered(series).withColumn("momentum", momentum(F.col(S), F.lag(S).over(_BY))).withColumn("delta", delta).withColumn("sequence", _past(S, lookback))
+    delta = heat(F.col(V), F.lag(V).over(_by()))
+    rows = _numbered(series).withColumn("momentum", momentum(F.col(S), F.lag(S).over(_by()))).withColumn("delta", delta).withColumn("sequence", _past(S, lookback))
     return rows.where(F.col("rn") >= lookback).select("period", "industry", "sequence", F.array_repeat("delta", lookback).alias("deltas"), "momentum")
 
 
@@ -74,7 +81,7 @@ def rolling_flatten(series: DataFrame, lookback: int = 4) -> DataFrame:
     rows = _numbered(changes(series))
     first = F.col("rn") == 0
     rows = rows.withColumn("m", F.when(first, 0.0).otherwise(F.col("momentum"))).withColumn("h", F.when(first, 0.0).otherwise(F.col("news_heat")))
-    rows = rows.withColumn("momenta", _past("m", lookback)).withColumn("heats", _past("h", lookback)).withColumn("label", F.signum(F.lead(S).over(_BY) - F.col(S)).cast("int"))
+    rows = rows.withColumn("momenta", _past("m", lookback)).withColumn("heats", _past("h", lookback)).withColumn("label", F.signum(F.lead(S).over(_by()) - F.col(S)).cast("int"))
     return rows.where((F.col("rn") >= lookback) & (F.col("rn") <= F.col("n") - 2)).select("period", "industry", "momenta", "heats", "label")
 
 
@@ -83,17 +90,17 @@ def stacking_features(series: DataFrame, lookback: int = 5, model_reg: str | Non
     deviations over five rows, and the sequence model's outputs if their columns are given; the label
     is the direction of the next change (0 if it is unknown)."""
     rows = _numbered(with_defaults(series, news_heat=0.0))
-    five = _BY.rowsBetween(-4, 0)
+    five = _by().rowsBetween(-4, 0)
     reg = F.col(model_reg) if model_reg else F.lit(None).cast("double")
     cls = F.col(model_cls) if model_cls else F.lit(None).cast("double")
-    nxt = F.lead(S).over(_BY)
+    nxt = F.lead(S).over(_by())
     rows = rows.withColumns(
         {
-            "delta_1": F.col(S) - F.lag(S, 1).over(_BY),
-            "delta_2": F.col(S) - F.lag(S, 2).over(_BY),
+            "delta_1": F.col(S) - F.lag(S, 1).over(_by()),
+            "delta_2": F.col(S) - F.lag(S, 2).over(_by()),
             "model_reg": reg,
             "model_cls": cls,
-            "model_delta": reg - F.lag(reg).over(_BY),
+            "model_delta": reg - F.lag(reg).over(_by()),
             "count_std": F.stddev_pop(V).over(five),
             "sentiment_std": F.stddev_pop(S).over(five),
             "model_heat": reg * F.col("news_heat"),

@@ -167,12 +167,12 @@ def daily_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(_daily(spark, sf_dir), "sentiment_mean")
 
 
-_SPARSE = "a1 AS (SELECT * FROM a0 WHERE event_id % 3 = 0 AND NOT (major_category = 'click' AND day(datetime) % 4 = 0))"
+_SPARSE = "a1 AS (SELECT * FROM a0 WHERE NOT (major_category = 'click' AND datetime < TIMESTAMP '2024-01-08'))"  # clicks are covered from the second week on
 _GRID = SC.replace("a1 AS", "a0 AS", 1).replace(", sc AS", f", {_SPARSE}, sc AS", 1) + "," + _agg("day", "t")
 
 
 def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = A.news_labeled(spark, sf_dir).where((F.col("event_id") % 3 == 0) & ~((F.col("major_category") == "click") & (F.dayofmonth("datetime") % 4 == 0)))
+    rows = A.news_labeled(spark, sf_dir).where(~((F.col("major_category") == "click") & (F.col("datetime") < F.lit("2024-01-08").cast("timestamp_ntz"))))
     return sentiment.build(rows, "day")
 
 
@@ -587,9 +587,9 @@ def period_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.period_split(_daily(spark, sf_dir), "2024-01-20").select("period", "industry", "part")
 
 
-@query("SELECT event_id, cast(value>20 AND value<=54 AND event_type IN ('click','view') AND user_id%2==0 AS int) hit FROM events WHERE value>20 AND value<=54 AND event_type IN ('click','view') AND user_id%2==0")
+@query("SELECT event_id, cast(value>20 AND value<=54 AND event_type IN ('click','view')  AS int) hit FROM events WHERE value>20 AND value<=54 AND event_type IN ('click','view') ")
 def filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = A.table(spark, sf_dir, "events").where((F.col("value") > 20) & (F.col("value") <= 54) & F.col("event_type").isin("click", "view") & (F.col("user_id") % 2 == 0))
+    e = A.table(spark, sf_dir, "events").where((F.col("value") > 20) & (F.col("value") <= 54) & F.col("event_type").isin("click", "view"))
     return e.select("event_id", F.lit(1).alias("hit"))
 
 
