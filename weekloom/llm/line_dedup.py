@@ -10,7 +10,9 @@ probes with the substrings that could match a segment of a line up to k characte
 places that multi-match-aware selection leaves. Pairs that meet lose their common ends and are
 verified by a banded bit-parallel edit distance (Hyyrö 2003) in integer arithmetic.
 
-Only hashes are shuffled for the join; a line that occurs many times enters it once. A segment of
+Only hashes are shuffled for the join, with packed counts of a few letters: an edit changes the
+counts by two in all, so pairs whose counts differ by more than 2k are turned down where they meet.
+A line that occurs many times enters once. A segment of
 over ``DENSE_SEGMENT`` distinct lines would make many candidates: its lines carry their text and the
 join condition itself turns down what is too far, so that only links leave the join.
 """
@@ -28,18 +30,38 @@ LEAST_CHARS = 20
 DENSE_SEGMENT = 64
 #: Rows of hashes up to which a table is broadcast (about 24 bytes each).
 BROADCAST_ROWS = 1_000_000
+#: Letters that are counted: eight at most, of one byte.
+LETTERS = " eaint"
 
 
 def _keys(lines: DataFrame, places: list[tuple[int, int, int]], k: int, *carry: str) -> DataFrame:
-    """(carry, d, key) for each line and place (characters shorter, segment, shift). Of the ``k + 1``
+    """(carry, key) for each line and place (characters shorter, segment, shift). Of the ``k + 1``
     even segments of a length the longer ones come last. Places are rows before the key is made, so
     that the code for it stays small enough to be compiled."""
     spots = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("s")) for d, i, s in places])
-    rows = lines.select(*carry, "line", F.length("line").alias("n"), F.explode(spots).alias("p")).select(*carry, "line", (F.col("n") - F.col("p.d")).alias("n"), "p.d", "p.i", "p.s")
+    cols = dict.fromkeys([*carry, "line"])
+    rows = lines.select(*cols, F.length("line").alias("n"), F.explode(spots).alias("p")).select(*cols, (F.col("n") - F.col("p.d")).alias("n"), "p.i", "p.s")
     short, first_long = F.expr(f"n div {k + 1}").cast("int"), F.expr(f"{k + 1} - n % {k + 1}")
     start = F.col("i") * short + F.greatest(F.lit(0), F.col("i") - first_long) + F.col("s") + 1
     size = short + (F.col("i") >= first_long).cast("int")
-    return rows.select(*carry, "d", F.xxhash64("n", "i", F.substring(F.col("line"), start, size)).alias("key"))
+    return rows.select(*carry, F.xxhash64("n", "i", F.substring(F.col("line"), start, size)).alias("key"))
+
+
+def _letters(line: Column) -> Column:
+    """Counts of ``LETTERS``, up to 255 each, packed into a long. A loop: written out, the code would
+    be too long to be compiled."""
+
+    def add(packed: Column, letter: Column) -> Column:
+        n = F.octet_length(line) - F.octet_length(F.replace(line, letter, F.lit("")))
+        return F.shiftleft(packed, 8).bitwiseOR(F.least(F.lit(255), n).cast("long"))
+
+    return F.aggregate(F.array(*map(F.lit, LETTERS)), F.lit(0).cast("long"), add)
+
+
+def _letter_gap(x: Column, y: Column) -> Column:
+    """By how much two packed counts differ in all: at most twice the edit distance."""
+    at = lambda c, i: F.shiftrightunsigned(c, 8 * i).bitwiseAND(F.lit(255))
+    return sum((F.abs(at(x, i) - at(y, i)) for i in range(len(LETTERS))), F.lit(0))
 
 
 def _probes(k: int) -> list[tuple[int, int, int]]:
@@ -138,20 +160,19 @@ def _hashed(lines: DataFrame) -> DataFrame:
 
 
 def near_links(lines: DataFrame, k: int = THRESHOLD, dense: int = DENSE_SEGMENT) -> DataFrame:
-    """Pairs (a, b) of structs (h, g): distinct lines within ``k`` edits. ``lines``: h, g, line, each
-    line once; read several times."""
-    long = lines.where(F.length("line") >= LEAST_CHARS)
+    """Pairs (a, b) of structs (h, g): distinct lines within ``k`` edits. ``lines``: h, g, c (letter
+    counts), line, each line of ``LEAST_CHARS`` or more once; read several times."""
     own, probe = [(0, i, 0) for i in range(k + 1)], _probes(k)
-    indexed = written(_keys(long, own, k, "h").select("h", "key"), "index")
+    indexed = written(_keys(lines, own, k, "h", "c"), "index")
     heavy = written(indexed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense).select("key"), "dense")
     dense_keys = small(heavy, BROADCAST_ROWS)
-    probing = _keys(long, probe, k, "h")
-    i = indexed.join(dense_keys, "key", "left_anti").select(F.col("key").alias("k1"), F.col("h").alias("h1"))
-    met = probing.join(i, (F.col("key") == F.col("k1")) & ((F.col("d") > 0) | (F.col("h") < F.col("h1"))) & (F.col("h") != F.col("h1")))
+    probing = _keys(lines, probe, k, "h", "c")
+    i = indexed.join(dense_keys, "key", "left_anti").select(F.col("key").alias("k1"), F.col("h").alias("h1"), F.col("c").alias("c1"))
+    met = probing.join(i, (F.col("key") == F.col("k1")) & (F.col("h") != F.col("h1")) & (_letter_gap(F.col("c"), F.col("c1")) <= 2 * k))
     pairs = written(met.select(F.least("h", "h1").alias("h1"), F.greatest("h", "h1").alias("h2")).distinct(), "pairs")
     # the candidates' texts
     names = small(written(pairs.select(F.col("h1").alias("h")).union(pairs.select("h2")).distinct(), "names"), BROADCAST_ROWS)
-    texts = written(long.join(names, "h", "left_semi").select("h", "g", "line"), "texts")
+    texts = written(lines.join(names, "h", "left_semi").select("h", "g", "line"), "texts")
     one = texts.select(F.col("h").alias("h1"), F.struct("h", "g").alias("a"), F.col("line").alias("la"))
     two = texts.select(F.col("h").alias("h2"), F.struct("h", "g").alias("b"), F.col("line").alias("lb"))
     sparse = pairs.join(one, "h1").join(two, "h2").select("a", "la", "b", "lb")
@@ -159,10 +180,10 @@ def near_links(lines: DataFrame, k: int = THRESHOLD, dense: int = DENSE_SEGMENT)
     if heavy.isEmpty():
         return found
     # dense segments: texts go along, and the condition leaves links only
-    rows = _keys(long, probe, k, "h", "g", "line").join(dense_keys, "key", "left_semi")
-    base = _keys(long, own, k, "h", "g", "line").join(dense_keys, "key", "left_semi")
+    rows = _keys(lines, probe, k, "h", "g", "c", "line").join(dense_keys, "key", "left_semi")
+    base = _keys(lines, own, k, "h", "g", "c", "line").join(dense_keys, "key", "left_semi")
     l, r = rows.alias("l"), base.alias("r")
-    near = (F.col("l.key") == F.col("r.key")) & (F.col("l.h") != F.col("r.h")) & ((F.col("l.d") > 0) | (F.col("l.h") < F.col("r.h"))) & (F.levenshtein("l.line", "r.line", k) >= 0)
+    near = (F.col("l.key") == F.col("r.key")) & (F.col("l.h") != F.col("r.h")) & (_letter_gap(F.col("l.c"), F.col("r.c")) <= 2 * k) & (F.levenshtein("l.line", "r.line", k) >= 0)
     close = l.join(r, near).select(F.struct("l.h", "l.g").alias("a"), F.col("l.line").alias("la"), F.struct("r.h", "r.g").alias("b"), F.col("r.line").alias("lb"))
     return found.union(_verified(close, k))
 
@@ -182,8 +203,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     copied = written(counted.select("h", "g", "at"), "copied")
     # of a line that occurs more than once, its first occurrence stands for it
     usable = scan.where(F.length("line") >= LEAST_CHARS).where("h IS NOT NULL").join(small(copied, BROADCAST_ROWS), ["h", "g"], "left")
-    once = usable.where(F.col("at").isNull() | F.struct("id", "dk", "pos").eqNullSafe(F.col("at"))).select("h", "g", "line")
-    near = connected_components(near_links(once, k, dense))
+    once = usable.where(F.col("at").isNull() | F.struct("id", "dk", "pos").eqNullSafe(F.col("at"))).select("h", "g", _letters(F.col("line")).alias("c"), "line")
+    near = connected_components(near_links(written(once, "lines"), k, dense))
     named = near.select(F.col("node.h").alias("h"), F.col("node.g").alias("g"), F.col("root").alias("class"))
     alone = copied.join(named.select("h", "g"), ["h", "g"], "left_anti").select("h", "g", F.struct("h", "g").alias("class"))
     return seen, written(named.unionByName(alone), "classes")
@@ -193,7 +214,7 @@ def flagged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     """(id, dk, flags): for each document with a line to drop, an array over its lines of whether to."""
     seen, roots = classes(docs, id_col, text_col, k, dense)
     rows = written(seen.where("h IS NOT NULL").join(small(roots, BROADCAST_ROWS), ["h", "g"]).select("id", "dk", "pos", "class"), "members")
-    stays = rows.groupBy("class").agg(F.min(F.struct("id", "dk", "pos")).alias("first"))
+    stays = small(written(rows.groupBy("class").agg(F.min(F.struct("id", "dk", "pos")).alias("first")), "first"), BROADCAST_ROWS)
     drops = rows.join(stays, "class").where(~F.struct("id", "dk", "pos").eqNullSafe(F.col("first"))).select("id", "dk", "pos").distinct().withColumn("drop", F.lit(True))
     some = written(drops, "drops")
     hit = small(written(some.select("id", "dk").distinct(), "hit"), BROADCAST_ROWS)
