@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import WORD, small, written
+from weekloom.llm.common import small, written
 from weekloom.llm.components import connected_components
 
 THRESHOLD = 2
@@ -31,7 +31,11 @@ DENSE_SEGMENT = 64
 #: Rows of hashes up to which a table is broadcast (about 24 bytes each).
 BROADCAST_ROWS = 1_000_000
 #: Letters that are counted: eight at most, of one byte.
-LETTERS = " eaint"
+LETTERS = " ent"
+#: Lines whose flags one number holds.
+WORD_BITS = 63
+#: White space of a line; one of nothing else has no word.
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def _keys(lines: DataFrame, places: list[tuple[int, int, int]], k: int, *carry: str) -> DataFrame:
@@ -155,7 +159,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _hashed(lines: DataFrame) -> DataFrame:
     """With the two halves h and g of a 128-bit hash; null for lines without a word."""
-    there = F.col("line").rlike(WORD)
+    there = F.ltrim(F.col("line"), F.lit(BLANKS)) != ""
     return lines.withColumn("h", F.when(there, F.xxhash64("line"))).withColumn("g", F.when(there, F.xxhash64(F.lit(1), F.col("line"))))
 
 
@@ -211,17 +215,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
 
 def flagged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = THRESHOLD, dense: int = DENSE_SEGMENT) -> DataFrame:
-    """(id, dk, flags): for each document with a line to drop, an array over its lines of whether to."""
+    """(id, dk, flags, dropped): for each document with a line to drop, a bit for each of its lines,
+    ``WORD_BITS`` to a number, and how many are set."""
     seen, roots = classes(docs, id_col, text_col, k, dense)
     rows = written(seen.where("h IS NOT NULL").join(small(roots, BROADCAST_ROWS), ["h", "g"]).select("id", "dk", "pos", "class"), "members")
     stays = small(written(rows.groupBy("class").agg(F.min(F.struct("id", "dk", "pos")).alias("first")), "first"), BROADCAST_ROWS)
-    drops = rows.join(stays, "class").where(~F.struct("id", "dk", "pos").eqNullSafe(F.col("first"))).select("id", "dk", "pos").distinct().withColumn("drop", F.lit(True))
-    some = written(drops, "drops")
-    hit = small(written(some.select("id", "dk").distinct(), "hit"), BROADCAST_ROWS)
-    every = seen.select("id", "dk", "pos").distinct()
-    part = every.join(hit, every["id"].eqNullSafe(hit["id"]) & (every["dk"] == hit["dk"]), "left_semi")
-    marks = part.unionByName(some, allowMissingColumns=True).groupBy("id", "dk", "pos").agg(F.max(F.coalesce("drop", F.lit(False))).alias("drop"))
-    return marks.groupBy("id", "dk").agg(F.sort_array(F.collect_list(F.struct("pos", "drop")))["drop"].alias("flags"))
+    drops = rows.join(stays, "class").where(~F.struct("id", "dk", "pos").eqNullSafe(F.col("first")))
+    bit = F.expr(f"shiftleft(1L, pos % {WORD_BITS})")
+    words = drops.groupBy("id", "dk", F.expr(f"cast(pos div {WORD_BITS} AS int)").alias("w")).agg(F.bit_or(bit).alias("bits"))
+    found = words.groupBy("id", "dk").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m"), F.max("w").alias("top"), F.sum(F.bit_count("bits")).cast("int").alias("dropped"))
+    dense_words = F.transform(F.sequence(F.lit(0), F.col("top")), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("long")))
+    return found.select("id", "dk", dense_words.alias("flags"), "dropped")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = THRESHOLD, dense: int = DENSE_SEGMENT) -> DataFrame:
@@ -231,12 +235,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     A null text stays null and has no lines; an empty one has one line, without a word. Documents all
     of whose lines are dropped become empty. Rows that repeat id and text are one document and get
     one answer; null ids come first. An empty table gives an empty result."""
-    found = written(flagged(docs, id_col, text_col, k, dense), "flags").select(F.col("id").alias("__i"), F.col("dk").alias("__d"), F.col("flags").alias("__f"))
+    found = written(flagged(docs, id_col, text_col, k, dense), "flags").select(F.col("id").alias("__i"), F.col("dk").alias("__d"), F.col("flags").alias("__f"), F.col("dropped").alias("__n"))
     keys = docs[id_col].eqNullSafe(found["__i"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == found["__d"])
     lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.coalesce(F.get(F.col("__f"), i), F.lit(False)))
+    kept = F.filter(lines, lambda x, i: F.coalesce(F.getbit(F.get(F.col("__f"), F.floor(i / WORD_BITS).cast("int")), i % WORD_BITS), F.lit(0)) == 0)
     text = F.when(F.col("__f").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    dropped = F.coalesce(F.size(F.filter("__f", lambda x: x)), F.lit(0))
     n = F.coalesce(F.size(lines), F.lit(0))
     joined = docs.drop("n_lines", "n_dropped").join(found, keys, "left")
-    return joined.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(n)).withColumn("n_dropped", F.when(F.col("__f").isNull(), 0).otherwise(dropped)).withColumn(text_col, text).drop("__i", "__d", "__f")
+    return joined.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(n)).withColumn("n_dropped", F.coalesce("__n", F.lit(0))).withColumn(text_col, text).drop("__i", "__d", "__f", "__n")
