@@ -6,8 +6,9 @@ walks the tree with a priority queue (the most promising node next, by the inner
 centre plus the length of the query times the node's radius) and visits leaves until their number
 is what calibration asks for. Calibration takes a bounded number of the queries, finds their true
 neighbours among all rows, and widens the visits until the wanted share of them lies in visited
-leaves. Queries and leaves meet in a shuffle, in blocks of bounded size; equal vectors are one
-candidate with its smallest ids, so a vector that fills a third of the table is one row.
+leaves. Queries and leaves meet in a shuffle, in blocks of bounded size, several small leaves in one
+and the best of each query from there; equal vectors are one candidate with its smallest ids, so a
+vector that fills a third of the table is one row.
 """
 
 from __future__ import annotations
@@ -185,32 +186,57 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
         if reached:
             needed = reached[min(len(reached) - 1, int(np.ceil(recall * len(reached))) - 1)]
 
+    # leaves that follow each other in the tree share a bin while they are small; a large one is a
+    # bin of several parts
+    bins, filled = {}, BLOCK_ROWS
+    for leaf in sorted(count):
+        size = count[leaf][0]
+        if filled + size > BLOCK_ROWS:
+            bins[leaf], filled = leaf, size
+        else:
+            bins[leaf], filled = last, filled + size
+        last = bins[leaf]
+
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = shared.value
         for b in batches:
             out = []
             for i, v in zip(b.id, b.v, strict=True):
-                met = 0
+                met, seen = 0, {}
                 for at, leaf in enumerate(t.visits(np.asarray(v)), 1):
-                    size, ids = count.get(leaf, (0, 0))
-                    met += ids
-                    out += [(i, v, leaf, s) for s in range(-(-size // BLOCK_ROWS))]
+                    met += count.get(leaf, (0, 0))[1]
+                    if leaf in bins:
+                        seen.setdefault(bins[leaf], []).append(leaf)
                     if at >= needed and met > k:
                         break
-            yield pd.DataFrame(out, columns=["query_id", "q", "leaf", "part"])
+                out += [(i, v, bin_, leaves, part) for bin_, leaves in seen.items() for part in range(-(-count[bin_][0] // BLOCK_ROWS))]
+            yield pd.DataFrame(out, columns=["query_id", "q", "bin", "leaves", "part"])
 
-    visits = written(queries.mapInPandas(walk, "query_id long, q array<double>, leaf int, part int"), "visits")
-    asked = F.broadcast(visits.where("part = 0").groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("shares")))  # a row a leaf
-    sizes = F.broadcast(spark.createDataFrame([(a, -(-b[0] // BLOCK_ROWS)) for a, b in count.items()], "leaf int, parts int"))
+    visits = written(queries.mapInPandas(walk, "query_id long, q array<double>, bin int, leaves array<int>, part int"), "visits")
+    asked = F.broadcast(visits.where("part = 0").groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("shares")))  # a row a leaf at most
+    sizes = F.broadcast(spark.createDataFrame([(a, bins[a], max(1, -(-b[0] // BLOCK_ROWS))) for a, b in count.items()], "leaf int, bin int, parts int"))
     block = lambda c, by: F.pmod(F.xxhash64(c), F.col(by)).cast("int")
-    left = visits.join(asked, "leaf").select("query_id", "q", "leaf", "part", block("query_id", "shares").alias("share"))
-    right = put.join(sizes, "leaf").withColumn("part", block("v", "parts")).join(asked, "leaf").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("ids", "v", "leaf", "part", "share")
+    left = visits.join(asked, "bin").select("query_id", "q", "leaves", "bin", "part", block("query_id", "shares").alias("share"))
+    right = put.join(sizes, "leaf").withColumn("part", block("v", "parts")).join(asked, "bin").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("ids", "v", "leaf", "bin", "part", "share")
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        return pd.DataFrame(list(_best(np.array(b.v.tolist()), list(b.ids), a.query_id.to_numpy(), np.array(a.q.tolist()), k)), columns=["query_id", "vec_id", "score"])
-
-    keys = ["leaf", "part", "share"]
+        best: dict[int, list] = {}
+        if len(a) and len(b):
+            x, q, ids, leaf, members = np.array(b.v.tolist()), np.array(a.q.tolist()), a.query_id.to_numpy(), b.leaf.to_numpy(), list(b.ids)
+            askers: dict[int, list[int]] = {}
+            for row, leaves in enumerate(a.leaves):
+                for one in leaves:
+                    askers.setdefault(int(one), []).append(row)
+            for one, rows in askers.items():
+                own = np.flatnonzero(leaf == one)
+                for i, m, score in _best(x[own], [members[j] for j in own], ids[rows], q[rows], k):
+                    best.setdefault(i, []).append((-score, m))
+                for i in set(ids[rows]):  # k of each query so far
+                    if len(best.get(i, ())) > k:
+                        best[i] = sorted(best[i])[:k]
+        out = [(i, m, -s) for i, found in best.items() for s, m in found]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+    keys = ["bin", "part", "share"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
     return _top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
