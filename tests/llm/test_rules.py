@@ -156,6 +156,26 @@ def test_constants_are_propagated():
     assert [k for k, _, _ in secrets.scan("The key point: tokens are words, and the secret is out.")] == []
 
 
+def literals(text):
+    return [text[s:e] for k, s, e in secrets.scan(text) if k == "literal"]
+
+
+def test_secret_literals_are_whole():
+    jwt = "eyJhbGciOi9" * 60
+    assert literals(f'auth_header_token_x = "{jwt}"\n') == [jwt]
+    assert literals('db_pwd = "aB3\\\\x9Qz7LmT"\n') == ['aB3\\\\x9Qz7LmT']
+    assert literals('db_pwd = "p@ss\'w0rd!9Zk"\n') == ["p@ss'w0rd!9Zk"]
+    assert literals('db_pwd = "q9\\"Zk4LmT7xW"\n') == ['q9\\"Zk4LmT7xW']
+    assert literals("don't use db_pwd = \"q9Zk4LmT7xWv2R\", it's bad\n") == ["q9Zk4LmT7xWv2R"]
+    assert "q9Zk4LmT7xWv2R" in literals("data = '{\"db_pwd\": \"q9Zk4LmT7xWv2R\"}'\n")
+    assert literals('db_pwd = "q9Zk4LmT7xWv2R/4mN\n') == ["q9Zk4LmT7xWv2R/4mN"]
+    many = [f"q9Zk4LmT7xWv2R{i}" for i in range(100)]
+    assert literals("all = " + " + ".join(f'"{x}"' for x in many) + "\ndb_pwd = all\n") == many
+    doubled = 'a0 = "q9Zk4LmT7xWv2R"\n' + "".join(f"a{i + 1} = a{i} + a{i}\n" for i in range(200)) + "db_pwd = a200\n"
+    assert literals(doubled) == ["q9Zk4LmT7xWv2R"]
+    secrets.scan('pwd = "' + '\\"' * 200_000)  # linear, or it would not end
+
+
 PAGE = """<html><head><title>T</title><script>var a="<p>no</p>"</script></head><body><header>Site</header><nav><ul><li><a href=/a>A</a><li><a href=/b>B</a></ul></nav>
 <div id="content"><article><h1>Head &amp; more</h1><p>First   paragraph with a <a href=x>link</a> and
 more words in it.<p>Second &lt;one&gt; here, of several words too.</p><aside>side</aside></article><div class="comments"><p>Nice post</p></div></div>

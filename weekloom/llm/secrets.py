@@ -38,7 +38,11 @@ PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "xxxx", "todo", "n
 LEAST_SCORE = 1.0
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_]{0,63}(?:[.-][A-Za-z0-9_]{1,64}){0,6}"
-_LEX = re.compile(rf"""(?P<q>["'])(?P<s>[^"'\n\\]{{0,512}})(?P=q)|(?P<n>{_NAME})|(?P<op>:=|=>|==|!=|<=|>=|[=:+,;\n<>/(){{}}\[\]])""")
+_LEX = re.compile(rf"""(?P<q>["'])|(?P<n>{_NAME})|(?P<op>:=|=>|==|!=|<=|>=|[=:+,;\n<>/(){{}}\[\]])""")
+_REST = {q: re.compile(rf"((?:[^{q}\\\n]++|\\.)*+){q}") for q in "\"'"}
+#: What may stand right before an opening quote; after other letters it is an apostrophe.
+_PREFIX = re.compile(r"(?:^|[^A-Za-z0-9_])[rbfuRBFUNL]{1,2}$")
+_UNCLOSED = re.compile(r"""[^\s"']+""")
 _BARE = re.compile(r"[A-Za-z0-9+/_.=~!@#$%^&*-]+")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -62,23 +66,26 @@ def literal_score(value: str) -> float:
     return min(1.0, entropy / 3.5) * min(1.0, n / 16 + 0.25)
 
 
-def lex(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
+def lex(text: str, at: int = 0, end: int | None = None, known: dict[str, list] | None = None) -> list[tuple[str, list]]:
     """Name-literal pairs of a text: (target name, spans of the literals that reach it), with
-    constants propagated in order of appearance."""
-    known: dict[str, list[tuple[int, int]]] = {}
-    pairs: list[tuple[str, list[tuple[int, int]]]] = []
+    constants propagated in order of appearance. A constant's own list stands among the spans and
+    is shared, not copied; ``spans_of`` takes such lists apart. A string that holds other quotes or
+    escapes is lexed within, too, once (``known`` is given then)."""
+    nested, known = known is not None, {} if known is None else known
+    pairs: list[tuple[str, list]] = []
+    unclosed = {'"': -1, "'": -1}  # no quote closes one that opens before this place
     name, target, found, want = "", "", [], False  # last name; the open assignment
 
     def close() -> None:
         nonlocal target, found, want
         if target and found:
             pairs.append((target, found))
-            known[target] = found[:64]
+            known[target] = found
         target, found, want = "", [], False
 
-    at, end = 0, len(text)
+    end = len(text) if end is None else end
     while at < end:
-        m = _LEX.search(text, at)
+        m = _LEX.search(text, at, end)
         if m is None:
             break
         at = m.end()
@@ -90,7 +97,7 @@ def lex(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
                 skip = at
                 while skip < end and text[skip] == " ":
                     skip += 1
-                b = _BARE.match(text, skip)
+                b = _BARE.match(text, skip, end)
                 if b and not re.fullmatch(_NAME, b[0]) and text[skip - 1 : skip] not in ("'", '"'):
                     found.append((b.start(), b.end()))
                     want, at = False, b.end()
@@ -104,18 +111,34 @@ def lex(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
                 name = ""
             elif op == ">" and name and text[m.start() - len(name) - 1 : m.start() - len(name)] == "<":
                 target, want, name = name, True, ""  # <name>value</name>
-                b = _BARE.match(text, at)
+                b = _BARE.match(text, at, end)
                 if b:
                     found.append((b.start(), b.end()))
                     want, at = False, b.end()
         elif m["q"]:
+            q = m["q"]
+            if q == "'" and text[at - 2 : at - 1].isalnum() and at > 1 and not _PREFIX.search(text[max(0, at - 4) : at - 1]):
+                continue
+            closed = _REST[q].match(text, at, end) if at > unclosed[q] else None
+            if closed is None:
+                # later quotes of the kind on this line were escaped, and find no end either
+                line = text.find("\n", at, end)
+                unclosed[q] = end if line < 0 else line
+                if target and want and (b := _UNCLOSED.match(text, at, end)):
+                    found.append(b.span())
+                    at = b.end()
+                want = False
+                continue
+            at, value = closed.end(), closed[1]
+            if not nested and any(c in value for c in "\\\"'"):
+                pairs += lex(text, closed.start(1), closed.end(1), known)
             if target and want:
-                found.append(m.span("s"))
+                found.append(closed.span(1))
                 want = False
             else:
-                name = m["s"] if re.fullmatch(_NAME, m["s"]) else ""
+                name = value if re.fullmatch(_NAME, value) else ""
         elif target and want and m["n"] in known:
-            found.extend(known[m["n"]])
+            found.append(known[m["n"]])
             want = False
         elif target and want:
             found.append(m.span("n"))  # a bare word
@@ -126,6 +149,17 @@ def lex(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
     return pairs
 
 
+def spans_of(found: list, seen: set[int]) -> Iterator[tuple[int, int]]:
+    """The spans of a literal list and of the lists in it, each list once by ``seen``."""
+    todo = [found]
+    while todo:
+        here = todo.pop()
+        if id(here) not in seen:
+            seen.add(id(here))
+            todo += [x for x in here if isinstance(x, list)]
+            yield from (x for x in here if isinstance(x, tuple))
+
+
 def scan(text: str) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) of a text, in code points, by start and kind."""
     raw = text.encode("utf-8", "surrogatepass")
@@ -139,12 +173,13 @@ def scan(text: str) -> list[tuple[str, int, int]]:
         spans += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     if any(w in low for w in _NAME_WORDS):
         taken = {(s, e) for _, s, e in spans}
-        for name, found in lex(text):
-            weight = name_score(name)
-            if weight < 0.5:
-                continue
-            for s, e in found:
-                if (s, e) not in taken and weight + literal_score(text[s:e]) >= LEAST_SCORE + 0.5 and literal_score(text[s:e]) >= 0.5:
+        seen: set[int] = set()
+        weighed = [(name_score(name), found) for name, found in lex(text)]
+        # a list that a name of more weight has reached needs no second look
+        for weight, found in sorted((x for x in weighed if x[0] >= 0.5), key=lambda x: -x[0]):
+            for s, e in spans_of(found, seen):
+                score = literal_score(text[s:e])
+                if (s, e) not in taken and weight + score >= LEAST_SCORE + 0.5 and score >= 0.5:
                     taken.add((s, e))
                     spans.append(("literal", s, e))
     return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
