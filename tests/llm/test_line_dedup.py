@@ -53,7 +53,7 @@ def typo(rng, s):
     return s
 
 
-@pytest.mark.parametrize("dense", [64, 1])
+@pytest.mark.parametrize("dense", [16, 0])
 def test_classes_match_all_pairs(spark, dense):
     rng = random.Random(5)
     base = ["".join(rng.choice("abcd éñ") for _ in range(rng.randint(12, 60))) + "x" for _ in range(12)]
@@ -81,3 +81,52 @@ def test_edges(spark):
     docs = spark.createDataFrame([(1, long, 9), (1, long, 9), (2, long + "\nown line", 9), (3, None, None)], "doc_id long, text string, line long").withColumn("flags", F.lit("f")).withColumn("h", F.lit(0))
     got = sorted(((r.doc_id, r.text, r.n_dropped, r.flags) for r in line_dedup.dedup(docs).collect()), key=str)
     assert got == sorted([(1, long, 0, "f"), (1, long, 0, "f"), (2, "own line", 1, "f"), (3, None, 0, "f")], key=str)
+
+
+def test_layouts_find_every_near_line():
+    """Whatever two edits do to a line, some layout of it has the segments of the other's."""
+    rng = random.Random(3)
+
+    def keys(s, layouts, parts):
+        for d, number, blocks in layouts:
+            n = len(s) - d
+            start = lambda i: i * (n // parts) + max(0, i - (parts - n % parts))  # noqa: B023, E731
+            yield n, number, *(s[start(a) + m : start(b) + m] for a, b, m in blocks)
+
+    for k, parts in ((1, 2), (1, 5), (2, 3), (2, 5), (2, 16), (3, 4), (3, 7)):
+        layouts = line_dedup._layouts(parts, k)
+        for _ in range(150):
+            a = "".join(rng.choice("ab") for _ in range(rng.randint(20, 45)))
+            b = a
+            for _ in range(k):
+                i, c = rng.randrange(len(b) + 1), rng.choice("abc")
+                b = rng.choice([b[:i] + c + b[i:], b[:i] + b[i + 1 :], b[:i] + c + b[i + 1 :]])
+            longer, shorter = (a, b) if len(a) >= len(b) else (b, a)
+            assert set(keys(longer, layouts, parts)) & set(keys(shorter, line_dedup._own(layouts), parts)), (k, parts, a, b)
+
+
+def test_a_large_group_of_near_copies_costs_its_size(spark):
+    """2,000 lines that differ from one by a character, and 600 that differ by a whole word: the first
+    are one class, with links in proportion to their number."""
+    rng = random.Random(6)
+    base = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(16))
+    near = {base[:i] + c + base[i + 1 :] for i in range(len(base)) for c in "klmnopqrstuvwxyzKLMN"}
+    near = sorted(near)[:2000]
+    words = base.split()
+    far = sorted({" ".join([*words[:i], "".join(rng.choice("zyxwvutsrq") for _ in range(6)), *words[i + 1 :]]) for i in [j % 16 for j in range(600)]})
+    lines = spark.createDataFrame([(i, x) for i, x in enumerate(near + far)], "h long, line string").select("h", F.lit(0).cast("long").alias("g"), line_dedup._letters(F.col("line")).alias("c"), "line")
+    found = [(r.a.h, r.b.h) for r in line_dedup.near_links(lines.cache()).collect()]
+    assert len(found) <= 20 * len(near + far)
+    root = list(range(len(near + far)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in found:
+        root[find(a)] = find(b)
+    assert len({find(i) for i in range(len(near))}) == 1
+    for i in range(len(near), len(root)):
+        want = {find(j) for j in range(len(root)) if j != i and abs(len((near + far)[i]) - len((near + far)[j])) <= 2 and sum(x != y for x, y in zip((near + far)[i], (near + far)[j], strict=True)) <= 2}
+        assert want <= {find(i)}

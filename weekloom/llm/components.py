@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import written
+from weekloom.llm.common import forget, written
 
 
 def _star(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         # every edge now points from the larger end (u) to a smaller one (v)
         stars = _star(large)
         little = stars.select(F.col("v").alias("a"), F.col("m").alias("b")).union(stars.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
-        e = written(little.select(F.col("b").alias("u"), F.col("a").alias("v")), "edges")
+        last, e = e, written(little.select(F.col("b").alias("u"), F.col("a").alias("v")), "edges")
+        forget(last)
         now = e.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if now == seen:
             break

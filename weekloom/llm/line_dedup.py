@@ -12,70 +12,101 @@ verified by a banded bit-parallel edit distance (Hyyrö 2003) in integer arithme
 
 Only hashes are shuffled for the join, with packed counts of a few letters: an edit changes the
 counts by two in all, so pairs whose counts differ by more than 2k are turned down where they meet.
-A line that occurs many times enters once. A segment of
-over ``DENSE_SEGMENT`` distinct lines would make many candidates: its lines carry their text and the
-join condition itself turns down what is too far, so that only links leave the join.
+A line that occurs many times enters once.
+
+A segment that many lines share is not joined with itself. Its lines meet the least of them only,
+and what is then one class needs no further look. Lines of a crowded segment whose classes differ go
+on to the next of ``PARTS``: cut into more segments, of which all but k must be the same, at once.
+Each step costs a line a fixed number of keys and a bucket's lines at most ``dense`` times that of
+pairs; the last step has no bound, but there a bucket holds lines that are alike in all but k
+forty-eighths (in all but k characters, for lines up to that length).
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
+from itertools import combinations, groupby, product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import small, written
+from weekloom.llm.common import forget, small, written
 from weekloom.llm.components import connected_components
 
 THRESHOLD = 2
 LEAST_CHARS = 20
-DENSE_SEGMENT = 64
+#: Lines of a segment from which they meet the least of them only; and by how much that rises from
+#: one step to the next, as the keys of a line do.
+DENSE_SEGMENT, DENSE_RISE = 16, 32
+#: Segments beyond k in each step.
+PARTS = (1, 3, 14, 46)
 #: Rows of hashes up to which a table is broadcast (about 24 bytes each).
 BROADCAST_ROWS = 1_000_000
-#: Letters that are counted: eight at most, of one byte.
-LETTERS = " ent"
+#: Letters that are counted, eight at most to a column, of one byte each: first, and in later steps.
+LETTERS, MORE_LETTERS = " ent", ("aoirshdl", "cumgpwfy")
 #: Lines whose flags one number holds.
 WORD_BITS = 63
 #: White space of a line; one of nothing else has no word.
 BLANKS = " \t\n\x0b\x0c\r"
 
+#: Characters shorter, number of the choice, and (from segment, to segment, shift) of what is shared.
+Layout = tuple[int, int, list[tuple[int, int, int]]]
+
+
+def _layouts(parts: int, k: int) -> list[Layout]:
+    """Ways in which a line can share all but ``k`` of the ``parts`` segments of one up to ``k``
+    characters shorter. A run of segments left out can be taken to hold as many edits as it has
+    segments at most, so by no more do the shifts on its sides differ."""
+    out: list[Layout] = []
+    for number, bad in enumerate(combinations(range(parts), k)):
+        runs = [[i for _, i in g] for _, g in groupby(enumerate(bad), lambda x: x[1] - x[0])]
+        for moves in product(*(range(-len(r), len(r) + 1) for r in runs)):
+            if sum(map(abs, moves)) > k or not 0 <= sum(moves) <= k:
+                continue
+            blocks, at, shift = [], 0, 0
+            for run, move in zip(runs, moves, strict=True):
+                blocks.append((at, run[0], shift))
+                at, shift = run[-1] + 1, shift + move
+            blocks.append((at, parts, shift))
+            out.append((shift, number, [b for b in blocks if b[0] < b[1]]))
+    return out
+
+
+def _own(layouts: list[Layout]) -> list[Layout]:
+    return [x for x in layouts if not x[0] and not any(s for _, _, s in x[2])]
 
-def _keys(lines: DataFrame, places: list[tuple[int, int, int]], k: int, *carry: str) -> DataFrame:
-    """(carry, key) for each line and place (characters shorter, segment, shift). Of the ``k + 1``
-    even segments of a length the longer ones come last. Places are rows before the key is made, so
-    that the code for it stays small enough to be compiled."""
-    spots = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("s")) for d, i, s in places])
+
+def _keys(lines: DataFrame, layouts: list[Layout], parts: int, *carry: str) -> DataFrame:
+    """(carry, key) for each line and layout. Of the even segments of a length the longer ones come
+    last. Layouts are rows of a literal before the key is made, so that the code for it stays small
+    enough to be compiled."""
+    most = max(len(b) for _, _, b in layouts)
+    spots = json.dumps([{"d": d, "i": i} | {f"{n}{j}": x for j, block in enumerate(b + [(0, 0, 0)] * (most - len(b))) for n, x in zip("abs", block, strict=True)} for d, i, b in layouts])
+    kind = ", ".join(["d int", "i int", *(f"{n}{j} int" for j in range(most) for n in "abs")])
     cols = dict.fromkeys([*carry, "line"])
-    rows = lines.select(*cols, F.length("line").alias("n"), F.explode(spots).alias("p")).select(*cols, (F.col("n") - F.col("p.d")).alias("n"), "p.i", "p.s")
-    short, first_long = F.expr(f"n div {k + 1}").cast("int"), F.expr(f"{k + 1} - n % {k + 1}")
-    start = F.col("i") * short + F.greatest(F.lit(0), F.col("i") - first_long) + F.col("s") + 1
-    size = short + (F.col("i") >= first_long).cast("int")
-    return rows.select(*carry, F.xxhash64("n", "i", F.substring(F.col("line"), start, size)).alias("key"))
+    rows = lines.select(*cols, F.length("line").alias("n"), F.explode(F.from_json(F.lit(spots), f"array<struct<{kind.replace(' int', ':int')}>>")).alias("p")).select(*cols, (F.col("n") - F.col("p.d")).alias("n"), "p.*")
+    short, first_long = F.expr(f"n div {parts}").cast("int"), F.expr(f"{parts} - n % {parts}")
+    start = lambda i: i * short + F.greatest(F.lit(0), i - first_long)
+    shared = [F.substring(F.col("line"), start(F.col(f"a{j}")) + F.col(f"s{j}") + 1, start(F.col(f"b{j}")) - start(F.col(f"a{j}"))) for j in range(most)]
+    return rows.select(*carry, F.xxhash64("n", "i", *shared).alias("key"))
 
 
-def _letters(line: Column) -> Column:
-    """Counts of ``LETTERS``, up to 255 each, packed into a long. A loop: written out, the code would
+def _letters(line: Column, letters: str = LETTERS) -> Column:
+    """Counts of ``letters``, up to 255 each, packed into a long. A loop: written out, the code would
     be too long to be compiled."""
 
     def add(packed: Column, letter: Column) -> Column:
         n = F.octet_length(line) - F.octet_length(F.replace(line, letter, F.lit("")))
         return F.shiftleft(packed, 8).bitwiseOR(F.least(F.lit(255), n).cast("long"))
 
-    return F.aggregate(F.array(*map(F.lit, LETTERS)), F.lit(0).cast("long"), add)
+    return F.aggregate(F.array(*map(F.lit, letters)), F.lit(0).cast("long"), add)
 
 
-def _letter_gap(x: Column, y: Column) -> Column:
+def _letter_gap(x: Column, y: Column, letters: str = LETTERS) -> Column:
     """By how much two packed counts differ in all: at most twice the edit distance."""
     at = lambda c, i: F.shiftrightunsigned(c, 8 * i).bitwiseAND(F.lit(255))
-    return sum((F.abs(at(x, i) - at(y, i)) for i in range(len(LETTERS))), F.lit(0))
-
-
-def _probes(k: int) -> list[tuple[int, int, int]]:
-    """(characters shorter, segment, shift) by multi-match-aware selection."""
-    out = []
-    for d in range(k + 1):
-        for i in range(1, k + 2):
-            lo, hi = max(-(i - 1), d - (k + 1 - i)), min(i - 1, d + (k + 1 - i))
-            out += [(d, i - 1, s) for s in range(lo, hi + 1)]
-    return out
+    return sum((F.abs(at(x, i) - at(y, i)) for i in range(len(letters))), F.lit(0))
 
 
 def _common(a: Column, b: Column, last: bool) -> Column:
@@ -144,11 +175,15 @@ def _banded(rows: Column, cols: Column, k: int) -> Column:
 def _trimmed(pairs: DataFrame) -> DataFrame:
     """(a, b, x, y): the middles of the lines ``la`` and ``lb``. Each step is written: the next one
     names its columns many times over, and a plan would repeat their making."""
-    p = written(pairs.withColumn("pre", _common(F.col("la"), F.col("lb"), False)), "prefix")
+    one = written(pairs.withColumn("pre", _common(F.col("la"), F.col("lb"), False)), "prefix")
     rest = [F.substring(F.col(c), F.col("pre") + 1, F.length(c)).alias(c) for c in ("la", "lb")]
-    p = written(p.select("a", "b", *rest), "rest")
-    p = written(p.withColumn("suf", _common(F.col("la"), F.col("lb"), True)), "suffix")
-    return written(p.select("a", "b", F.left("la", F.length("la") - F.col("suf")).alias("x"), F.left("lb", F.length("lb") - F.col("suf")).alias("y")), "middles")
+    two = written(one.select("a", "b", *rest), "rest")
+    forget(one)
+    one = written(two.withColumn("suf", _common(F.col("la"), F.col("lb"), True)), "suffix")
+    forget(two)
+    two = written(one.select("a", "b", F.left("la", F.length("la") - F.col("suf")).alias("x"), F.left("lb", F.length("lb") - F.col("suf")).alias("y")), "middles")
+    forget(one)
+    return two
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -163,38 +198,73 @@ def _hashed(lines: DataFrame) -> DataFrame:
     return lines.withColumn("h", F.when(there, F.xxhash64("line"))).withColumn("g", F.when(there, F.xxhash64(F.lit(1), F.col("line"))))
 
 
-def near_links(lines: DataFrame, k: int = THRESHOLD, dense: int = DENSE_SEGMENT) -> DataFrame:
-    """Pairs (a, b) of structs (h, g): distinct lines within ``k`` edits. ``lines``: h, g, c (letter
-    counts), line, each line of ``LEAST_CHARS`` or more once; read several times."""
-    own, probe = [(0, i, 0) for i in range(k + 1)], _probes(k)
-    indexed = written(_keys(lines, own, k, "h", "c"), "index")
-    heavy = written(indexed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense).select("key"), "dense")
-    dense_keys = small(heavy, BROADCAST_ROWS)
-    probing = _keys(lines, probe, k, "h", "c")
-    i = indexed.join(dense_keys, "key", "left_anti").select(F.col("key").alias("k1"), F.col("h").alias("h1"), F.col("c").alias("c1"))
-    met = probing.join(i, (F.col("key") == F.col("k1")) & (F.col("h") != F.col("h1")) & (_letter_gap(F.col("c"), F.col("c1")) <= 2 * k))
-    pairs = written(met.select(F.least("h", "h1").alias("h1"), F.greatest("h", "h1").alias("h2")).distinct(), "pairs")
-    # the candidates' texts
+def near_links(lines: DataFrame, k: int = THRESHOLD, dense: int = DENSE_SEGMENT, parts: Sequence[int] = PARTS) -> DataFrame:
+    """Pairs (a, b) of structs (h, g): distinct lines within ``k`` edits, such that their closure is
+    that of all pairs within ``k``. ``lines``: h, g, c (letter counts), line, each line of
+    ``LEAST_CHARS`` or more once; read several times."""
+    links, todo = None, lines
+    for step, more in enumerate(parts):
+        last = step == len(parts) - 1
+        met, heads = _met(todo, k + more, k, None if last else dense * DENSE_RISE**step, rooted=step > 0)
+        pairs = written(met.where("near").select(F.least("h", "h1").alias("h1"), F.greatest("h", "h1").alias("h2")).distinct(), "pairs")
+        found = _verified(_with_texts(pairs, todo), k)
+        links = found if links is None else written(links.union(found), "links")
+        if last or heads.isEmpty():
+            return links
+        crowd = written(met.where("crowded").select("h", "key").union(heads.select("h", "key")).distinct(), "crowd")
+        forget(met, heads)
+        todo = _unlike(todo, crowd, links)
+        if todo.isEmpty():
+            return links
+    return links
+
+
+def _met(lines: DataFrame, parts: int, k: int, dense: int | None, rooted: bool) -> tuple[DataFrame, DataFrame]:
+    """(pairs, heads). Pairs (h, h1, key, crowded, near) of lines that meet in a bucket; in one of
+    more than ``dense`` lines, with its head only. Near are those that letters (and classes, if
+    ``rooted``) don't turn down. Heads: key, h and so on of such a bucket's least line."""
+    layouts = _layouts(parts, k)
+    carry = ["h", "c", *(["m0", "m1", "root"] if rooted else [])]
+    indexed = written(_keys(lines, _own(layouts), parts, *carry), "index")
+    first = F.min(F.struct(*carry)).alias("first")
+    heads = written(indexed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), first).where(F.lit(False) if dense is None else F.col("n") > dense).select("key", "first.*"), "heads")
+    crowded = small(heads, BROADCAST_ROWS)
+    index = indexed.join(crowded, "key", "left_anti").withColumn("crowded", F.lit(False)).unionByName(heads.withColumn("crowded", F.lit(True)))
+    i = index.select(F.col("key").alias("k1"), "crowded", *[F.col(c).alias(f"{c}1") for c in carry])
+    near = _letter_gap(F.col("c"), F.col("c1")) <= 2 * k
+    if rooted:
+        gaps = [_letter_gap(F.col(f"m{j}"), F.col(f"m{j}1"), letters) for j, letters in enumerate(MORE_LETTERS)]
+        near = (sum(gaps, _letter_gap(F.col("c"), F.col("c1"))) <= 2 * k) & (F.col("root") != F.col("root1"))
+    met = _keys(lines, layouts, parts, *carry).join(i, (F.col("key") == F.col("k1")) & (F.col("h") != F.col("h1")) & (F.col("crowded") | near))
+    out = written(met.select("h", "h1", "key", "crowded", near.alias("near")), "met")
+    forget(indexed)
+    return out, heads
+
+
+def _unlike(lines: DataFrame, crowd: DataFrame, links: DataFrame) -> DataFrame:
+    """The lines of crowded buckets (h, key) in which lines of several classes meet, with their class
+    as ``root`` and counts of more letters."""
+    roots = connected_components(links).select(F.col("node.h").alias("h"), F.col("node.g").alias("g"), F.col("root").alias("found"))
+    here = lines.drop("root", "m0", "m1").join(small(written(crowd.select("h").distinct(), "names"), BROADCAST_ROWS), "h", "left_semi")
+    rows = written(here.join(roots, ["h", "g"], "left").select("h", "g", "c", "line", F.coalesce("found", F.struct("h", "g")).alias("root"), *[_letters(F.col("line"), x).alias(f"m{j}") for j, x in enumerate(MORE_LETTERS)]), "rooted")
+    of = crowd.join(rows.select("h", "root"), "h")
+    mixed = written(of.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "mixed")
+    names = crowd.join(small(mixed, BROADCAST_ROWS), "key", "left_semi").select("h").distinct()
+    return written(rows.join(small(written(names, "names"), BROADCAST_ROWS), "h", "left_semi"), "unlike")
+
+
+def _with_texts(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(a, la, b, lb) of the pairs (h1, h2) of hashes."""
     names = small(written(pairs.select(F.col("h1").alias("h")).union(pairs.select("h2")).distinct(), "names"), BROADCAST_ROWS)
     texts = written(lines.join(names, "h", "left_semi").select("h", "g", "line"), "texts")
     one = texts.select(F.col("h").alias("h1"), F.struct("h", "g").alias("a"), F.col("line").alias("la"))
     two = texts.select(F.col("h").alias("h2"), F.struct("h", "g").alias("b"), F.col("line").alias("lb"))
-    sparse = pairs.join(one, "h1").join(two, "h2").select("a", "la", "b", "lb")
-    found = _verified(sparse, k)
-    if heavy.isEmpty():
-        return found
-    # dense segments: texts go along, and the condition leaves links only
-    rows = _keys(lines, probe, k, "h", "g", "c", "line").join(dense_keys, "key", "left_semi")
-    base = _keys(lines, own, k, "h", "g", "c", "line").join(dense_keys, "key", "left_semi")
-    l, r = rows.alias("l"), base.alias("r")
-    near = (F.col("l.key") == F.col("r.key")) & (F.col("l.h") != F.col("r.h")) & (_letter_gap(F.col("l.c"), F.col("r.c")) <= 2 * k) & (F.levenshtein("l.line", "r.line", k) >= 0)
-    close = l.join(r, near).select(F.struct("l.h", "l.g").alias("a"), F.col("l.line").alias("la"), F.struct("r.h", "r.g").alias("b"), F.col("r.line").alias("lb"))
-    return found.union(_verified(close, k))
+    return pairs.join(one, "h1").join(two, "h2").select("a", "la", "b", "lb")
 
 
 def _verified(pairs: DataFrame, k: int) -> DataFrame:
     close = _trimmed(pairs.where(F.abs(F.length("la") - F.length("lb")) <= k))
-    return close.where(edit_distance(F.col("x"), F.col("y"), k) <= k).select("a", "b")
+    return written(close.where(edit_distance(F.col("x"), F.col("y"), k) <= k).select("a", "b"), "links")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = THRESHOLD, dense: int = DENSE_SEGMENT) -> tuple[DataFrame, DataFrame]:
