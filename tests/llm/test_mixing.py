@@ -27,6 +27,7 @@ def test_targets_and_totals(spark):
     rng = random.Random(4)
     rows = [(i, "w " * rng.randint(0, 60), rng.choice(["a", "b", "c", "hot", "hot", "hot", "é", None])) for i in range(400)]
     rows += [(1000, None, "b"), (None, "x y z", "c"), (5, rows[5][1], rows[5][2]), (1001, "big " * 50_000, "hot"), (1002, "", "empty")]
+    rows += [(7, "w " * (i % 9 + 1), "hot") for i in range(60)] + [(None, "v " * (i % 11 + 1), "hot") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash")).withColumn("order", F.lit(1))
     got = mixing.mix(docs).collect()
     sizes, taken, biggest = {}, {}, {}

@@ -53,14 +53,58 @@ def test_outliers_go_and_clean_text_stays(spark):
     assert quality_rules.judge(docs.limit(0)).count() == 0
 
 
+def slow_estimate(x, support=quality_rules.SUPPORT):
+    """The regularised estimate of one group with numpy: centre, covariance, logdet."""
+    p = x.shape[1]
+    floors = np.array(quality_rules.FLOORS)
+    factor = support / quality_rules.chi_square_cdf(quality_rules.chi_square_quantile(support, p), p + 2)
+    mid, scale = np.median(x, 0), np.maximum((np.quantile(x, 0.75, 0) - np.quantile(x, 0.25, 0)) / 1.349, floors)
+    z = (x - mid) / scale
+    best = None
+    for v in (None, np.tanh(z), z / np.sqrt(np.square(z).sum(1, keepdims=True) + 1e-12)):
+        r = np.eye(p) if v is None else v.T @ v / len(x) + 0.01 * np.eye(p)
+        d = scale / np.sqrt(np.diag(r))
+        centre, cov, was = mid, r * np.outer(d, d), np.inf
+        for _ in range(100):
+            d2 = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(cov + np.diag(floors**2)), x - centre)
+            near = x[np.argsort(d2, kind="stable")[: int(np.ceil(support * len(x)))]]
+            centre, cov = near.mean(0), factor * np.cov(near.T, bias=True)
+            now = np.linalg.slogdet(cov + np.diag(floors**2))[1]
+            if was - now < 1e-9:
+                break
+            was = now
+        if best is None or now < best[2]:
+            best = centre, cov, now
+    return best
+
+
 def test_concentration_steps_find_the_clean_majority(spark):
-    """Against the same estimate with numpy on one machine."""
+    """Against the same estimate with numpy on one machine; radii are binned here, to 4 %."""
     rng = np.random.default_rng(7)
     p = len(quality_rules.STATS)
-    x = np.vstack([rng.normal(0, 1, (300, p)), rng.normal(8, 1, (60, p))])
-    rows = spark.createDataFrame([("own:a", False, [float(v) for v in r]) for r in x], "grp string, base_failed boolean, x array<double>")
+    mix = rng.normal(0, 1, (p, p)) / 2 + np.eye(p)
+    x = np.vstack([rng.normal(0, 1, (600, p)) @ mix, rng.normal(6, 0.5, (120, p))])
+    rows = spark.createDataFrame([("a", None, [float(v) for v in r]) for r in x], "grp string, parent string, x array<double>")
     got = quality_rules.estimates(rows).collect()
-    assert len(got) == 1 and np.abs(np.array(got[0].centre)).max() < 0.3
+    centre, cov, logdet = slow_estimate(x)
+    assert len(got) == 1 and np.abs(np.array(got[0].centre) - centre).max() < 0.1
+    root = np.zeros((p, p))
+    root[np.tril_indices(p)] = got[0].root
+    assert abs(-2 * np.log(np.diag(root)).sum() - logdet) < 0.35
+    assert np.abs(np.linalg.inv(root.T @ root) - cov - np.diag(np.square(quality_rules.FLOORS))).max() < 0.2 * np.diag(cov).max()
+    d2 = np.square((x - np.array(got[0].centre)) @ root.T).sum(1)
+    assert (d2[600:] > quality_rules.CUTOFF).all() and (d2[:600] < quality_rules.CUTOFF).mean() > 0.99
+
+
+def test_small_groups_lean_on_their_parent(spark):
+    rng = np.random.default_rng(8)
+    p = len(quality_rules.STATS)
+    x, few = rng.normal(0, 1, (500, p)), rng.normal(0.5, 1, (4, p))
+    rows = [("all", None, r) for r in (*x, *few)] + [("few", "all", r) for r in few]
+    got = {r.grp: r for r in quality_rules.estimates(spark.createDataFrame([(g, u, [float(v) for v in r]) for g, u, r in rows], "grp string, parent string, x array<double>")).collect()}
+    assert np.abs(np.array(got["few"].centre) - np.array(got["all"].centre)).max() < 0.4
+    ends = [i * (i + 3) // 2 for i in range(p)]
+    assert (np.array(got["few"].root)[ends] / np.array(got["all"].root)[ends]).max() < 2
 
 
 def test_classifier(spark):

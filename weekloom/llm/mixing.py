@@ -71,8 +71,9 @@ def _with(rows: DataFrame, per_source: DataFrame) -> DataFrame:
 
 
 def prepared(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    """``docs`` packed under ``row``, with id, source, size and order: an MD5 of seed and id."""
-    order = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("-"))))
+    """``docs`` packed under ``row``, with id, source, size and order: an MD5 of seed, id and text, so
+    that only rows alike in both have equal places, and either may go first."""
+    order = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit("|"), F.coalesce(F.col(text_col), F.lit(""))))
     return docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), order.alias("order"))
 
 
@@ -91,7 +92,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """(id, source, size, source_size, target, times, taken) for every row of ``docs``.
 
     A null text has size zero; a null source is a source of its own, last in order; repeated rows
-    have one place in the order after another; a null id counts as one id. Each source's sum of
+    have one place in the order after another; so have rows of null or equal id, by their texts. Each source's sum of
     ``taken`` is within half a document of its target. An empty table gives an empty result."""
     sized = written(prepared(docs, id_col, text_col, source_col, seed).select("id", "source", "size", "order"), "sized")
     return decided(sized, plan(sized, weights, max_epochs), max_epochs).withColumn("taken", F.col("times") * F.col("size")).drop("order")

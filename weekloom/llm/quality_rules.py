@@ -4,12 +4,16 @@ Two plain rules decide first (too few words; too much text in repeated five-word
 rest, a document goes if its vector of transformed statistics lies far from its group's centre in
 the Mahalanobis distance of a minimum-covariance-determinant estimate.
 
-The estimate is made over all documents: a deterministic start (medians and quartile ranges), then
-concentration steps. A step is two aggregations with map-side combining: distances counted in
-logarithmic bins, which give the radius that holds ``SUPPORT`` of a group, and the moments of what
-lies inside. Covariances are regularised towards a diagonal of least scales (the exact-fit case:
-most groups repeat no lines at all). Groups under ``LEAST_GROUP`` documents are pooled by language,
-then all together; a pool that is still too small rejects nobody.
+The estimates are made over all documents, for each language and source, each language and all
+together in one go. They start from three robust estimates (Hubert et al., "A Deterministic Algorithm
+for Robust Location and Scatter", 2012): medians with quartile ranges, with the correlations of
+hyperbolic tangents, and with those of spatial signs. Concentration steps go on until no determinant
+falls any more; of the three the least determinant counts. A step is one aggregation with map-side
+combining: moments by logarithmic bins of the distance, of which those that hold ``SUPPORT`` of a
+group are added up. A group's moments are joined by those of ``PRIOR_ROWS`` imagined documents of
+its parent (its language, then all), so small groups lean on larger ones and no group goes unjudged.
+Covariances are regularised by a diagonal of least scales (the exact-fit case: most groups repeat no
+lines at all).
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import small, written
+from weekloom.llm.common import forget, small, written
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -34,11 +38,13 @@ STATS = ("word_length", "symbols", "marks", "capitals", "repeats", "same_lines")
 #: Least scale of each statistic, in its transformed unit.
 FLOORS = (0.06, 0.35, 0.25, 0.35, 0.5, 0.5)
 SUPPORT = 0.75
-STEPS = 4
-LEAST_GROUP = 50
+#: Fall of a logarithm of the determinant that calls for another step; and a guard against a defect.
+LEAST_FALL, MAX_STEPS = 0.01, 40
+#: Documents that a group's parent counts for in its estimate.
+PRIOR_ROWS = 50
 #: Words at which a document's distance counts half: short texts have noisy statistics.
 HALF_WORDS = 50
-#: Groups up to which their estimates are broadcast (about 500 bytes each).
+#: Groups up to which their estimates are broadcast (about 2 kB each).
 BROADCAST_GROUPS = 20_000
 _BINS = 16  # a power of two
 
@@ -121,26 +127,9 @@ def chi_square_quantile(q: float, p: int) -> float:
 CUTOFF = chi_square_quantile(0.9999, len(STATS))
 
 
-def _grouped(stats: DataFrame) -> DataFrame:
-    """``stats`` with the group ``grp`` that each document is judged in; null if there is none."""
-    name = lambda *cols: F.concat_ws("\x01", *[F.coalesce(c, F.lit("\x02")) for c in cols])
-    own = stats.withColumn("g3", name(F.col("lang"), F.col("source"))).withColumn("g2", name(F.col("lang")))
-    n3 = own.groupBy("g3", "g2").agg(F.count(F.lit(1)).alias("n"))
-    few3 = n3.where(F.col("n") < LEAST_GROUP)
-    few2 = few3.groupBy("g2").agg(F.sum("n").alias("n2"))
-    n1 = few2.agg(F.sum(F.when(F.col("n2") < LEAST_GROUP, F.col("n2"))).alias("n1"))
-    pool = F.when(F.col("n2") >= LEAST_GROUP, F.concat(F.lit("lang:"), F.col("g2"))).when(F.col("n1") >= LEAST_GROUP, F.lit("all"))
-    names = n3.join(few2, "g2", "left").crossJoin(F.broadcast(n1)).select("g3", F.when(F.col("n") >= LEAST_GROUP, F.concat(F.lit("own:"), F.col("g3"))).otherwise(pool).alias("grp"))
-    return own.join(small(written(names, "groups"), BROADCAST_GROUPS), "g3").drop("g3", "g2")
-
-
-def _radius(rows: DataFrame, keys: list[str], value: Column, share: float) -> DataFrame:
-    """(keys, radius): upper edge of the logarithmic bin up to which ``share`` of the rows lie."""
-    cells = rows.groupBy(*keys, F.floor(_BINS * F.log2(value + F.lit(1e-6))).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    by = W.partitionBy(*keys)
-    run = F.sum("n").over(by.orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
-    found = cells.withColumn("run", run).withColumn("all", F.sum("n").over(by)).where(F.col("run") >= share * F.col("all"))
-    return found.groupBy(*keys).agg(F.pow(F.lit(2.0), (F.min("bin") + 1) / _BINS).alias("radius"))
+def _name(*cols: str) -> Column:
+    """Name of a group, which tells null from any value."""
+    return F.concat_ws("\x01", F.lit(str(len(cols))), *[F.coalesce(F.concat(F.lit("="), c), F.lit("-")) for c in cols])
 
 
 def _distance() -> Column:
@@ -155,60 +144,121 @@ def _distance() -> Column:
     return total
 
 
-def _solved(moments: DataFrame, factor: float) -> DataFrame:
-    """(grp, centre, root) from a row of sums for each group."""
+def _square(lower) -> np.ndarray:
+    """The symmetric matrix of a lower triangle by rows."""
+    out = np.zeros((len(STATS), len(STATS)))
+    out[np.tril_indices(len(STATS))] = lower
+    return out + np.tril(out, -1).T
+
+
+def _rooted(centre: np.ndarray, cov: np.ndarray) -> tuple:
+    """(centre, cov, root, logdet) with ``cov`` regularised for the last two."""
+    root = np.linalg.inv(np.linalg.cholesky(cov + np.diag(np.square(FLOORS))))
+    low = np.tril_indices(len(STATS))
+    return centre, cov[low], root[low], -2 * np.log(np.diag(root)).sum()
+
+
+_ESTIMATE = "grp string, parent string, start int, centre array<double>, cov array<double>, root array<double>, logdet double"
+
+
+def _products(v: list[Column]) -> list[Column]:
+    return [F.sum(v[i] * v[j]) for i in range(len(v)) for j in range(i + 1)]
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Three estimates of every group of rows (grp, parent, x)."""
     p = len(STATS)
+    # medians and quartile ranges from bins of a fixed width
+    long = rows.select("grp", "parent", F.posexplode("x").alias("i", "v")).groupBy("grp", "parent", "i", F.floor(F.col("v") * 50).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    by = W.partitionBy("grp", "i")
+    ran = long.withColumn("run", F.sum("n").over(by.orderBy("bin").rowsBetween(W.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(by))
+    at = lambda q: F.min(F.when(F.col("run") >= q * F.col("all"), F.col("bin"))) / 50 + 0.01
+    scales = ran.groupBy("grp", "parent", "i").agg(at(0.5).alias("mid"), (at(0.75) - at(0.25)).alias("iqr"))
+    floor = F.element_at(F.array(*map(F.lit, FLOORS)), F.col("i") + 1)
+    scales = scales.groupBy("grp", "parent").agg(F.sort_array(F.collect_list(F.struct("i", "mid", F.greatest(F.col("iqr") / 1.349, floor).alias("scale")))).alias("a"))
+    scales = written(scales.select("grp", F.col("a.mid").alias("mid"), F.col("a.scale").alias("scale")), "scales")
+    z = [((F.col("x")[i] - F.col("mid")[i]) / F.col("scale")[i]) for i in range(p)]
+    rows = rows.join(small(scales, BROADCAST_GROUPS), "grp").select("grp", "parent", "mid", "scale", *[c.alias(f"z{i}") for i, c in enumerate(z)])
+    z = [F.col(f"z{i}") for i in range(p)]
+    length = F.sqrt(sum((c * c for c in z), F.lit(1e-12)))
+    soft, signs = [F.array(*_products(v)) for v in ([F.tanh(c) for c in z], [c / length for c in z])]
+    sums = rows.groupBy("grp", "parent").agg(F.count(F.lit(1)).alias("n"), F.first("mid").alias("mid"), F.first("scale").alias("scale"), soft.alias("soft"), signs.alias("signs"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for grp, n, s, q in zip(b.grp, b.n, b.s, b.q, strict=True):
+            for grp, parent, n, mid, scale, soft, signs in zip(*(b[c] for c in ("grp", "parent", "n", "mid", "scale", "soft", "signs")), strict=True):
+                for start, lower in enumerate((None, soft, signs)):
+                    r = np.eye(p) if lower is None else _square(lower) / n + 0.01 * np.eye(p)
+                    d = np.asarray(scale) / np.sqrt(np.diag(r))
+                    out.append((grp, parent, start, *_rooted(np.asarray(mid), r * np.outer(d, d))))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in _ESTIMATE.split(", ")])
+
+    return sums.mapInPandas(run, _ESTIMATE)
+
+
+def _solved(moments: DataFrame, factor: float) -> DataFrame:
+    """Estimates with ``fell`` from sums of each group, its parent's estimate and its last logdet."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for grp, parent, start, was, n, s, q, above, spread in zip(*(b[c] for c in ("grp", "parent", "start", "was", "n", "s", "q", "above", "spread")), strict=True):
                 centre = np.asarray(s) / n
-                cov = np.zeros((p, p))
-                cov[np.tril_indices(p)] = np.asarray(q) / n
-                cov = cov + np.tril(cov, -1).T - np.outer(centre, centre)
-                root = np.linalg.inv(np.linalg.cholesky(factor * cov + np.diag(np.square(FLOORS))))
-                out.append((grp, centre, root[np.tril_indices(p)]))
-            yield pd.DataFrame(out, columns=["grp", "centre", "root"])
+                cov = factor * (_square(q) / n - np.outer(centre, centre))
+                if parent is not None:
+                    m, gap = PRIOR_ROWS, centre - np.asarray(above)
+                    cov = (n * cov + m * _square(spread) + n * m / (n + m) * np.outer(gap, gap)) / (n + m)
+                    centre = centre - gap * m / (n + m)
+                got = _rooted(centre, cov)
+                out.append((grp, parent, start, *got, was - got[-1]))
+            yield pd.DataFrame(out, columns=[*(x.split()[0] for x in _ESTIMATE.split(", ")), "fell"])
 
-    return moments.mapInPandas(run, "grp string, centre array<double>, root array<double>")
+    return moments.mapInPandas(run, f"{_ESTIMATE}, fell double")
 
 
-def estimates(stats: DataFrame) -> DataFrame:
-    """(grp, centre, root) of every group: the regularised minimum-covariance-determinant estimate."""
+def estimates(rows: DataFrame) -> DataFrame:
+    """(grp, centre, root) of every group of rows (grp, parent, x); the parent of a group is a group,
+    or null: the regularised minimum-covariance-determinant estimate."""
     p = len(STATS)
-    rows = stats.where("grp IS NOT NULL AND NOT base_failed").select("grp", "x")
-    # start: medians and quartile ranges, from bins of a fixed width
-    long = rows.select("grp", F.posexplode("x").alias("i", "v")).groupBy("grp", "i", F.floor(F.col("v") * 50).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    by = W.partitionBy("grp", "i")
-    ran = long.withColumn("run", F.sum("n").over(by.orderBy("bin").rowsBetween(W.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(by))
-    at = lambda q: F.min(F.when(F.col("run") >= q * F.col("all"), F.col("bin"))) / 50 + 0.01
-    scales = ran.groupBy("grp", "i").agg(at(0.5).alias("mid"), (at(0.75) - at(0.25)).alias("iqr"))
-    floor = F.element_at(F.array(*map(F.lit, FLOORS)), F.col("i") + 1)
-    scales = scales.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("i", "mid", F.greatest(F.col("iqr") / 1.349, floor).alias("scale")))).alias("a"))
-    root = [F.lit(1.0) / F.col("a")[i]["scale"] if i == j else F.lit(0.0) for i in range(p) for j in range(i + 1)]
-    now = written(scales.select("grp", F.col("a.mid").alias("centre"), F.array(*root).alias("root")), "start")
+    now = written(_starts(rows), "estimate")
     inside = chi_square_quantile(SUPPORT, p)
     factor = SUPPORT / chi_square_cdf(inside, p + 2)
-    for _ in range(STEPS):
-        far = rows.join(small(now, BROADCAST_GROUPS), "grp").select("grp", "x", _distance().alias("d2"))
-        radius = written(_radius(far, ["grp"], F.col("d2"), SUPPORT), "radius")
-        near = far.join(small(radius, BROADCAST_GROUPS), "grp").where("d2 < radius")
-        sums = [F.sum(F.col("x")[i]) for i in range(p)]
-        squares = [F.sum(F.col("x")[i] * F.col("x")[j]) for i in range(p) for j in range(i + 1)]
-        now = written(_solved(near.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("s"), F.array(*squares).alias("q")), factor), "estimate")
-    return now
+    x = [F.col(f"x{i}") for i in range(p)]
+    for step in range(MAX_STEPS):
+        own = small(now.select("grp", "start", "centre", "root", F.col("logdet").alias("was")), BROADCAST_GROUPS)
+        far = rows.join(own, "grp").select("grp", "parent", "start", "was", F.floor(_BINS * F.log2(_distance() + F.lit(1e-6))).cast("int").alias("bin"), *[F.col("x")[i].alias(f"x{i}") for i in range(p)])
+        sums = [c.alias(f"s{i}") for i, c in enumerate([*map(F.sum, x), *_products(x)])]
+        cells = written(far.groupBy("grp", "parent", "start", "was", "bin").agg(F.count(F.lit(1)).alias("n"), *sums), "cells")
+        by = W.partitionBy("grp", "start")
+        run = F.sum("n").over(by.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
+        near = cells.withColumn("run", run).withColumn("all", F.sum("n").over(by)).where(F.col("run") < SUPPORT * F.col("all"))
+        total = [F.sum(f"s{i}") for i in range(len(sums))]
+        moments = near.groupBy("grp", "parent", "start", "was").agg(F.sum("n").alias("n"), F.array(*total[:p]).alias("s"), F.array(*total[p:]).alias("q"))
+        above = small(now.select(F.col("grp").alias("__p"), F.col("start").alias("__s"), F.col("centre").alias("above"), F.col("cov").alias("spread")), BROADCAST_GROUPS)
+        joined = moments.join(above, (F.col("parent") == F.col("__p")) & (F.col("start") == F.col("__s")), "left")
+        last, now = now, written(_solved(joined, factor), "estimate")
+        forget(last, cells)
+        fell = now.agg(F.max("fell")).first()[0]
+        if fell is None or step and fell < LEAST_FALL:  # what a start is scaled by says nothing
+            break
+    else:
+        raise RuntimeError("concentration steps did not settle")
+    return now.groupBy("grp").agg(F.min_by(F.struct("centre", "root"), F.struct("logdet", "start")).alias("e")).select("grp", "e.centre", "e.root")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF) -> DataFrame:
     """One row for each row of ``docs``: id, the counts, base_failed, ``distance`` (squared, weighted
-    by n_words / (n_words + HALF_WORDS); null in pools too small to judge) and ``kept``.
+    by n_words / (n_words + HALF_WORDS); null in groups where all fail the base rule) and ``kept``.
 
     Null and empty texts have no words and fail the base rule; null languages and sources are
     groups of their own; repeated rows each get a row; an empty table gives an empty result."""
     stats = written(statistics(docs, id_col, text_col, lang_col, source_col), "stats")
-    grouped = written(_grouped(stats), "grouped")
-    found = grouped.join(small(estimates(grouped), BROADCAST_GROUPS), "grp", "left")
+    levels = [_name("lang", "source"), _name("lang"), _name()]
+    groups = F.array(*[F.struct(g.alias("grp"), (up if up is not None else F.lit(None).cast("string")).alias("parent")) for g, up in zip(levels, [*levels[1:], None], strict=True)])
+    rows = stats.where("NOT base_failed").select("x", F.explode(groups).alias("g")).select("g.grp", "g.parent", "x")
+    estimate = small(written(estimates(rows), "estimates"), BROADCAST_GROUPS)
+    found = stats.withColumn("grp", levels[0]).join(estimate, "grp", "left")
     distance = _distance() * F.col("n_words") / (F.col("n_words") + HALF_WORDS)
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     return found.withColumn("distance", distance).withColumn("kept", kept).drop("centre", "root")

@@ -81,7 +81,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = f"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, {_W})), 0)::BIGINT AS size, md5('42|' || coalesce(doc_id::VARCHAR, '-')) AS k
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, {_W})), 0)::BIGINT AS size, md5('42|' || coalesce(doc_id::VARCHAR, '-') || '|' || coalesce(text, '')) AS k
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w, 3 * source_size AS cap FROM s),
