@@ -38,8 +38,8 @@ STATS = ("word_length", "symbols", "marks", "capitals", "repeats", "same_lines")
 #: Least scale of each statistic, in its transformed unit.
 FLOORS = (0.06, 0.35, 0.25, 0.35, 0.5, 0.5)
 SUPPORT = 0.75
-#: Fall of a logarithm of the determinant that calls for another step; and a guard against a defect.
-LEAST_FALL, MAX_STEPS = 0.01, 40
+#: Fall of a logarithm of the determinant for which a step is taken; and a guard against a defect.
+LEAST_FALL, MAX_STEPS = 0.05, 100
 #: Documents that a group's parent counts for in its estimate.
 PRIOR_ROWS = 50
 #: Words at which a document's distance counts half: short texts have noisy statistics.
@@ -198,12 +198,13 @@ def _starts(rows: DataFrame) -> DataFrame:
 
 
 def _solved(moments: DataFrame, factor: float) -> DataFrame:
-    """Estimates with ``fell`` from sums of each group, its parent's estimate and its last logdet."""
+    """Estimates with ``fell`` from sums of each group, its parent's estimate and its own so far,
+    which stays where its determinant doesn't fall (the first, of no scale yet, has no ``was``)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for grp, parent, start, was, n, s, q, above, spread in zip(*(b[c] for c in ("grp", "parent", "start", "was", "n", "s", "q", "above", "spread")), strict=True):
+            for grp, parent, start, was, n, s, q, above, spread, *before in zip(*(b[c] for c in ("grp", "parent", "start", "was", "n", "s", "q", "above", "spread", "centre", "cov", "root")), strict=True):
                 centre = np.asarray(s) / n
                 cov = factor * (_square(q) / n - np.outer(centre, centre))
                 if parent is not None:
@@ -211,7 +212,8 @@ def _solved(moments: DataFrame, factor: float) -> DataFrame:
                     cov = (n * cov + m * _square(spread) + n * m / (n + m) * np.outer(gap, gap)) / (n + m)
                     centre = centre - gap * m / (n + m)
                 got = _rooted(centre, cov)
-                out.append((grp, parent, start, *got, was - got[-1]))
+                fell = np.inf if np.isnan(was) else was - got[-1]
+                out.append((grp, parent, start, *got, fell) if fell >= LEAST_FALL else (grp, parent, start, *before, was, 0.0))
             yield pd.DataFrame(out, columns=[*(x.split()[0] for x in _ESTIMATE.split(", ")), "fell"])
 
     return moments.mapInPandas(run, f"{_ESTIMATE}, fell double")
@@ -226,21 +228,21 @@ def estimates(rows: DataFrame) -> DataFrame:
     factor = SUPPORT / chi_square_cdf(inside, p + 2)
     x = [F.col(f"x{i}") for i in range(p)]
     for step in range(MAX_STEPS):
-        own = small(now.select("grp", "start", "centre", "root", F.col("logdet").alias("was")), BROADCAST_GROUPS)
-        far = rows.join(own, "grp").select("grp", "parent", "start", "was", F.floor(_BINS * F.log2(_distance() + F.lit(1e-6))).cast("int").alias("bin"), *[F.col("x")[i].alias(f"x{i}") for i in range(p)])
+        own = small(now.select("grp", "start", "centre", "cov", "root", (F.col("logdet") if step else F.lit(None).cast("double")).alias("was")), BROADCAST_GROUPS)
+        far = rows.join(own, "grp").select("grp", "parent", "start", F.floor(_BINS * F.log2(_distance() + F.lit(1e-6))).cast("int").alias("bin"), *[F.col("x")[i].alias(f"x{i}") for i in range(p)])
         sums = [c.alias(f"s{i}") for i, c in enumerate([*map(F.sum, x), *_products(x)])]
-        cells = written(far.groupBy("grp", "parent", "start", "was", "bin").agg(F.count(F.lit(1)).alias("n"), *sums), "cells")
+        cells = written(far.groupBy("grp", "parent", "start", "bin").agg(F.count(F.lit(1)).alias("n"), *sums), "cells")
         by = W.partitionBy("grp", "start")
         run = F.sum("n").over(by.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
         near = cells.withColumn("run", run).withColumn("all", F.sum("n").over(by)).where(F.col("run") < SUPPORT * F.col("all"))
         total = [F.sum(f"s{i}") for i in range(len(sums))]
-        moments = near.groupBy("grp", "parent", "start", "was").agg(F.sum("n").alias("n"), F.array(*total[:p]).alias("s"), F.array(*total[p:]).alias("q"))
+        moments = near.groupBy("grp", "parent", "start").agg(F.sum("n").alias("n"), F.array(*total[:p]).alias("s"), F.array(*total[p:]).alias("q"))
         above = small(now.select(F.col("grp").alias("__p"), F.col("start").alias("__s"), F.col("centre").alias("above"), F.col("cov").alias("spread")), BROADCAST_GROUPS)
-        joined = moments.join(above, (F.col("parent") == F.col("__p")) & (F.col("start") == F.col("__s")), "left")
+        joined = moments.join(own, ["grp", "start"]).join(above, (F.col("parent") == F.col("__p")) & (F.col("start") == F.col("__s")), "left")
         last, now = now, written(_solved(joined, factor), "estimate")
         forget(last, cells)
         fell = now.agg(F.max("fell")).first()[0]
-        if fell is None or step and fell < LEAST_FALL:  # what a start is scaled by says nothing
+        if not fell:
             break
     else:
         raise RuntimeError("concentration steps did not settle")
