@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,9 +40,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found.written_to = path
+    if _open:
+        _open[-1].append(found)
     return found
 
 
+#: Tables written in each scope of ``scratch`` that is open.
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A scope at whose end the tables written in it are deleted, but for those (of ``written``)
+    that were given to the function it yields."""
+    _open.append([])
+    kept: list[DataFrame] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table)
+        return table
+
+    try:
+        yield keep
+    finally:
+        forget(*(t for t in _open.pop() if all(t is not k for k in kept)))
+        if _open:
+            _open[-1].extend(kept)
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes tables of ``written`` once what was made of them is written itself."""
     for t in tables:

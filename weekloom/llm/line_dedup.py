@@ -31,7 +31,7 @@ from itertools import combinations, groupby, product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import forget, small, written
+from weekloom.llm.common import forget, scratch, small, written
 from weekloom.llm.components import connected_components
 
 THRESHOLD = 2
@@ -305,7 +305,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     A null text stays null and has no lines; an empty one has one line, without a word. Documents all
     of whose lines are dropped become empty. Rows that repeat id and text are one document and get
     one answer; null ids come first. An empty table gives an empty result."""
-    found = written(flagged(docs, id_col, text_col, k, dense), "flags").select(F.col("id").alias("__i"), F.col("dk").alias("__d"), F.col("flags").alias("__f"), F.col("dropped").alias("__n"))
+    with scratch() as keep:
+        found = keep(written(flagged(docs, id_col, text_col, k, dense), "flags"))
+    found = found.select(F.col("id").alias("__i"), F.col("dk").alias("__d"), F.col("flags").alias("__f"), F.col("dropped").alias("__n"))
     keys = docs[id_col].eqNullSafe(found["__i"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == found["__d"])
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.filter(lines, lambda x, i: F.coalesce(F.getbit(F.get(F.col("__f"), F.floor(i / WORD_BITS).cast("int")), i % WORD_BITS), F.lit(0)) == 0)

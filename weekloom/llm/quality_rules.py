@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import forget, small, written
+from weekloom.llm.common import forget, scratch, small, written
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -46,6 +46,8 @@ PRIOR_ROWS = 50
 HALF_WORDS = 50
 #: Groups up to which their estimates are broadcast (about 2 kB each).
 BROADCAST_GROUPS = 20_000
+#: Kept documents up to which their keys are broadcast (about 60 bytes each).
+BROADCAST_ROWS = 500_000
 _BINS = 16  # a power of two
 
 
@@ -259,7 +261,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     levels = [_name("lang", "source"), _name("lang"), _name()]
     groups = F.array(*[F.struct(g.alias("grp"), (up if up is not None else F.lit(None).cast("string")).alias("parent")) for g, up in zip(levels, [*levels[1:], None], strict=True)])
     rows = stats.where("NOT base_failed").select("x", F.explode(groups).alias("g")).select("g.grp", "g.parent", "x")
-    estimate = small(written(estimates(rows), "estimates"), BROADCAST_GROUPS)
+    with scratch() as keep:
+        estimate = keep(written(estimates(rows), "estimates"))
+    estimate = small(estimate, BROADCAST_GROUPS)
     found = stats.withColumn("grp", levels[0]).join(estimate, "grp", "left")
     distance = _distance() * F.col("n_words") / (F.col("n_words") + HALF_WORDS)
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
@@ -268,7 +272,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """``docs`` without the rejected rows; same columns. Rows of one id and text share a verdict."""
-    verdicts = judge(docs.withColumn("__k", F.xxhash64(text_col)).withColumn("__id", F.struct(F.col(id_col).alias("i"), F.col("__k").alias("k"))), "__id", text_col, lang_col, source_col)
-    kept = written(verdicts.where("kept").select(F.col("id.i").alias("__i"), F.col("id.k").alias("__k"), F.col("lang").alias("__l"), F.col("source").alias("__s")).distinct(), "kept")
+    with scratch() as keep:
+        verdicts = judge(docs.withColumn("__k", F.xxhash64(text_col)).withColumn("__id", F.struct(F.col(id_col).alias("i"), F.col("__k").alias("k"))), "__id", text_col, lang_col, source_col)
+        kept = keep(written(verdicts.where("kept").select(F.col("id.i").alias("__i"), F.col("id.k").alias("__k"), F.col("lang").alias("__l"), F.col("source").alias("__s")).distinct(), "kept"))
     same = docs[id_col].eqNullSafe(kept["__i"]) & (F.xxhash64(text_col) == kept["__k"]) & docs[lang_col].eqNullSafe(kept["__l"]) & docs[source_col].eqNullSafe(kept["__s"])
-    return docs.join(kept, same, "left_semi")
+    return docs.join(small(kept, BROADCAST_ROWS), same, "left_semi")
