@@ -1,8 +1,10 @@
 """Quality rules and classifier, secrets, personal data, pages and neighbours on small fixtures."""
 
 import hashlib
+import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -235,6 +237,66 @@ def test_pages(spark):
     assert html_extract.extract_pages(pages.limit(0)).count() == 0
 
 
+ONE, TWO = "The first paragraph has a good number of words, and goes on.", "The second one has many words as well, as good ones do."
+
+
+def test_text_after_unclosed_or_wrapped_parts_stays():
+    both = f"{ONE}\n{TWO}"
+    for page in (
+        f'<p class="notice">N<p>{ONE}<p>{TWO}', f'<ul><li class="menu">M<li class="menu">K</ul><p>{ONE}<p>{TWO}', f"<button>Go<p>{ONE}<p>{TWO}", f"<svg/><p>{ONE}<p>{TWO}", f"<iframe/><p>{ONE}<p>{TWO}",
+        f"<iframe src=x><p>{ONE}</p><p>{TWO}", f'<div class="side-by-side"><p>{ONE}<p>{TWO}</div>', f'<article><p>{ONE}<div class="related-work"><p>{TWO}</div></article>', f'<article><p>{ONE}<p class="comment">{TWO}</article>',
+        f'<article><h2 id="search">{ONE}</h2><p>{TWO}</article>', f"<form><div><p>{ONE}<p>{TWO}</div></form>", f'<head><title>T<body class="x has-sidebar"><div id="content-sidebar-wrap" class="post with-comments"><p>{ONE}<p>{TWO}</div>',
+        f'<div class="ad">Buy now.</div><div><p>{ONE}</p><p>{TWO}</p></div><ul><li><a href=/a>A</a><li><a href=/b>B</a></ul><div class="comments"><p>Nice post</div>',
+    ):
+        assert html_extract.extract(page) == both, page
+    sections = f"<main><article><section><p>{ONE}</p><p>{ONE}</p></section><section><h2>Head two</h2><p>{TWO}</p></section></article></main>"
+    assert html_extract.extract(sections) == f"{ONE}\n{ONE}\nHead two\n{TWO}"
+    for hard in ("<b>" * 40_000 + "x", "<b>" * 20_000 + "</i>" * 20_000, "<a><div>" + "<i>" * 20_000 + "</a>" * 20_000, "<div>" * 20_000 + "x"):
+        began = time.process_time()
+        html_extract.extract(hard)
+        assert time.process_time() - began < 5
+
+
+def test_densities_against_a_recomputation():
+    """Random trees: every density from the node's own text and tags, the sum from its children."""
+    rng = random.Random(15)
+
+    def made(depth):
+        tag = rng.choice(["div", "section", "span", "a"] if depth else ["div"])
+        inner = "".join(rng.choice([made(depth + 1), prose(rng, rng.randint(1, 9))]) for _ in range(rng.randint(1, 4))) if depth < 4 else prose(rng, 3)
+        return f"<{tag}>{inner}</{tag}>"
+
+    def strings(node, link=False):
+        link = link or node.tag == "a"
+        out, tags = [], []
+        for k in node.kids:
+            if isinstance(k, str):
+                out.append((len(k.strip()), link))
+            else:
+                tags.append(k.tag)
+                o, t = strings(k, link)
+                out, tags = out + o, tags + t
+        return out, tags
+
+    for _ in range(30):
+        tree = html_extract._Tree()
+        tree.feed(made(0).replace("<a>", "<i></i><a>"))
+        order = html_extract._ordered(tree.body)
+        html_extract._count(order)
+        html_extract._measure(order)
+        c_b, lc_b = (lambda s: (sum(n for n, _ in s), sum(n for n, link in s if link)))(strings(tree.body)[0])
+        for node, link in order:
+            s, tags = strings(node, link)
+            c, lc, t, lt = sum(n for n, _ in s), sum(n for n, x in s if x), max(1, len(tags)), max(1, tags.count("a"))
+            want = 0.0
+            if c:
+                base = math.log(c / max(1, c - lc) * lc + lc_b / max(1, c_b) * c + math.e)
+                want = c / t * math.log(max(1.0, c / max(1, lc) * t / lt)) / math.log(max(base, 1.0001))
+            assert abs(node.density - want) <= 1e-9 * max(1, want)
+            assert abs(node.total - sum(k.density for k in node.kids if not isinstance(k, str))) < 1e-6
+        assert tree.body.best.total == max(n.total for n, _ in order)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(12)
     x = rng.normal(size=(1500, 16)) + 2 * rng.normal(size=(10, 16))[rng.integers(0, 10, 1500)]
