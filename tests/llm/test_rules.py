@@ -320,3 +320,13 @@ def test_neighbours(spark):
     few = ann.search(df.where("vec_id < 6"), lambda i: i % 20 == 0).collect()
     assert sorted(r.vec_id for r in few) == [1, 2, 3, 4, 5]
     assert ann.search(df.limit(0), lambda i: i % 20 == 0).count() == 0
+
+
+def test_equal_scores_go_to_the_smaller_id(spark):
+    """60 distinct vectors of equal inner product with the query, and many of product zero."""
+    rows = [(0, [1.0] + [0.0] * 63)] + [(i, [0.5] + [float(j == i) for j in range(1, 64)]) for i in range(60, 0, -1)]
+    rows += [(100 + i, [0.0] + [float(j == i % 63 + 1) * (2 + i) for j in range(1, 64)]) for i in range(400)]
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), lambda i: i == 0, k=20).collect()
+    assert [(r["rank"], r.vec_id, r.score) for r in sorted(found, key=lambda r: r["rank"])] == [(i, i, 0.5) for i in range(1, 21)]
+    few = ann.search(spark.createDataFrame([r for r in rows if r[0] == 0 or r[0] > 60], "vec_id long, embedding array<double>"), lambda i: i == 0, k=20).collect()
+    assert [r.vec_id for r in sorted(few, key=lambda r: r["rank"])] == list(range(100, 120))

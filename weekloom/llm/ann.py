@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by inner product: a hierarchical k-means tree, searched best bin
 first.
 
-The tree's centres are fitted on a bounded sample; every row is then put into its leaf. A query
+The tree's centres are fitted on a bounded sample (``FIT_BYTES``; fewer leaves, if they would have
+under four sampled rows each); every row is then put into its leaf. A query
 walks the tree with a priority queue (the most promising node next, by the inner product with its
 centre plus the length of the query times the node's radius) and visits leaves until their number
 is what calibration asks for. Calibration takes a bounded number of the queries, finds their true
@@ -26,6 +27,8 @@ from weekloom.llm.common import written
 
 #: Rows of a leaf on average, most leaves, children of a node, and sampled rows for each leaf.
 LEAF_ROWS, MAX_LEAVES, BRANCH, FIT_PER_LEAF = 256, 16_384, 16, 16
+#: Most bytes of the sample that the tree is fitted on at the driver; a documented bound.
+FIT_BYTES = 64_000_000
 #: Queries used for calibration, and the share of their true neighbours to be reached.
 CALIBRATION, RECALL = 256, 0.97
 #: Vectors and queries that meet in one task at most (in one block).
@@ -120,10 +123,12 @@ def _best(x: np.ndarray, members: list, q_ids: np.ndarray, q: np.ndarray, k: int
     """(query, vector id, score) of each query's best ``k`` ids in one block."""
     if not len(x) or not len(q):
         return
-    keep = min(len(x), k + 8)  # spare candidates for the rounding of the block product
+    keep = min(len(x), k + 1)  # one may be the query
     scores = q @ x.T
-    near = np.argpartition(-scores, keep - 1, axis=1)[:, :keep] if keep < len(x) else np.tile(np.arange(len(x)), (len(q), 1))
-    for i, own in enumerate(near):
+    # all that come up to the last of these, less what the block product can be off by
+    least = np.partition(scores, len(x) - keep, axis=1)[:, len(x) - keep] - 1e-10 * np.sqrt(np.square(q).sum(1) * np.square(x).sum(1).max())
+    for i in range(len(q)):
+        own = np.flatnonzero(scores[i] >= least[i])
         exact = [float(s) for s in (x[own] * q[i]).cumsum(axis=1)[:, -1]]  # summed in order of the components
         found = sorted((-s, m) for s, j in zip(exact, own, strict=True) for m in members[j] if m != q_ids[i])
         for s, m in found[:k]:
@@ -148,7 +153,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     """(query_id, rank, vec_id, score): the ``k`` nearest found of every row for which the column
     ``is_query`` (of ``id``) holds, the row itself left out; all of them if there are fewer.
 
-    Vectors that are null, zero or hold null or non-finite components take no part. Repeated ids
+    Vectors that are null, zero or hold null or non-finite components take no part, nor do those of
+    another length than most have (ties: the longer), which have no inner product with the rest. Repeated ids
     are one candidate each time. An empty table gives an empty result; other columns are ignored."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -156,11 +162,12 @@ def search(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", ve
     n = rows.count()
     if n < 2:
         return spark.createDataFrame([], schema)
-    leaves = int(min(MAX_LEAVES, max(1, n // LEAF_ROWS)))
-    want = leaves * FIT_PER_LEAF * 2
+    most = max(4, FIT_BYTES // (8 * rows.select(F.size("v")).first()[0]))
+    leaves = int(min(MAX_LEAVES, most // 4, max(1, n // LEAF_ROWS)))
+    want = min(most, leaves * FIT_PER_LEAF * 2)
     part = rows if n <= want else rows.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_000)) < int(1e6 * want / n))
-    sample = part.select("v").limit(2 * want).toPandas()  # the limit only bounds it
-    tree = Tree(np.array(sample.v.tolist()), leaves, seed)
+    sample = part.select("v").limit(want).toArrow().column(0).combine_chunks()  # the limit only bounds it
+    tree = Tree(sample.flatten().to_numpy(zero_copy_only=False).reshape(len(sample), -1).copy(), leaves, seed)
     shared = spark.sparkContext.broadcast(tree)  # MAX_LEAVES centres and their parents at most
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
