@@ -118,18 +118,21 @@ def test_classifier(spark):
         docs.append((i, t))
         if i % 2:
             labels.append((i, int(good), 0))
-    docs += [(5000, None), (5001, ""), (None, "a null id")]
+    docs += [(5000, None), (5001, ""), (None, "a null id"), (5002, "word " * 400_000)]
     d, l = spark.createDataFrame(docs, "doc_id long, text string").withColumn("score", F.lit("clash")), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    model = quality_classifier.fit(d, l)
-    rows = {r.id: r for r in quality_classifier.scores(d, model).collect()}
+    seen = quality_classifier.vectors(d)
+    model = quality_classifier.fit(seen, l)
+    rows = {r.id: r for r in quality_classifier.scores(seen, model).collect()}
+    again = quality_classifier.fit(quality_classifier.vectors(d.repartition(5, "text")), l.repartition(3))
+    assert all((a == b).all() for a, b in zip(model.p, again.p, strict=True))  # whatever the partitions
     held = [i for i in range(900) if rows[i].held_out]
     assert sum((rows[i].score >= quality_classifier.THRESHOLD) == (i % 4 != 0) for i in held) / len(held) > 0.97
     assert all(0 <= r.score <= 1 for r in rows.values()) and not rows[None].held_out
     import zlib
 
     assert all(rows[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(900))
-    assert quality_classifier.fit(d, l.limit(0)) is None
-    assert quality_classifier.scores(d.limit(0), model).count() == 0
+    assert quality_classifier.fit(seen, l.limit(0)) is None
+    assert quality_classifier.scores(quality_classifier.vectors(d.limit(0)), model).count() == 0
 
 
 def luhn(x):
@@ -173,6 +176,26 @@ def test_weak_labels_add_what_context_supports(spark):
     assert sum("card:" in rows[i].spans and not rows[i].n_card for i in range(60, 120)) == 0
 
 
+def test_reliable_labelers_weigh_more():
+    """Expectation-maximisation against truth: a labeler that is right counts, one that guesses not."""
+    rng = random.Random(14)
+    n = Counter()
+    truth = {}
+    for i in range(4000):
+        yes = rng.random() < 0.6
+        v = tuple((1 if (rng.random() < right) == yes else -1) for right in (0.95, 0.9, 0.9, 0.5))
+        n[(0, i % 16, v)] += 1
+        truth.setdefault(v, []).append(yes)
+    rows = [(k, f, v, c) for (k, f, v), c in sorted(n.items())]
+    post = pii.reliabilities(rows)
+    for (_, _, v, _), p in zip(rows, post, strict=True):
+        if len(truth[v]) > 200:
+            assert abs(p - sum(truth[v]) / len(truth[v])) < 0.1
+    w = pii.span_classifier(rows, post)
+    assert w[0] - w[1] > 2 * abs(w[6] - w[7])
+    assert pii.span_classifier([], []) == [0.0] * len(w)
+
+
 def slow_secrets(t):
     out = [(m.start(), 0, m.end(), "assign") for m in re.finditer(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
     out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]

@@ -3,9 +3,10 @@
 Candidate spans come from the plain patterns (email, ip, card, phone) and a few looser ones. Four
 labelers vote on each: the pattern's own check, a gazetteer (top-level domains, country codes, issuer
 prefixes, reserved networks), the words around it, and its shape. How often each combination of
-votes occurs is counted over all documents; expectation-maximisation on that table (a few hundred
-rows whatever the input) estimates how reliable each labeler is, and a logistic span classifier is
-fitted to its posteriors. Plain spans that pass their check always stand; looser candidates and
+votes, kind and span features occurs is counted over all documents; expectation-maximisation on that
+table (some thousand rows at most, whatever the input) estimates how reliable each labeler is, and a
+logistic span classifier is fitted to its posteriors, from the votes and from what the votes do not
+say: kind, length, and what stands right before and after the span. Plain spans that pass their check always stand; looser candidates and
 failed matches are added where the classifier believes them.
 
 The patterns are the plain ones in linear-time form: possessive repeats, and a look behind so that a
@@ -53,7 +54,11 @@ AROUND = {
 }
 AGAINST = r"version|\bv$|isbn|order|item|sku|serial|\bref\b|figure|section|chapter"
 LABELERS = ("pattern", "gazetteer", "context", "shape")
-ROUNDS, FIT_ROUNDS, RATE, BELIEVED = 8, 16, 1.0, 0.5
+ROUNDS, FIT_ROUNDS, RATE, BELIEVED = 8, 60, 1.0, 0.5
+#: Lengths at which a span goes to the next class.
+LENGTHS = (10, 14, 20)
+LEFT, RIGHT = r"(?:^|[\s:;,=\"'(<\[])$", r"^(?:$|[\s.,;:!?\"')>\]])"
+_SPOT = "struct<start:int,end:int,k:int,base:boolean,v:array<int>,f:int>"
 
 
 def _pieces(rows: DataFrame, name: str, pattern: str, there: Column) -> DataFrame:
@@ -139,7 +144,7 @@ def _shape(kind: str, hit: Column) -> Column:
 
 
 def _judged(kind: str, found: Column, plain: bool) -> Column:
-    """Candidates of one kind: (start, end, kind, base, votes)."""
+    """Candidates of one kind: (start, end, kind, base, votes, features)."""
 
     def one(m: Column) -> Column:
         hit = m["hit"]
@@ -147,14 +152,16 @@ def _judged(kind: str, found: Column, plain: bool) -> Column:
         own = _vote(ok, ~ok) if plain else F.lit(0)
         near = F.lower(F.concat(m["before"], F.lit(" "), m["after"]))
         context = _vote(near.rlike(AROUND[kind]), near.rlike(AGAINST))
+        long = sum(((F.length(hit) >= n).cast("int") for n in LENGTHS), F.lit(0))
+        features = long + F.when(m["before"].rlike(LEFT), 4).otherwise(0) + F.when(m["after"].rlike(RIGHT), 8).otherwise(0)
         votes = F.array(own, _gazetteer(kind, hit), context, _shape(kind, hit))
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(KINDS.index(kind)).alias("k"), ok.alias("base"), votes.alias("v"))
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(KINDS.index(kind)).alias("k"), ok.alias("base"), votes.alias("v"), features.alias("f"))
 
     return F.transform(found, one)
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, c) for every row of ``docs``; c: array of (start, end, k, base, v)."""
+    """(id, c) for every row of ``docs``; c: array of (start, end, k, base, v, f)."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("__t"))
     digits = F.col("__t").rlike("[0-9]")
     guards = {"email": F.contains(F.col("__t"), F.lit("@")), "ip": digits, "card": digits, "phone": F.contains(F.col("__t"), F.lit("+"))}
@@ -174,53 +181,62 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lists.append(_judged("iban", F.filter(loose, lambda m: m["hit"].rlike("^[A-Z]{2}[0-9]{2}")), False))
     lists.append(_judged("phone", F.filter(loose, lambda m: m["hit"].rlike(r"^[(0-9]") & ~m["hit"].rlike(r"^[0-9]{3}-[0-9]{2}-")), False))
     lists.append(_judged("email", F.filter(loose, lambda m: m["hit"].rlike(r"[(\[]at[)\]]")), False))
-    every = F.concat(*[F.coalesce(x, F.array().cast("array<struct<start:int,end:int,k:int,base:boolean,v:array<int>>>")) for x in lists])
+    every = F.concat(*[F.coalesce(x, F.array().cast(f"array<{_SPOT}>")) for x in lists])
     return rows.select("id", every.alias("c"))
 
 
-def _combinations(found: DataFrame) -> DataFrame:
-    """How often each combination of kind and votes occurs: at most 6 * 3**4 rows."""
+#: How often (kind, features, votes) occurs.
+Combination = tuple[int, int, tuple[int, ...], int]
+
+
+def _combinations(found: DataFrame) -> list[Combination]:
+    """All that occur: 6 * 16 * 3**4 at most."""
     each = found.where(F.size("c") > 0).select(F.explode("c").alias("c"))
-    return each.groupBy(F.col("c.k").alias("k"), *[F.col("c.v")[i].alias(f"v{i}") for i in range(len(LABELERS))]).agg(F.count(F.lit(1)).alias("n"))
+    votes = [f"v{i}" for i in range(len(LABELERS))]
+    rows = each.groupBy(F.col("c.k").alias("k"), F.col("c.f").alias("f"), *[F.col("c.v")[i].alias(v) for i, v in enumerate(votes)]).agg(F.count(F.lit(1)).alias("n"))
+    return sorted((r["k"], r["f"], tuple(r[v] for v in votes), r["n"]) for r in rows.collect())
 
 
-def reliabilities(table: DataFrame, rounds: int = ROUNDS) -> Column:
-    """The posterior that a combination is personal data, by expectation-maximisation over a latent
-    class, with labelers independent within a class and a prior for each kind."""
-    votes = [F.col(f"v{i}") for i in range(len(LABELERS))]
-    odds = sum(votes, F.lit(0)).cast("double")  # the start: a majority
-    for _ in range(rounds):
-        post = F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
-        w = table.withColumn("yes", F.col("n") * post).withColumn("no", F.col("n") * (F.lit(1.0) - post))
-        sums = [F.sum(F.when(v == x, F.col(c))).alias(f"{c}_{i}_{x + 1}") for i, v in enumerate(votes) for x in (-1, 0, 1) for c in ("yes", "no")]
-        kinds = [F.sum(F.when(F.col("k") == k, F.col(c))).alias(f"{c}_k{k}") for k in range(len(KINDS)) for c in ("yes", "no")]
-        s = w.agg(*sums, *kinds).first().asDict()
-        at = lambda key: (s[key] or 0.0) + 1.0  # noqa: E731  one imagined case each
-        odds = F.lit(0.0)
-        for k in range(len(KINDS)):
-            odds = F.when(F.col("k") == k, F.lit(math.log(at(f"yes_k{k}") / at(f"no_k{k}")))).otherwise(odds)
-        for i, v in enumerate(votes):
-            yes, no = (sum(at(f"{c}_{i}_{x}") for x in range(3)) for c in ("yes", "no"))
-            part = F.lit(0.0)
-            for x in (-1, 0, 1):
-                part = F.when(v == x, F.lit(math.log(at(f"yes_{i}_{x + 1}") / yes) - math.log(at(f"no_{i}_{x + 1}") / no))).otherwise(part)
-            odds = odds + part
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
-
-
-def span_classifier(table: DataFrame, posterior: Column, rounds: int = FIT_ROUNDS) -> list[float]:
-    """Weights of a logistic model of the posterior on the votes (for and against) and a bias."""
-    inputs = [F.when(F.col(f"v{i}") == x, 1.0).otherwise(0.0) for i in range(len(LABELERS)) for x in (1, -1)] + [F.lit(1.0)]
-    rows = table.withColumn("target", posterior)
-    weights, seen = [0.0] * len(inputs), [1e-8] * len(inputs)
+def _sigmoid(x: float) -> float:
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
+
+
+def reliabilities(rows: list[Combination], rounds: int = ROUNDS) -> list[float]:
+    """The posterior that each combination is personal data, by expectation-maximisation over a
+    latent class, with labelers independent within a class and a prior for each kind."""
+    odds = [float(sum(v)) for _, _, v, _ in rows]  # the start: a majority
     for _ in range(rounds):
-        logit = sum((F.lit(w) * x for w, x in zip(weights, inputs, strict=True)), F.lit(0.0))
-        gap = F.col("n") * (F.lit(1.0) / (F.lit(1.0) + F.exp(-logit)) - F.col("target"))
-        got = rows.agg(F.sum("n"), *[F.sum(gap * x) for x in inputs]).first()
-        if not got[0]:
-            break
-        for i, g in enumerate(got[1:]):
-            g /= got[0]
+        votes = [[[1.0] * 3 for _ in LABELERS] for _ in range(2)]  # one imagined case each
+        kinds = [[1.0] * len(KINDS) for _ in range(2)]
+        for (k, _, v, n), o in zip(rows, odds, strict=True):
+            for c, w in enumerate((n * (1 - _sigmoid(o)), n * _sigmoid(o))):
+                kinds[c][k] += w
+                for i, x in enumerate(v):
+                    votes[c][i][x + 1] += w
+        no, yes = [[[math.log(x / sum(each)) for x in each] for each in votes[c]] for c in range(2)]
+        odds = [math.log(kinds[1][k] / kinds[0][k]) + sum(yes[i][x + 1] - no[i][x + 1] for i, x in enumerate(v)) for k, _, v, _ in rows]
+    return [_sigmoid(o) for o in odds]
+
+
+def _inputs(k: int, f: int, v: tuple[int, ...]) -> list[int]:
+    """Places of the inputs that are 1: votes for and against, kind, length, sides, bias."""
+    at = 2 * len(LABELERS)
+    found = [2 * i + (x < 0) for i, x in enumerate(v) if x]
+    return [*found, at + k, at + len(KINDS) + f % 4, *(at + len(KINDS) + 4 + i for i in range(2) if f >> (2 + i) & 1), at + len(KINDS) + 6]
+
+
+def span_classifier(rows: list[Combination], posterior: list[float], rounds: int = FIT_ROUNDS) -> list[float]:
+    """Weights of a logistic model of the posterior on ``_inputs``."""
+    inputs = [_inputs(k, f, v) for k, f, v, _ in rows]
+    weights = [0.0] * (2 * len(LABELERS) + len(KINDS) + 7)
+    seen, total = [1e-8] * len(weights), sum(n for *_, n in rows)
+    for _ in range(rounds if total else 0):
+        slope = [0.0] * len(weights)
+        for at, (*_, n), p in zip(inputs, rows, posterior, strict=True):
+            gap = n / total * (_sigmoid(sum(weights[i] for i in at)) - p)
+            for i in at:
+                slope[i] += gap
+        for i, g in enumerate(slope):
             seen[i] += g * g
             weights[i] -= RATE * g / math.sqrt(seen[i])
     return weights
@@ -233,11 +249,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     kind. A candidate that overlaps a plain span is never added. Null texts count as empty; repeated
     rows each get a row; an empty table gives an empty result; further columns are ignored."""
     found = written(candidates(docs, id_col, text_col), "candidates")
-    table = written(_combinations(found).coalesce(1), "combinations")
-    weights = span_classifier(table, reliabilities(table))
+    rows = _combinations(found)
+    weights = span_classifier(rows, reliabilities(rows))
+    kinds, sizes = (F.array(*map(F.lit, weights[at : at + n])) for at, n in ((2 * len(LABELERS), len(KINDS)), (2 * len(LABELERS) + len(KINDS), 4)))
 
     def believed(c: Column) -> Column:
-        logit = F.lit(weights[-1])
+        logit = F.lit(weights[-1]) + F.get(kinds, c["k"]) + F.get(sizes, c["f"] % 4)
+        for i in range(2):
+            logit = logit + F.when(c["f"].bitwiseAND(F.lit(4 << i)) != 0, F.lit(weights[-3 + i])).otherwise(F.lit(0.0))
         for i in range(len(LABELERS)):
             logit = logit + F.when(c["v"][i] == 1, F.lit(weights[2 * i])).when(c["v"][i] == -1, F.lit(weights[2 * i + 1])).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-logit)) >= BELIEVED

@@ -8,10 +8,11 @@ unbiased risk (Kiryo et al., "Positive-Unlabeled Learning with Non-Negative Risk
 
 with the logistic loss, so its sigmoid is a probability under the class prior. The prior is estimated
 first, from how much of the unlabelled text scores as high as positives do (the smallest ratio of
-upper tails, Garg et al., "Mixture Proportion Estimation and PU Learning", 2021).
+upper tails, Garg et al., "Mixture Proportion Estimation and PU Learning", 2021): a first classifier,
+fitted on one half of the ids, scores all training rows of the other.
 
-The fit uses bounded samples, ``FIT_ROWS`` of each kind, drawn by a hash of the id. Every document
-is scored, from its whole text and nothing else.
+Gradients use bounded samples, ``FIT_ROWS`` of each kind, drawn by a hash of the id and put in order.
+Every document is scored, from its whole text and nothing else; its features are made once.
 """
 
 from __future__ import annotations
@@ -24,10 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weekloom.llm.common import written
 from weekloom.llm.quality_rules import base_statistics
 
 #: Most rows of each kind that the fit sees; a documented bound.
 FIT_ROWS = 8_000
+#: Bins of scores for the prior.
+BINS = 2_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 16, 40, 512, 5e-3, 1e-4, 42
 THRESHOLD = 0.3
 #: Rows with this remainder of crc32(id) modulo FOLDS are held out.
@@ -116,25 +120,41 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, see
 
 
 def class_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -> float:
-    """Share of positives among unlabelled scores: the least upper-tail ratio, with the confidence
-    margin deciding where the tail is cut."""
-    cuts = np.quantile(positive, np.linspace(0, 0.98, 99))
-    qp = np.array([(positive >= c).mean() for c in cuts])
-    qu = np.array([(unlabelled >= c).mean() for c in cuts])
-    margin = math.sqrt(math.log(4 / delta) / 2 / len(positive)) + math.sqrt(math.log(4 / delta) / 2 / len(unlabelled))
-    best = int(np.argmin((qu + margin) / qp))
-    return float(min(0.98, max(0.02, qu[best] / qp[best])))
-
-
-def _vectors(docs: DataFrame) -> DataFrame:
-    """(id, x) of rows (id, t)."""
+    """Share of positives among unlabelled scores, both given as counts by bin of the score: the
+    least upper-tail ratio, with the confidence margin deciding where the tail is cut."""
+    n, m = positive.sum(), unlabelled.sum()
+    qp, qu = (x[::-1].cumsum() / x.sum() for x in (positive, unlabelled))
+    there = qp >= 0.02
+    margin = math.sqrt(math.log(4 / delta) / 2 / n) + math.sqrt(math.log(4 / delta) / 2 / m)
+    best = int(np.argmin(((qu + margin) / np.maximum(qp, 1e-9))[there]))
+    return float(min(0.98, max(0.02, qu[there][best] / qp[there][best])))
+
+
+def vectors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, x) of every row of ``docs``, written; null texts count as empty."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            xs = [features(t.as_py()) for t in b.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(xs, pa.list_(pa.float64()))], names=["id", "x"])
+            texts = [t.as_py() for t in b.column(1).cast(pa.binary())]
+            xs = np.array([features(t) for t in texts], np.float32).reshape(len(texts), -1)
+            ends = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * xs.shape[1])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(xs.ravel()))], names=["id", "x"])
+
+    return written(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, x array<float>"), "features")
+
+
+def _matrix(column: pa.Array, n: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64)
+
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, x array<double>")
+def _drawn(rows: DataFrame) -> np.ndarray:
+    """Features of a bounded table, in an order that doesn't depend on its partitions."""
+    t = rows.select("id", "x").toArrow()
+    if not t.num_rows:
+        return np.zeros((0, 0))
+    x = _matrix(t.column("x").combine_chunks(), t.num_rows)
+    return x[np.lexsort((*x.T, np.array(t.column("id").to_pylist())))]
 
 
 def _sampled(rows: DataFrame, n: int, seed: int) -> DataFrame:
@@ -149,34 +169,54 @@ def held_out(id_col: Column) -> Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(FOLDS)) == HELD
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> Model | None:
-    """The model; None where there is no positive or no other row to learn from."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.col("id").isNotNull() & ~held_out(F.col("id")))
+def _histogram(found: DataFrame, model: Model) -> np.ndarray:
+    """Counts of the scores of rows (id, x) by bin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BINS, np.int64)
+        for b in batches:
+            if b.num_rows:
+                total += np.bincount(np.minimum((model.score(_matrix(b.column(0), b.num_rows)) * BINS).astype(int), BINS - 1), minlength=BINS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bin", "n"])
+
+    out = np.zeros(BINS, np.int64)
+    for r in found.select("x").mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():  # BINS rows at most
+        out[r["bin"]] = r["n"]
+    return out
+
+
+def fit(found: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> Model | None:
+    """The model from rows of ``vectors`` and labels; None where there is no positive or no other
+    row to learn from."""
+    rows = found.where(F.col("id").isNotNull() & ~held_out(F.col("id")))
     liked = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("id")).where(F.col("id").isNotNull() & ~held_out(F.col("id"))).distinct()
     chosen = F.broadcast(_sampled(liked, fit_rows, SEED))  # fit_rows at most
     unlabelled = F.broadcast(_sampled(rows.select("id"), fit_rows, SEED + 7))
-    got = [np.array(_vectors(rows.join(ids, "id", "left_semi")).limit(fit_rows).toPandas().x.tolist()) for ids in (chosen, unlabelled)]
-    positive, other = got
-    if not len(positive) or not len(other):
+    positive, other = (rows.join(ids, "id", "left_semi") for ids in (chosen, unlabelled))
+    first = F.pmod(F.xxhash64(F.lit(SEED + 3), "id"), F.lit(2)) == 0
+    p, u = _drawn(positive), _drawn(other)
+    if not len(p) or not len(u):
         return None
     # the prior's classifier is fitted on one half and read on the other
-    a, b = train(positive[::2], other[::2], None), (positive[1::2], other[1::2])
-    prior = class_prior(a.score(b[0]), a.score(b[1])) if len(b[0]) and len(b[1]) else 0.5
-    return train(positive, other, prior)
+    half = [_drawn(x.where(first)) for x in (positive, other)]
+    prior = 0.5
+    if all(map(len, half)):
+        apart = train(*half, None)
+        seen = [_histogram(x.where(~first), apart) for x in (positive, rows)]
+        prior = class_prior(*seen) if all(x.any() for x in seen) else prior
+    return train(p, u, prior)
 
 
-def scores(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, score) for every row of ``docs``. Null and empty texts are scored as texts
+def scores(found: DataFrame, model: Model | None) -> DataFrame:
+    """(id, held_out, score) for every row of ``vectors``. Null and empty texts are scored as texts
     without evidence; with no model every score is 0.5; repeated rows each get a row; a null id is
     not held out; an empty table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = [0.5] * b.num_rows
-            if model is not None and b.num_rows:
-                s = model.score(np.array([features(t.as_py()) for t in b.column(1).cast(pa.binary())]))
+            s = np.full(b.num_rows, 0.5) if model is None or not b.num_rows else model.score(_matrix(b.column(1), b.num_rows))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["id", "score"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    found = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double")
-    return found.select("id", F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), "score")
+    rows = found.mapInArrow(run, f"id {found.schema['id'].dataType.simpleString()}, score double")
+    return rows.select("id", F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), "score")

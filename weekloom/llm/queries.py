@@ -62,9 +62,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
-    docs = table(spark, sf_dir, "documents")
-    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
-    found = quality_classifier.scores(docs, model)
+    seen = quality_classifier.vectors(table(spark, sf_dir, "documents"))
+    found = quality_classifier.scores(seen, quality_classifier.fit(seen, table(spark, sf_dir, "labels")))
     return found.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= quality_classifier.THRESHOLD).cast("int").alias("predicted"))
 
 
