@@ -286,7 +286,7 @@ def cpu_scores_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(_scored(spark, sf_dir, "2024-01-12"), "momentum_score", "heat_anomaly", "composite_score")
 
 
-@query()
+@query(_scores("true").partition("SELECT industry, round(m")[0] + """SELECT string_agg(printf('%s: momentum=%.3f heat=%.3f composite=%.3f trend=%d', industry, m, h, m*h, CASE WHEN m>0.1e0 THEN 1 WHEN m<-0.1e0 THEN -1 ELSE 0 END), chr(10) ORDER BY m*h DESC, industry) AS "text" FROM f""")
 def ml_signals_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.rendered(_scored(spark, sf_dir, None))
 
@@ -364,6 +364,13 @@ def text_null_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labeling.selected(rows).select("doc_id")
 
 
+@query(f"WITH {A2} SELECT doc_id FROM a2 WHERE NOT (title IS NULL AND content IS NULL) ORDER BY d DESC, doc_id LIMIT 100")
+def news_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 100 in order: the limit is the feature."""
+    rows = A.news_raw(spark, sf_dir).withColumn("before", -F.unix_date("d"))
+    return labeling.selected(rows, 100, ("before", "doc_id")).select("doc_id")
+
+
 @query("SELECT DISTINCT p_type, translate(p_type,'/\\ ','___') safe FROM part")
 def safe_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "part").select("p_type", T.safe_name(F.col("p_type")).alias("safe")).distinct()
@@ -378,6 +385,23 @@ def keyword_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(A.table(spark, sf_dir, "documents").select("doc_id", T.keyword_sentiment(F.col("text"), _POS, _NEG).alias("sentiment")), "sentiment")
 
 
+_BOTH = [*T.POSITIVE_KEYWORDS, *T.NEGATIVE_KEYWORDS]
+_WORDS = "[" + ",".join(f"'{w}'" for w in _BOTH) + "]"
+_SAYS = f"concat_ws(' ', {_WORDS}[doc_id % {len(_BOTH)} + 1], CASE WHEN doc_id % 3 > 0 THEN {_WORDS}[doc_id * 7 % {len(_BOTH)} + 1] END, CASE WHEN doc_id % 5 > 0 THEN {_WORDS}[doc_id * 11 % {len(_BOTH)} + 1] END)"
+
+
+@query(f"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN '' ELSE {_SAYS} END AS says FROM documents),
+c AS (SELECT doc_id, {'+'.join(f"contains(says,'{w}')::int" for w in T.POSITIVE_KEYWORDS)} p, {'+'.join(f"contains(says,'{w}')::int" for w in T.NEGATIVE_KEYWORDS)} n FROM t)
+SELECT doc_id, round(coalesce(CASE WHEN p+n=0 THEN 0e0 ELSE (p-n)/(p+n)::double END,0e0),6)+0e0 sentiment FROM c""")
+def keyword_sentiment_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the fixed keyword lists, over texts made of them."""
+    i, words = F.col("doc_id"), F.array(*map(F.lit, _BOTH))
+    word = lambda k: F.element_at(words, (i * k % len(_BOTH) + 1).cast("int"))
+    says = F.concat_ws(" ", word(1), F.when(i % 3 > 0, word(7)), F.when(i % 5 > 0, word(11)))
+    docs = A.table(spark, sf_dir, "documents").select("doc_id", F.when(i % 13 == 0, "").otherwise(says).alias("says"))
+    return r6(docs.select("doc_id", T.keyword_sentiment(F.col("says")).alias("sentiment")), "sentiment")
+
+
 _A8 = "a8 AS (SELECT vec_id, label, list_transform(embedding[1:8],lambda x: x::double) z, list_transform(embedding[9:11],lambda x: x::double) s FROM embeddings)"
 
 
@@ -393,6 +417,36 @@ def label_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labeling.classified(rows, "l1_logits", ("x", "y", "z"), "clamped").select("vec_id", "sentiment", "clamped")
 
 
+@query(f"WITH {_A8} SELECT vec_id, round_even(1/list_sum(list_transform(z,lambda x: exp(x-list_max(z)))),4) l1_confidence FROM a8")
+def confidence_four_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.logits(spark, sf_dir)
+    return labeling.classified(rows, "l1_logits", labeling.L1_CATEGORIES, "l1", 4).select("vec_id", "l1_confidence")
+
+
+_FORMS = ("negative", "bearish", "0", "neutral", "1", "positive", "bullish", "2")
+
+
+@query(f"""SELECT word, CASE WHEN word IN ('negative','bearish','0') THEN 0 WHEN word IN ('neutral','1') THEN 1 ELSE 2 END code, count(*) n
+FROM (SELECT [{','.join(f"'{w}'" for w in _FORMS)}][event_id % {len(_FORMS)} + 1] word FROM events) GROUP BY 1,2""")
+def sentiment_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all words and numbers for a sentiment."""
+    word = F.element_at(F.array(*map(F.lit, _FORMS)), (F.col("event_id") % len(_FORMS) + 1).cast("int"))
+    rows = A.table(spark, sf_dir, "events").select(word.alias("word"))
+    return rows.select("word", labeling.sentiment_code(F.col("word")).alias("code")).groupBy("word", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+_CLASSES = [*labeling.L1_CATEGORIES, "other"]
+
+
+@query(f"""SELECT class, CASE WHEN class <> 'other' THEN cast(list_position([{','.join(f"'{w}'" for w in _CLASSES)}], class) - 1 AS int) END idx, count(*) n
+FROM (SELECT [{','.join(f"'{w}'" for w in _CLASSES)}][event_id % {len(_CLASSES)} + 1] class FROM events) GROUP BY 1,2""")
+def class_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of the first-level classes; none for an unknown one."""
+    name = F.element_at(F.array(*map(F.lit, _CLASSES)), (F.col("event_id") % len(_CLASSES) + 1).cast("int"))
+    rows = A.table(spark, sf_dir, "events").select(name.alias("class"))
+    return rows.select("class", labeling.class_index(F.col("class")).alias("idx")).groupBy("class", "idx").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT p_brand AS major, p_type AS sub, count(*) n, cast(dense_rank() OVER (PARTITION BY p_brand ORDER BY p_type)-1 AS int) idx FROM part GROUP BY 1,2")
 def label_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labeling.label_index(A.table(spark, sf_dir, "part"), "p_brand", "p_type").withColumnsRenamed({"p_brand": "major", "p_type": "sub"})
