@@ -199,3 +199,17 @@ def test_schema_checks_and_settings(spark, tmp_path):
     with pytest.raises(ValueError, match="odd"):
         config.load(str(tmp_path / "d.toml"), "b", config.BacktestConfig())
     assert portfolio.turnover and labeling.selected  # the public names stay
+
+
+def test_stratified_counts_null_labels_and_bears_empty_tables(spark):
+    rows = spark.createDataFrame([(None, i) for i in range(20)] + [("a", i) for i in range(20, 60)], "sub string, id long")
+    part = {(r["sub"], r.part): r["count"] for r in splits.stratified(rows, "sub", "id", 0.2).groupBy("sub", "part").count().collect()}
+    assert part == {(None, "val"): 4, (None, "train"): 16, ("a", "val"): 8, ("a", "train"): 32}
+    assert splits.stratified(rows.limit(0), "sub", "id").count() == 0
+
+
+def test_rendered_news_is_a_row_an_article(spark):
+    rows = spark.createDataFrame([(1, D(2024, 1, 9), "t1", "s"), (2, D(2024, 1, 10), None, None), (3, D(2024, 1, 9), "t3", "s")], "doc_id long, d date, title string, source string")
+    got = [(r.rank, r.doc_id, r.text, r.n) for r in retrieval.rendered(rows).orderBy("rank").collect()]
+    assert got == [(1, 2, "2024-01-10 |  | ", 3), (2, 3, "2024-01-09 | s | t3", 3), (3, 1, "2024-01-09 | s | t1", 3)]
+    assert retrieval.rendered(rows.limit(0)).count() == 0

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from weekloom.functions.exprs import z_safe
 from weekloom.operators.portfolio import drawdown
+from weekloom.sources.shared import written
 
 
 def performance(records: DataFrame, risk_free_rate: float = 0.03) -> DataFrame:
@@ -57,9 +58,11 @@ def residual_moments(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
 
 def ranked(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
     """``rows`` with ``rank``, their place (from 1) in a total order, without one task that holds all:
-    rows are dealt into ranges, numbered there, and offset by the sizes of the ranges before."""
+    rows are dealt into ranges, numbered there, and offset by the sizes of the ranges before. The
+    numbered rows are written, since ranges that are drawn twice need not have the same edges."""
     dealt = rows.repartitionByRange(*[F.col(c) for c in order]).withColumn("__p", F.spark_partition_id())
     dealt = dealt.withColumn("__r", F.row_number().over(W.partitionBy("__p").orderBy(*order)))
+    dealt = written(dealt, "ranked")
     sizes = dealt.groupBy("__p").agg(F.max("__r").alias("__n"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     return dealt.join(F.broadcast(before.select("__p", "__before")), "__p").withColumn("rank", F.col("__r") + F.col("__before")).drop("__p", "__r", "__before")

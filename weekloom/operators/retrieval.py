@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekloom.functions.text import joined, tokens
+from weekloom.operators.metrics import ranked
+from weekloom.sources.shared import written
 
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -13,15 +15,11 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def term_weights(counts: DataFrame, n_docs: int, vocabulary: int = 5000) -> DataFrame:
-    """(id, term, w): smoothed TF-IDF over the commonest terms (ties by term), of unit length for
-    each document."""
+def inverse_frequencies(counts: DataFrame, n_docs: int, vocabulary: int = 5000) -> DataFrame:
+    """(term, idf), smoothed, of the commonest terms (ties by term)."""
     terms = counts.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
     vocab = terms.orderBy(F.desc("cf"), "term").limit(vocabulary)  # the feature: a bounded vocabulary
-    idf = vocab.select("term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
-    raw = counts.join(F.broadcast(idf), "term").select("id", "term", "idf", (F.col("tf") * F.col("idf")).alias("x"))
-    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return raw.join(norm, "id").select("id", "term", "idf", (F.col("x") / F.col("norm")).alias("w"))
+    return vocab.select("term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
 
 
 def similar(docs: DataFrame, query: str, k: int = 5, id_col: str = "id", text_col: str = "text", vocabulary: int = 5000, as_of: tuple[str, str] | None = None) -> DataFrame:
@@ -34,12 +32,15 @@ def similar(docs: DataFrame, query: str, k: int = 5, id_col: str = "id", text_co
     if not query.strip():
         return docs.limit(0).select(F.col(id_col).alias("id"), F.lit(0.0).alias("similarity"))
     # null text is an empty document: it counts, and can be found with similarity 0
-    weights = term_weights(term_counts(docs, id_col, text_col), docs.count(), vocabulary)
+    counts = written(term_counts(docs, id_col, text_col), "counts")
+    idf = inverse_frequencies(counts, docs.count(), vocabulary)
     asked = term_counts(spark.createDataFrame([(0, query)], "id long, text string"), "id", "text").select("term", F.col("tf").alias("qtf"))
-    met = weights.join(F.broadcast(asked), "term").select("id", "term", "w", (F.col("qtf") * F.col("idf")).alias("q"))
-    idf = weights.select("term", "idf").distinct()
-    length = F.broadcast(idf.join(F.broadcast(asked), "term").agg(F.sqrt(F.sum(F.pow(F.col("qtf") * F.col("idf"), F.lit(2)))).alias("qn")))
-    dots = met.join(length).groupBy("id").agg(F.sum(F.col("w") * F.col("q") / F.col("qn")).alias("s"))
+    known = written(idf.join(F.broadcast(asked), "term", "left").select("term", "idf", (F.col("qtf") * F.col("idf")).alias("q")), "idf")
+    length = F.broadcast(known.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qn")))
+    # a document's length and product with the query come from one aggregation
+    x = F.col("tf") * F.col("idf")
+    found = counts.join(F.broadcast(known), "term").groupBy("id").agg(F.sum(x * F.col("q")).alias("dot"), F.sqrt(F.sum(x * x)).alias("norm"))
+    dots = found.where("dot is not null").join(length).select("id", (F.col("dot") / F.col("norm") / F.col("qn")).alias("s"))
     every = docs.select(F.col(id_col).alias("id"))
     return every.join(dots, "id", "left").select("id", F.coalesce("s", F.lit(0.0)).alias("similarity")).orderBy(F.desc("similarity"), "id").limit(k)
 
@@ -50,7 +51,8 @@ def history(news: DataFrame, query: str, k: int = 5, as_of: tuple[str, str] | No
 
 
 def rendered(news: DataFrame, chars: int = 200, order: str = "d") -> DataFrame:
-    """One text with a line a row, latest first; for small selections."""
+    """(rank, doc_id, text, n): the line of each article, its place (latest first, then by greater
+    id) and how many there are. No articles give no rows."""
     line = F.concat_ws(" | ", F.col(order).cast("string"), F.coalesce("source", F.lit("")), F.substring(F.coalesce("title", F.lit("")), 1, chars))
-    a = news.agg(F.count(F.lit(1)).alias("n"), F.reverse(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), "doc_id", line.alias("t"))))).alias("a"))
-    return a.select("n", F.when(F.col("n") == 0, "no news").otherwise(F.array_join(F.transform("a", lambda x: x["t"]), "\n")).alias("text"))
+    placed = ranked(news.select("doc_id", line.alias("text"), (-F.unix_date(order)).alias("__o"), (-F.col("doc_id")).alias("__i")), ("__o", "__i"))
+    return placed.join(F.broadcast(placed.agg(F.count(F.lit(1)).alias("n")))).select("rank", "doc_id", "text", "n")

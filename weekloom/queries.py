@@ -97,18 +97,18 @@ def _wir(end: str) -> str:
 
 @query(_wir(WEEK))
 def weekly_industry_return(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(returns.weekly_industry_returns(A.prices(spark, sf_dir)), "r")
+    return r6(returns.weekly_industry_returns(A.closes(spark, sf_dir)), "r")
 
 
 @query(_wir(DATA_END))
 def weekly_industry_return_end_of_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(returns.weekly_industry_returns(A.prices(spark, sf_dir), "end_of_data"), "r")
+    return r6(returns.weekly_industry_returns(A.closes(spark, sf_dir), "end_of_data"), "r")
 
 
 @query(f"WITH {WR}, i AS (SELECT r_name industry FROM region UNION SELECT 'NOWHERE') SELECT wk.ws, i.industry, round(coalesce(wr.r,0e0)*100,6) r FROM wk CROSS JOIN i LEFT JOIN wr ON wr.ws=wk.ws AND wr.industry=i.industry")
 def weekly_industry_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = A.table(spark, sf_dir, "region").select(F.col("r_name").alias("industry")).union(spark.range(1).select(F.lit("NOWHERE")))
-    return r6(returns.weekly_industry_grid(A.prices(spark, sf_dir), listed), "r")
+    return r6(returns.weekly_industry_grid(A.closes(spark, sf_dir), listed), "r")
 
 
 @query(f"""WITH {A3}, g AS (SELECT code, cast(date_trunc('week',d) AS date) ws, min_by(close,d) week_open, max_by(close,d) week_close FROM a3 GROUP BY 1,2)
@@ -148,8 +148,8 @@ def extract_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BT} SELECT ws, has, pe AS previous FROM e")
 def carry_forward_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weeks = A.prices(spark, sf_dir).select(X.week_start(F.col("d")).alias("ws"))
-    return calendar.previous_decisions(weeks, A.decisions(spark, sf_dir))
+    daily = A.closes(spark, sf_dir)
+    return calendar.previous_decisions(daily.select(X.week_start(F.col("d")).alias("ws")), A.decisions(daily))
 
 
 # ---------------------------------------------------------------- sentiment
@@ -167,28 +167,22 @@ def daily_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(_daily(spark, sf_dir), "sentiment_mean")
 
 
-_SPARSE = "a1 AS (SELECT * FROM a0 WHERE NOT (major_category = 'click' AND datetime < TIMESTAMP '2024-01-08'))"  # clicks are covered from the second week on
-_GRID = SC.replace("a1 AS", "a0 AS", 1).replace(", sc AS", f", {_SPARSE}, sc AS", 1) + "," + _agg("day", "t")
-
-
-def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = A.news_labeled(spark, sf_dir).where(~((F.col("major_category") == "click") & (F.col("datetime") < F.lit("2024-01-08").cast("timestamp_ntz"))))
-    return sentiment.build(rows, "day")
+_GRID = SC + "," + _agg("day", "t")
 
 
 @query(f"WITH {_GRID} SELECT p.period, i.industry, round(t.s,6) sentiment_mean, coalesce(t.v,0) news_count FROM (SELECT DISTINCT period FROM t) p CROSS JOIN (SELECT DISTINCT industry FROM t) i LEFT JOIN t ON t.period=p.period AND t.industry=i.industry")
 def sentiment_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(sentiment.grid(_sparse(spark, sf_dir)), "sentiment_mean")
+    return r6(sentiment.grid(_daily(spark, sf_dir)), "sentiment_mean")
 
 
 @query(f"WITH {_GRID} SELECT period, round(max(CASE WHEN industry='click' THEN s END),6) AS click, round(max(CASE WHEN industry='view' THEN s END),6) AS \"view\", round(max(CASE WHEN industry='purchase' THEN s END),6) AS purchase FROM t GROUP BY 1")
 def sentiment_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(sentiment.pivoted(_sparse(spark, sf_dir), ["click", "view", "purchase"]), "click", "view", "purchase")
+    return r6(sentiment.pivoted(_daily(spark, sf_dir), ["click", "view", "purchase"]), "click", "view", "purchase")
 
 
 @query(f"WITH {_GRID} SELECT p.period, i.industry, round(t.s,6) sentiment_mean FROM (SELECT DISTINCT period FROM t) p CROSS JOIN (VALUES ('click'),('view'),('purchase')) i(industry) LEFT JOIN t ON t.period=p.period AND t.industry=i.industry")
 def sentiment_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(sentiment.unpivoted(sentiment.pivoted(_sparse(spark, sf_dir), ["click", "view", "purchase"])), "sentiment_mean")
+    return r6(sentiment.unpivoted(sentiment.pivoted(_daily(spark, sf_dir), ["click", "view", "purchase"])), "sentiment_mean")
 
 
 @query(f"WITH {SC},{_agg('day', 't')} SELECT count(*) cells, count(DISTINCT period) periods, count(DISTINCT industry) industries, min(period) first_period, max(period) last_period FROM t")
@@ -497,26 +491,30 @@ def history_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(retrieval.history(A.news_raw(spark, sf_dir), _QUERY, 5, ("d", "2024-01-15")), "similarity")
 
 
-@query(f"WITH {A2}, s AS (SELECT * FROM a2 WHERE d BETWEEN date'2024-01-08' AND date'2024-01-14' AND source='src3') SELECT count(*) n, string_agg(concat_ws(' | ', cast(d AS varchar), coalesce(source,''), substring(coalesce(title,''),1,200)), chr(10) ORDER BY d DESC, doc_id DESC) \"text\" FROM s")
+@query(f"""WITH {A2}, s AS (SELECT * FROM a2 WHERE d BETWEEN date'2024-01-08' AND date'2024-01-14')
+SELECT row_number() OVER (ORDER BY d DESC, doc_id DESC) AS "rank", doc_id, concat_ws(' | ', cast(d AS varchar), coalesce(source,''), substring(coalesce(title,''),1,200)) "text", count(*) OVER () n FROM s""")
 def market_news_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.rendered(calendar.in_week(A.news_raw(spark, sf_dir), "d", "2024-01-08").where(F.col("source") == "src3"))
+    return retrieval.rendered(calendar.in_week(A.news_raw(spark, sf_dir), "d", "2024-01-08"))
 
 
 # ---------------------------------------------------------------- portfolio
 @query(f"WITH {BT} SELECT ws, round(turnover,6) turnover, round(cost,8) cost FROM c")
 def rebalance_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weeks = A.prices(spark, sf_dir).select(X.week_start(F.col("d")).alias("ws")).distinct()
-    return r6(r6(portfolio.turnover(weeks, A.decisions(spark, sf_dir)), "turnover"), "cost", places=8)
+    daily = A.closes(spark, sf_dir)
+    weeks = daily.select(X.week_start(F.col("d")).alias("ws")).distinct()
+    return r6(r6(portfolio.turnover(weeks, A.decisions(daily)), "turnover"), "cost", places=8)
 
 
 @query(f"WITH {BT} SELECT ws, industry, round(w,6) w FROM hw")
 def held_into_week(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weeks = A.prices(spark, sf_dir).select(X.week_start(F.col("d")).alias("ws")).distinct()
-    return r6(portfolio.held_into(weeks, A.decisions(spark, sf_dir)), "w")
+    daily = A.closes(spark, sf_dir)
+    weeks = daily.select(X.week_start(F.col("d")).alias("ws")).distinct()
+    return r6(portfolio.held_into(weeks, A.decisions(daily)), "w")
 
 
-def _records(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return backtest.run(A.prices(spark, sf_dir), A.decisions(spark, sf_dir), scale=0.01, **options)
+def _records(spark: SparkSession, sf_dir: str, daily: DataFrame | None = None, **options) -> DataFrame:
+    daily = A.closes(spark, sf_dir) if daily is None else daily
+    return backtest.run(daily, A.decisions(daily), scale=0.01, **options)
 
 
 @query(f"WITH {BT} SELECT ws, round(r,8) weekly_return, round(cost,8) cost, round(nav,2) nav FROM n")
@@ -566,7 +564,8 @@ def last_record(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BT}, p AS (SELECT ws, lag(ws) OVER (ORDER BY ws) before FROM weeks) SELECT p.ws, cast(count(a6.ws) AS int) decisions FROM p LEFT JOIN a6 ON a6.ws=p.before GROUP BY 1")
 def previous_week_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = backtest.with_previous(_records(spark, sf_dir), A.decisions(spark, sf_dir))
+    daily = A.closes(spark, sf_dir)
+    rows = backtest.with_previous(_records(spark, sf_dir, daily), A.decisions(daily))
     return rows.select("ws", F.when(F.col("agent_decisions").isNull(), 0).otherwise(F.size("agent_decisions")).alias("decisions"))
 
 
@@ -582,7 +581,8 @@ UNION ALL SELECT ws, 'mirror', cl, cast(count(*) AS double) FROM buys WHERE weig
 def _violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("r_regionkey")
     tax = A.table(spark, sf_dir, "region").select(F.col("r_name").alias("small_cat"), F.when(k % 2 == 0, "very_high").otherwise("low").alias("beta"), F.when(k < 3, "k").otherwise("unknown").alias("correlation_cluster"))
-    records, decided = _records(spark, sf_dir), A.decisions(spark, sf_dir)
+    daily = A.closes(spark, sf_dir)
+    records, decided = _records(spark, sf_dir, daily), A.decisions(daily)
     weeks = records.select("ws")
     return risk.violations(decided, tax, portfolio.held_into(weeks, decided), records.select("ws", F.col("weekly_return").alias("r")))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from weekloom.operators import returns
 from weekloom.sources.files import read_parquet
+from weekloom.sources.shared import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,11 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("r_name").alias("industry"), F.col("n_name").alias("code"), F.col("l_shipdate").cast("date").alias("d")).agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("close"))
 
 
+def closes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``prices``, rolled up once for plans that read them several times."""
+    return written(prices(spark, sf_dir), "closes")
+
+
 def etf_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     return p.select(F.col("p_partkey").alias("code"), F.col("p_name").alias("name"), F.col("p_type").alias("tracking_index"), F.when(F.col("p_partkey") % 97 != 0, F.col("p_retailprice")).alias("aum"))
@@ -48,15 +54,15 @@ def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.col("r_name").alias("large_cat"), F.col("n_name").alias("small_cat"), F.col("n_name").alias("index_name"), beta.alias("beta"), cluster.alias("correlation_cluster"))
 
 
-def weekly_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def weekly_returns(daily: DataFrame) -> DataFrame:
     """(ws, industry, r), scaled so that 1 + r stays positive."""
-    r = returns.weekly_industry_returns(prices(spark, sf_dir))
+    r = returns.weekly_industry_returns(daily)
     return r.select("ws", "industry", (F.col("r") / 100).alias("r"))
 
 
-def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums of buys above one, a zero-weight hold, a sell, and weeks without rows."""
-    ranked = weekly_returns(spark, sf_dir).withColumn("k", F.row_number().over(W.partitionBy("ws").orderBy(F.desc("r"), "industry")))
+def decisions(daily: DataFrame) -> DataFrame:
+    """From daily closes. Sums of buys above one, a zero-weight hold, a sell, and weeks without rows."""
+    ranked = weekly_returns(daily).withColumn("k", F.row_number().over(W.partitionBy("ws").orderBy(F.desc("r"), "industry")))
     k = F.col("k")
     action = F.when(k <= 3, "buy").when(k == 4, "hold").otherwise("sell")
     weight = F.when(k == 1, 0.5).when(k == 2, 0.4).when(k == 3, 0.3).when(k == 4, 0.0).otherwise(0.2)
