@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm import ann, bpe, html_extract, line_dedup, mixing, pii, quality_classifier, quality_rules, secrets, simhash
+from weekloom.llm import ann, bpe, fim, html_extract, line_dedup, mixing, pii, quality_classifier, quality_rules, secrets, simhash
 from weekloom.llm.common import table
 
 _W = "'[^\\x20\\x09-\\x0D]+'"
@@ -78,6 +78,25 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a fill-in-middle example, and the text that its output gives back."""
+    found = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fim.restored(F.col("form"), F.col("output"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+OP12_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+e AS (SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM e),
+g AS (SELECT doc_id, t, n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:n], '') AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN t ELSE p || m || s END) AS restored_sha256
+FROM g
+"""
+
 OP9_SQL = f"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, {_W})), 0)::BIGINT AS size, md5('42|' || coalesce(doc_id::VARCHAR, '-') || '|' || coalesce(text, '')) AS k
@@ -96,5 +115,5 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_secrets, op3_line_dedup, op4_pii, op5_bpe, op6_quality_rules, op7_simhash, op8_quality_classifier, op9_mixing, op10_html)}
-ORACLES = {"op9_mixing": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_secrets, op3_line_dedup, op4_pii, op5_bpe, op6_quality_rules, op7_simhash, op8_quality_classifier, op9_mixing, op10_html, op12_fim)}
+ORACLES = {"op9_mixing": OP9_SQL, "op12_fim": OP12_SQL}
