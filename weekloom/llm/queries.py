@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm import ann, bpe, fim, html_extract, line_dedup, mixing, pii, quality_classifier, quality_rules, secrets, simhash
+from weekloom.llm import ann, bpe, fim, html_extract, line_dedup, mixing, pii, quality_classifier, quality_rules, secrets, simhash, trie
 from weekloom.llm.common import table
 
 _W = "'[^\\x20\\x09-\\x0D]+'"
@@ -78,6 +78,11 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return trie.nodes(table(spark, sf_dir, "conversations"))
+
+
 def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a fill-in-middle example, and the text that its output gives back."""
     found = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -85,6 +90,21 @@ def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
 
 
+OP11_SQL = """
+WITH t AS (SELECT conv_id, turn, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))[1:32] AS d, length(coalesce(text, '')) AS s FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, conv_id::VARCHAR AS c, list({'d': d, 's': s} ORDER BY turn NULLS FIRST, d) AS p FROM t GROUP BY conv_id),
+crc AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, range(0, 9 * len(c))), lambda x, i:
+    CASE WHEN i % 9 = 0 THEN xor(x, ord(c[(i // 9 + 1)::INT])::BIGINT) WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) % 6 AS h FROM own),
+r AS (SELECT a.conv_id, list_concat(coalesce(b.p, [])[1:a.h], a.p[a.h + 1:]) AS p FROM crc a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 100),
+e AS (SELECT conv_id, len(p) AS n, p, unnest(range(0, len(p) + 1)) AS d FROM r),
+k AS (SELECT conv_id, n, d, array_to_string(list_transform(p[1:d], lambda x: x.d), '') AS k, CASE WHEN d = 0 THEN 0 ELSE p[d].s END AS s FROM e),
+g AS (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n, any_value(s) AS s, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '') AS ends FROM k GROUP BY k, d),
+u AS (SELECT a.k, count(*) FILTER (b.d = a.d + 1) AS kids FROM g a JOIN g b ON starts_with(b.k, a.k) GROUP BY a.k),
+f AS (SELECT a.k, count(*) FILTER (u.kids = 0) AS leaves, sum((b.n - 1) * b.s) AS saved FROM g a JOIN g b ON starts_with(b.k, a.k) JOIN u ON u.k = b.k GROUP BY a.k)
+SELECT g.conv_id, g.d AS depth, up.conv_id AS parent_conv_id, g.n AS n_convs, u.kids AS n_children, f.leaves AS n_leaves, f.saved::BIGINT AS saved_tokens, sha256(g.ends) AS ends_sha256
+FROM g JOIN u USING (k) JOIN f USING (k) LEFT JOIN g up ON up.d = g.d - 1 AND starts_with(g.k, up.k)
+"""
+
 OP12_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
 e AS (SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
@@ -115,5 +135,5 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_secrets, op3_line_dedup, op4_pii, op5_bpe, op6_quality_rules, op7_simhash, op8_quality_classifier, op9_mixing, op10_html, op12_fim)}
-ORACLES = {"op9_mixing": OP9_SQL, "op12_fim": OP12_SQL}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_secrets, op3_line_dedup, op4_pii, op5_bpe, op6_quality_rules, op7_simhash, op8_quality_classifier, op9_mixing, op10_html, op11_trie, op12_fim)}
+ORACLES = {"op9_mixing": OP9_SQL, "op11_trie": OP11_SQL, "op12_fim": OP12_SQL}
