@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekloom.llm import ann, bpe, fim, html_extract, line_dedup, mixing, pii, quality_classifier, quality_rules, secrets, simhash, trie
+from weekloom.llm import ann, bpe, fim, html_extract, line_dedup, lm, mixing, pii, quality_classifier, quality_rules, secrets, simhash, trie
 from weekloom.llm.common import table
 
 _W = "'[^\\x20\\x09-\\x0D]+'"
@@ -90,6 +90,11 @@ def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
 
 
+def op13_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every text by the mixed model, and by the smoothed token counts."""
+    return lm.scores(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 OP11_SQL = """
 WITH t AS (SELECT conv_id, turn, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))[1:32] AS d, length(coalesce(text, '')) AS s FROM conversations WHERE conv_id IS NOT NULL),
 own AS (SELECT conv_id, conv_id::VARCHAR AS c, list({'d': d, 's': s} ORDER BY turn NULLS FIRST, d) AS p FROM t GROUP BY conv_id),
@@ -135,5 +140,5 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_secrets, op3_line_dedup, op4_pii, op5_bpe, op6_quality_rules, op7_simhash, op8_quality_classifier, op9_mixing, op10_html, op11_trie, op12_fim)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_secrets, op3_line_dedup, op4_pii, op5_bpe, op6_quality_rules, op7_simhash, op8_quality_classifier, op9_mixing, op10_html, op11_trie, op12_fim, op13_lm)}
 ORACLES = {"op9_mixing": OP9_SQL, "op11_trie": OP11_SQL, "op12_fim": OP12_SQL}
