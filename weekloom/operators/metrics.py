@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weekloom.functions.exprs import z_safe
+from weekloom.functions.normal import polynomial, quantile, upper_tail
 from weekloom.operators.portfolio import drawdown
 from weekloom.sources.shared import written
 
@@ -78,3 +79,50 @@ def r2(rows: DataFrame) -> DataFrame:
 def accuracy(rows: DataFrame, hit: Column, loss: Column, weight: Column) -> DataFrame:
     """Share of hits and the weighted mean loss."""
     return rows.agg(F.avg(hit.cast("int")).alias("accuracy"), z_safe(F.sum(loss * weight), F.sum(weight)).alias("loss"), F.count(F.lit(1)).alias("n"))
+
+
+# The coefficients of Royston (1995), algorithm AS R94, highest power first.
+_LAST = (-2.706056, 4.434685, -2.071190, -0.147981, 0.221157)
+_LAST_BUT_ONE = (-3.582633, 5.682633, -1.752461, -0.293762, 0.042981)
+_SMALL_MEAN = (-6.714e-4, 0.025054, -0.39978, 0.544)
+_SMALL_SCALE = (-0.0020322, 0.062767, -0.77857, 1.3822)
+_LARGE_MEAN = (0.0038915, -0.083751, -0.31082, -1.5861)
+_LARGE_SCALE = (0.0030302, -0.082676, -0.4803)
+_GAMMA = (0.459, -2.273)
+
+
+def shapiro_wilk(rows: DataFrame, value: str, order: tuple[str, ...], most: int = 5000) -> DataFrame:
+    """(n, w, p): the test of normality on the first ``most`` values by ``order`` (which must settle ties).
+
+    One row always. Null and NaN values count as absent before the first are taken; w and p are null for fewer than three values
+    or without variation. The first rows are bounded, so they are ordered and weighted in one task."""
+    first = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(F.col(value).cast("double").alias("x"), *order).orderBy(*order).limit(most).select("x")
+    n, i, m = F.col("n"), F.col("i"), F.col("m")
+    x = first.withColumn("n", F.count(F.lit(1)).over(W.partitionBy(F.lit(0)))).withColumn("i", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("x")))
+    # order statistics' expectations are symmetric: the upper half's carry the weights
+    x = x.withColumn("m", quantile((i - 0.375) / (n + 0.25)))
+    s = x.agg(F.max("n").alias("n"), F.sum(m * m).alias("mm"), F.max("m").alias("m1"), F.max(F.when(i == n - 1, m)).alias("m2"), F.avg("x").alias("mean"))
+    u = 1 / F.sqrt(n)
+    a1 = F.when(n == 3, F.sqrt(F.lit(0.5))).otherwise(polynomial(u, (*_LAST, 0.0)) + F.col("m1") / F.sqrt("mm"))
+    a2 = F.when(n > 5, polynomial(u, (*_LAST_BUT_ONE, 0.0)) + F.col("m2") / F.sqrt("mm"))
+    s = s.withColumn("a1", a1).withColumn("a2", a2)
+    square = lambda c: F.col(c) * F.col(c)
+    phi = F.when(n > 5, (F.col("mm") - 2 * square("m1") - 2 * square("m2")) / (1 - 2 * square("a1") - 2 * square("a2"))).otherwise((F.col("mm") - 2 * square("m1")) / (1 - 2 * square("a1")))
+    s = s.withColumn("phi", F.when(n > 3, phi))
+    place = F.least(i - 1, F.col("n") - i)  # from the nearer end
+    sign = F.signum(m)
+    weight = F.when(place == 0, sign * F.col("a1")).when((place == 1) & (n > 5), sign * F.col("a2")).when(n == 3, 0.0).otherwise(m / F.sqrt("phi"))
+    both = x.drop("n").join(F.broadcast(s), F.lit(True))  # one row
+    d = F.col("x") - F.col("mean")
+    a = both.groupBy("n").agg(F.sum(weight * F.col("x")).alias("top"), F.sum(d * d).alias("all"), F.max(F.abs("x")).alias("size"))
+    w = F.when((n >= 3) & (F.col("all") > 1e-24 * F.greatest(square("size") * n, F.lit(1e-280))), F.least(F.lit(1.0), square("top") / F.col("all")))
+    a = a.withColumn("w", w)
+    y, k, ln = F.log(1 - F.col("w")), n.cast("double"), F.log(n)
+    gamma = polynomial(k, _GAMMA)
+    small = upper_tail((-F.log(gamma - y) - polynomial(k, _SMALL_MEAN)) / F.exp(polynomial(k, _SMALL_SCALE)))
+    large = upper_tail((y - polynomial(ln, _LARGE_MEAN)) / F.exp(polynomial(ln, _LARGE_SCALE)))
+    three = F.greatest(F.lit(0.0), 1.9098593171027440 * (F.asin(F.sqrt("w")) - 1.0471975511965976))
+    p = F.when(F.col("w").isNull(), None).when(n == 3, three).when(F.col("w") >= 1, 1.0).when(n <= 11, F.when(y >= gamma, 1e-99).otherwise(small)).otherwise(large)
+    none = rows.sparkSession.range(1).select(F.lit(0).alias("__none"))
+    found = a.select(n.cast("long").alias("n"), "w", p.alias("p"))
+    return none.join(F.broadcast(found), F.lit(True), "left").select(F.coalesce("n", F.lit(0)).alias("n"), "w", "p")

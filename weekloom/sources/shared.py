@@ -25,4 +25,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df``, computed once and read again by all that use it."""
     path = f"{shared_dir(df.sparkSession)}/weekloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.written_to = path
+    return found
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing will read any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
