@@ -172,5 +172,4 @@ def fit(rows: DataFrame, cfg: BoostConfig = BoostConfig(), name: str = "boosted"
 
 def predicted(rows: DataFrame, nodes: DataFrame, name: str = "boosted", into: str = "prediction") -> DataFrame:
     """``rows`` with the ensemble's value of their features; null without the model."""
-    out = T.with_model(rows, nodes, name, "__trees")
-    return out.withColumn(into, F.when(F.col("__trees").isNotNull(), T.total(F.col("__trees"), F.col("features")))).drop("__trees")
+    return T.summed(rows, nodes, name, "__s").withColumn(into, F.col("__s.total")).drop("__s")

@@ -89,11 +89,17 @@ def fit(rows: DataFrame, key: tuple[str, ...], cfg: ForestConfig = ForestConfig(
     return subsamples(usable, n, cfg, key).groupBy("tree").applyInPandas(grow, trees.NODES)  # cfg.sample rows a group
 
 
-def score(packed_trees: Column, x: Column, sample: Column | int = 256) -> Column:
-    """Anomaly score from 0 to 1 of a feature array; about one half is ordinary."""
+def anomaly_score(path: Column, sample: Column | int = 256) -> Column:
+    """From 0 to 1 by a row's mean path length in trees grown on ``sample`` rows; about one half is ordinary. Null where
+    trees of a single row tell nothing."""
     size = F.lit(sample) if isinstance(sample, int) else sample
-    expected = F.when(size <= 1, 0.0).when(size == 2, 1.0).otherwise(2 * (F.log(size - 1) + EULER) - 2 * (size - 1) / size)
-    return F.pow(F.lit(2.0), -trees.mean(packed_trees, x) / F.nullif(expected, F.lit(0.0)))
+    expected = F.when(size <= 1, None).when(size == 2, 1.0).otherwise(2 * (F.log(size - 1) + EULER) - 2 * (size - 1) / size)
+    return F.pow(F.lit(2.0), -path / expected)
+
+
+def score(packed_trees: Column, x: Column, sample: Column | int = 256) -> Column:
+    """``anomaly_score`` of a feature array by packed trees."""
+    return anomaly_score(trees.mean(packed_trees, x), sample)
 
 
 def cutoff(scored: DataFrame, contamination: float, col: str = "score", bins: int = 10_000) -> float:
@@ -112,6 +118,7 @@ def anomalies(rows: DataFrame, nodes: DataFrame, cfg: ForestConfig = ForestConfi
     """``rows`` with score, decision (negative for anomalies) and anomaly, by a stored forest. ``cfg.sample`` must be the
     rows that its trees were grown on at most; of fewer rows, their number counts as in ``fit``."""
     n = F.least(F.lit(cfg.sample), F.greatest(F.lit(rows.count()), F.lit(1)))
-    scored = written(trees.with_model(rows, nodes, name, "__trees").withColumn("score", score(F.col("__trees"), F.col("features"), n)).drop("__trees"), "scored")
+    path = F.col("__s.total") / F.col("__s.trees")
+    scored = written(trees.summed(rows, nodes, name, "__s").withColumn("score", anomaly_score(path, n)).drop("__s"), "scored")
     at = cutoff(scored, cfg.contamination)
     return scored.withColumn("decision", F.lit(at) - F.col("score")).withColumn("anomaly", F.col("score") >= at)

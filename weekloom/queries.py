@@ -652,3 +652,6 @@ def greatest_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = W.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey")
     o = A.table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice")
     return o.withColumn("r", F.row_number().over(by)).where("r <= 3").select(F.col("o_orderpriority").alias("k"), "o_orderkey", "o_totalprice")
+
+
+from weekloom import model_queries  # noqa: E402, F401  registers its queries here
