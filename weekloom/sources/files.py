@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weekloom.sources import workbooks
+
 _INDUSTRY = "map<string,map<string,struct<indices:array<string>,beta:string,correlation_cluster:string>>>"
 
 
@@ -37,25 +39,33 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
 def csv_to_parquet(spark: SparkSession, folder: str, out: str) -> DataFrame:
     """Every CSV file of a folder as a Parquet table of its name; rows (name, rows)."""
     paths = [r[0] for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path").collect()]  # file names only
-    counts = []
-    for path in sorted(paths):
-        name = path.rsplit("/", 1)[-1].removesuffix(".csv")
-        write_parquet(read_csv(spark, path), f"{out}/{name}.parquet")
-        counts.append((name, spark.read.parquet(f"{out}/{name}.parquet").count()))
+    counts = [_to_parquet(read_csv(spark, path), out, path.rsplit("/", 1)[-1].removesuffix(".csv")) for path in sorted(paths)]
     return spark.createDataFrame(counts, "name string, rows long")
 
 
-def xlsx_to_parquet(spark: SparkSession, path: str, out: str) -> list[str]:
-    """Every sheet of a workbook as a Parquet table. Spark has no such source: pandas reads the
-    file on the driver, with its optional reader installed."""
-    import pandas as pd
+def _to_parquet(rows: DataFrame, out: str, name: str) -> tuple[str, int]:
+    path = f"{out}/{name}.parquet"
+    write_parquet(rows, path)
+    return name, rows.sparkSession.read.schema(rows.schema).parquet(path).count()
+
+
+def sheet_table(sheet: str) -> str:
+    """A sheet's name as part of a file's."""
+    return sheet.replace("/", "_").replace("\\", "_")
+
+
+def xlsx_to_parquet(spark: SparkSession, folder: str, out: str) -> DataFrame:
+    """Every sheet of every workbook of a folder (or of one file) as a Parquet table workbook_sheet; rows (name, rows)."""
+    counts = []
+    for r in sorted(workbooks.sheets(spark, folder).collect(), key=lambda r: (r.path, r.place)):  # names and types
+        stem = r.path.rsplit("/", 1)[-1].removesuffix(".xlsx")
+        counts.append(_to_parquet(workbooks.read_sheet(spark, r.path, r.sheet, r.columns, r.types), out, f"{stem}_{sheet_table(r.sheet)}"))
+    return spark.createDataFrame(counts, "name string, rows long")
+
 
-    names = []
-    for sheet, pdf in pd.read_excel(path, sheet_name=None).items():
-        name = sheet.replace("/", "_").replace("\\", "_")
-        write_parquet(spark.createDataFrame(pdf), f"{out}/{name}.parquet")
-        names.append(name)
-    return names
+def to_parquet(spark: SparkSession, folder: str, out: str) -> DataFrame:
+    """Every CSV file and every sheet of every workbook of a folder as Parquet tables; rows (name, rows)."""
+    return csv_to_parquet(spark, folder, out).unionByName(xlsx_to_parquet(spark, folder, out))
 
 
 def taxonomy_from_json(text: DataFrame, col: str = "value") -> DataFrame:
