@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekloom import queries as Q
-from weekloom.operators import boosting, features, forest, metrics, scoring, trees
+from weekloom.operators import boosting, features, forest, metrics, portfolio, scoring, trees
+from weekloom.plans import backtest, decisions
 from weekloom.queries import query, r6
 from weekloom.sources import adapters as A
 from weekloom.sources import models
@@ -172,3 +173,67 @@ def residual_normality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shapiro-Wilk of the first 5000 residuals."""
     rows = A.evaluation(spark, sf_dir).withColumn("e", F.col("y_true") - F.col("y_pred"))
     return r6(metrics.shapiro_wilk(rows, "e", ("day_no", "doc_id")), "w", "p")
+
+
+# ---------------------------------------------------------------- decisions
+def _chain(d: str, x: str) -> str:
+    """The backtest of the decisions ``d``, its steps named with ``x``; it needs weeks and wr."""
+    return f"""t0{x} AS (SELECT ws, industry, CASE WHEN action IN ('buy','hold') AND weight>0 THEN weight ELSE 0e0 END w FROM {d}),
+tt{x} AS (SELECT ws, industry, w/CASE WHEN sum(w) OVER (PARTITION BY ws)>1 THEN sum(w) OVER (PARTITION BY ws) ELSE 1e0 END w FROM t0{x}),
+h{x} AS (SELECT ws, industry, w FROM tt{x} WHERE w>0.001e0), mv{x} AS (SELECT ws, industry, w FROM tt{x} WHERE w>0 UNION ALL SELECT e.ws, hh.industry, -hh.w FROM e JOIN h{x} hh ON hh.ws=e.pe WHERE e.has=1),
+c{x} AS (SELECT ws, sum(abs(dw))*0.0008e0 cost FROM (SELECT ws, industry, sum(w) dw FROM mv{x} GROUP BY 1,2) y GROUP BY ws),
+hw{x} AS (SELECT e.ws, hh.industry, hh.w FROM e JOIN h{x} hh ON hh.ws=e.pe), rr{x} AS (SELECT k.ws, sum(k.w*wr.r) r, sum(k.w) iw FROM hw{x} k JOIN wr ON wr.ws=k.ws AND wr.industry=k.industry GROUP BY 1),
+g{x} AS (SELECT e.ws, coalesce(k.r,0e0) r, coalesce(cc.cost,0e0) cost FROM e LEFT JOIN rr{x} k ON k.ws=e.ws LEFT JOIN c{x} cc ON cc.ws=e.ws),
+n{x} AS (SELECT ws, r, cost, 1e6 * product(1+r) OVER (ORDER BY ws ROWS UNBOUNDED PRECEDING) * coalesce(product(1-cost) OVER (ORDER BY ws ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),1e0) nav FROM g{x})"""
+
+
+@query(f"""WITH {Q.BT}, run AS (SELECT ws, r, sum((r>=0)::int) OVER (ORDER BY ws) k FROM g), len AS (SELECT ws, CASE WHEN r<0 THEN sum((r<0)::int) OVER (PARTITION BY k ORDER BY ws) ELSE 0 END n FROM run),
+lose AS (SELECT ws, coalesce(lag(n) OVER (ORDER BY ws),0) losing FROM len),
+a6c AS (SELECT a6.ws, a6.industry, action, CASE WHEN losing>=2 AND action IN ('buy','hold') AND weight>0
+  THEN 0.8e0*weight/greatest(1e0, sum(CASE WHEN action IN ('buy','hold') AND weight>0 THEN weight ELSE 0e0 END) OVER (PARTITION BY a6.ws)) ELSE weight END weight FROM a6 JOIN lose ON lose.ws=a6.ws),
+{_chain('a6c', '_c')}
+SELECT n_c.ws, cast(losing AS int) losing, round(n_c.r,8) weekly_return, round(n_c.nav,2) nav FROM n_c JOIN lose ON lose.ws=n_c.ws""")
+def losing_streak_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The backtest with its weights cut by a fifth after two losing weeks."""
+    daily = A.closes(spark, sf_dir)
+    decided = written(A.decisions(daily), "decided")
+    plain = written(backtest.run(daily, decided, scale=0.01).select("ws", F.col("weekly_return").alias("r")), "plain")
+    found = backtest.run(daily, portfolio.cut_after_losses(decided, plain), scale=0.01).join(portfolio.losing_runs(plain), "ws")
+    return r6(r6(found.select("ws", "losing", "weekly_return", "nav"), "weekly_return", places=8), "nav", places=2)
+
+
+def _check_sql(d: str, x: str) -> str:
+    """Violations of the decisions ``d``, and a row of flags for each week that has any."""
+    return f"""b{x} AS (SELECT q.*, coalesce(beta,'medium') beta, coalesce(cl,industry) cl FROM {d} q LEFT JOIN tx ON small=industry WHERE action='buy'),
+v{x} AS (SELECT ws, 'max_weight' AS r, industry AS s, weight AS v FROM b{x} WHERE weight>0.3e0 UNION ALL SELECT ws, 'max_total', 'all', sum(weight) FROM b{x} GROUP BY ws HAVING sum(weight)>1
+UNION ALL SELECT q.ws, 'beta', q.industry, g.r FROM b{x} q JOIN g ON g.ws=q.ws AND g.r<0 WHERE beta='very_high' AND weight<>0 AND NOT EXISTS (SELECT 1 FROM hw WHERE hw.ws=q.ws AND hw.industry=q.industry)
+UNION ALL SELECT ws, 'mirror', cl, cast(count(*) AS double) FROM b{x} WHERE weight>=0.15e0 AND cl<>'unknown' GROUP BY 1,3 HAVING count(*)>=2),
+f{x} AS (SELECT ws, bool_or(r='max_weight') mw, bool_or(r='max_total') mt, bool_or(r='mirror') mi, max(v) FILTER (r='max_total') total, CASE WHEN bool_or(r<>'beta') THEN 'trader' ELSE 'researcher' END route FROM v{x} GROUP BY ws)"""
+
+
+def _revise_sql(d: str, x: str) -> str:
+    heavy = f"(action='buy' AND weight>=0.15e0 AND EXISTS (SELECT 1 FROM v{x} m WHERE m.ws=q.ws AND m.r='mirror' AND m.s=coalesce(cl,industry)))"
+    return f"""o{x} AS (SELECT q.ws, industry, action, weight, mw, mt, mi, total, {heavy} hv, row_number() OVER (PARTITION BY q.ws, coalesce(cl,industry), {heavy} ORDER BY weight DESC, industry) k,
+  action='buy' AND EXISTS (SELECT 1 FROM v{x} m WHERE m.ws=q.ws AND m.r='beta' AND m.s=industry) be FROM {d} q JOIN f{x} f ON f.ws=q.ws LEFT JOIN tx ON small=industry),
+d{x} AS (SELECT ws, industry, CASE WHEN be AND NOT mw AND NOT mt AND NOT mi THEN 'hold' ELSE action END action,
+  CASE WHEN mw THEN CASE WHEN action='buy' THEN least(weight,0.3e0) ELSE weight END WHEN mt THEN CASE WHEN action='buy' THEN weight*0.99e0/total ELSE weight END
+  WHEN mi THEN CASE WHEN hv AND k>1 THEN 0.1e0 ELSE weight END WHEN be THEN 0e0 ELSE weight END weight FROM o{x})"""
+
+
+@query(f"""WITH {Q.BT}, tx AS (SELECT r_name small, CASE r_regionkey%2 WHEN 0 THEN 'very_high' ELSE 'low' END beta, CASE WHEN r_regionkey<3 THEN 'k' ELSE 'unknown' END cl FROM region),
+{_check_sql('a6', '1')}, {_revise_sql('a6', '1')}, {_check_sql('d1', '2')}, {_revise_sql('d1', '2')}, {_check_sql('d2', '3')},
+last AS (SELECT w.ws, CASE WHEN f1.ws IS NULL THEN 1 WHEN f2.ws IS NULL THEN 2 ELSE 3 END attempts, (f3.ws IS NOT NULL)::int forced, coalesce(f3.route,f2.route,f1.route,'end') route
+  FROM (SELECT DISTINCT ws FROM a6) w LEFT JOIN f1 ON f1.ws=w.ws LEFT JOIN f2 ON f2.ws=w.ws LEFT JOIN f3 ON f3.ws=w.ws),
+acc AS (SELECT a6.*, 1 t FROM a6 UNION ALL SELECT *, 2 FROM d1 UNION ALL SELECT *, 3 FROM d2)
+SELECT l.ws, l.attempts, l.forced, l.route, count(*) FILTER (action='buy') n_buys, round(coalesce(sum(weight) FILTER (action='buy'),0e0),6) total_weight FROM last l JOIN acc ON acc.ws=l.ws AND acc.t=l.attempts GROUP BY 1,2,3,4""")
+def decision_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every week's decisions through three checks at most, revised by rule."""
+    k = F.col("r_regionkey")
+    tax = A.table(spark, sf_dir, "region").select(F.col("r_name").alias("small_cat"), F.when(k % 2 == 0, "very_high").otherwise("low").alias("beta"), F.when(k < 3, "k").otherwise("unknown").alias("correlation_cluster"))
+    daily = A.closes(spark, sf_dir)
+    decided = written(A.decisions(daily), "decided")
+    pnl = written(backtest.run(daily, decided, scale=0.01).select("ws", F.col("weekly_return").alias("r")), "pnl")
+    held = written(portfolio.held_into(pnl.select("ws"), decided), "held")
+    accepted, log = decisions.checked(decided, decisions.RuleProvider(decided, tax), tax, held, pnl)
+    buys = accepted.groupBy("ws").agg(F.count(F.when(F.col("action") == "buy", 1)).alias("n_buys"), F.coalesce(F.sum(F.when(F.col("action") == "buy", F.col("weight"))), F.lit(0.0)).alias("total_weight"))
+    return r6(log.join(buys, "ws").select("ws", "attempts", F.col("forced").cast("int").alias("forced"), "route", "n_buys", "total_weight"), "total_weight")

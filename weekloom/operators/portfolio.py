@@ -63,3 +63,26 @@ def drawdown(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def record_columns(capital: float) -> dict[str, Column]:
     """A record's derived fields, from nav, r and invested_weight."""
     return {"cash_weight": 1 - F.col("invested_weight"), "status": status(F.col("weekly_return")), "cumulative_return": F.col("nav") / F.lit(float(capital)) - 1}
+
+
+def losing_runs(weekly: DataFrame) -> DataFrame:
+    """(ws, losing): how many weeks in a row, up to the week before, had a negative return. ``weekly`` (ws, r) has a
+    row a week; runs are numbered by the weeks between them."""
+    order = W.orderBy("ws")  # a row a week
+    rows = weekly.withColumn("__run", F.sum((F.coalesce("r", F.lit(0.0)) >= 0).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    length = F.when(F.col("r") < 0, F.sum((F.col("r") < 0).cast("int")).over(W.partitionBy("__run").orderBy("ws"))).otherwise(0)
+    return rows.withColumn("__n", length).select("ws", F.coalesce(F.lag("__n").over(order), F.lit(0)).cast("int").alias("losing"))
+
+
+def cut_after_losses(decisions: DataFrame, weekly: DataFrame, weeks: int = 2, cut: float = 0.2) -> DataFrame:
+    """``decisions`` with targets reduced by ``cut`` in weeks that follow ``weeks`` losing ones or more; off unless called.
+
+    ``weekly`` (ws, r) are the returns of the decisions as they are: all that a week holds comes from one week's
+    decisions, so scaling those keeps the sign of every return, and runs of losses can be found beforehand. (A target
+    that falls below the least weight by the cut is no longer held.) In reduced weeks a buy's or hold's weight is its
+    reduced target, repeated rows of an industry being scaled alike; other actions stay."""
+    w = F.when(F.col("action").isin("buy", "hold") & (F.col("weight") > 0), F.col("weight"))
+    total = F.greatest(F.coalesce(F.sum(w).over(W.partitionBy("ws")), F.lit(0.0)), F.lit(1.0))
+    rows = decisions.withColumn("__w", w / total).join(losing_runs(weekly), "ws", "left")
+    reduced = (F.coalesce("losing", F.lit(0)) >= weeks) & F.col("__w").isNotNull()
+    return rows.withColumn("weight", F.when(reduced, F.col("__w") * (1 - cut)).otherwise(F.col("weight"))).select(*decisions.columns)
