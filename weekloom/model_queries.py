@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekloom import queries as Q
-from weekloom.operators import boosting, features, forest, metrics, portfolio, scoring, trees
+from weekloom.operators import boosting, features, forest, inference, labeling, metrics, portfolio, scoring, trees
 from weekloom.plans import backtest, decisions
 from weekloom.queries import query, r6
 from weekloom.sources import adapters as A
@@ -237,3 +237,148 @@ def decision_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     accepted, log = decisions.checked(decided, decisions.RuleProvider(decided, tax), tax, held, pnl)
     buys = accepted.groupBy("ws").agg(F.count(F.when(F.col("action") == "buy", 1)).alias("n_buys"), F.coalesce(F.sum(F.when(F.col("action") == "buy", F.col("weight"))), F.lit(0.0)).alias("total_weight"))
     return r6(log.join(buys, "ws").select("ws", "attempts", F.col("forced").cast("int").alias("forced"), "route", "n_buys", "total_weight"), "total_weight")
+
+
+# ---------------------------------------------------------------- networks
+_CHANNELS, _KERNEL, _TIME = 3, 3, 5
+
+
+def _weight(*place: int) -> float:
+    """Given weights, from a rule: between -0.6 and 0.6."""
+    h = 0
+    for p in place:
+        h = (h * 31 + p + 7) % 1009
+    return (h % 13 - 6) / 10
+
+
+def _tcn_weights() -> dict:
+    blocks = []
+    for layer in range(2):
+        n = 1 if layer == 0 else _CHANNELS
+        conv = lambda which, width: [[[_weight(layer, which, o, k, i) for i in range(width)] for k in range(_KERNEL)] for o in range(_CHANNELS)]  # noqa: B023, E731
+        block = {"w1": conv(1, n), "b1": [_weight(layer, 3, o) for o in range(_CHANNELS)], "w2": conv(2, _CHANNELS), "b2": [_weight(layer, 4, o) for o in range(_CHANNELS)]}
+        blocks.append(block | {"down": [[_weight(layer, 5, o, i) for i in range(n)] for o in range(_CHANNELS)] if n != _CHANNELS else None, "down_b": [0.1] * _CHANNELS if n != _CHANNELS else None})
+    head = lambda h: [{"w": [[_weight(9, h, o, i) for i in range(_CHANNELS)] for o in range(2)], "b": [0.05, -0.05]}, {"w": [[_weight(8, h, i) for i in range(2)]], "b": [0.02 * h]}]
+    return {"blocks": blocks, "reg": head(1), "cls": head(2)}
+
+
+def _tcn_sql(source: str, inputs: Sequence[str]) -> str:
+    """The network written out, a step a table: columns x{t}_{c}."""
+    w, steps, name = _tcn_weights(), [], source
+    cell = {(t, 0): x for t, x in enumerate(inputs)}
+    for layer, b in enumerate(w["blocks"]):
+        d = 2**layer
+        for which in (1, 2):
+            ws, bs = b[f"w{which}"], b[f"b{which}"]
+            n = len(ws[0][0])
+            prefix = f"y{layer}_{which}"
+            columns = []
+            for t in range(_TIME):
+                for o in range(_CHANNELS):
+                    terms = [f"({ws[o][k][i]!r}::double)*({(cell if which == 1 else mid)[t - (_KERNEL - 1 - k) * d, i]})" for k in range(_KERNEL) if t - (_KERNEL - 1 - k) * d >= 0 for i in range(n)]
+                    columns.append(f"greatest(0e0, ({' + '.join(terms)}) + ({bs[o]!r}::double)) {prefix}_{t}_{o}")
+            steps.append(f"{prefix} AS (SELECT *, {', '.join(columns)} FROM {name})")
+            name, mid = prefix, {(t, o): f"{prefix}_{t}_{o}" for t in range(_TIME) for o in range(_CHANNELS)}
+        columns = []
+        for t in range(_TIME):
+            for o in range(_CHANNELS):
+                res = cell[t, o] if b["down"] is None else " + ".join(f"({v!r}::double)*({cell[t, i]})" for i, v in enumerate(b["down"][o])) + f" + {b['down_b'][o]!r}::double"
+                columns.append(f"greatest(0e0, {mid[t, o]} + ({res})) z{layer}_{t}_{o}")
+        steps.append(f"z{layer} AS (SELECT *, {', '.join(columns)} FROM {name})")
+        name, cell = f"z{layer}", {(t, o): f"z{layer}_{t}_{o}" for t in range(_TIME) for o in range(_CHANNELS)}
+    pooled = ", ".join(f"({' + '.join(cell[t, o] for t in range(_TIME))})/{_TIME} p{o}" for o in range(_CHANNELS))
+    steps.append(f"pooled AS (SELECT *, {pooled} FROM {name})")
+
+    def head(layers: list[dict]) -> str:
+        hidden = [f"greatest(0e0, {' + '.join(f'({v!r}::double)*p{i}' for i, v in enumerate(row))} + ({b!r}::double))" for row, b in zip(layers[0]["w"], layers[0]["b"])]
+        return " + ".join(f"({v!r}::double)*{h}" for v, h in zip(layers[1]["w"][0], hidden)) + f" + {layers[1]['b'][0]!r}::double"
+
+    steps.append(f"heads AS (SELECT *, {head(w['reg'])} reg, {head(w['cls'])} cls FROM pooled)")
+    return ",\n".join(steps)
+
+
+@query(f"""WITH {Q.DAILY}, q AS (SELECT period, industry, rn, {', '.join(f'lag(s,{_TIME - k}) OVER w x{k}' for k in range(_TIME))} FROM ch WINDOW w AS (PARTITION BY industry ORDER BY period)), f AS (SELECT * FROM q WHERE rn>={_TIME}),
+{_tcn_sql('f', [f'x{k}' for k in range(_TIME)])} SELECT period, industry, round((exp(2*reg)-1)/(exp(2*reg)+1),6)+0e0 momentum, round(1/(1+exp(-cls)),6) anomaly FROM heads""")
+def tcn_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Momentum and anomaly of every lookback sequence by a temporal network of given weights."""
+    rows = features.industry_sequences(Q._daily(spark, sf_dir), _TIME).select("period", "industry", F.transform("sequence", lambda v: F.array(v)).alias("x"))
+    weights = spark.createDataFrame([(_tcn_weights(),)], f"model {inference.TCN}".replace("\n", ""))
+    found = rows.withColumn("one", F.lit(1)).join(F.broadcast(weights.withColumn("one", F.lit(1))), "one")  # one row of a few hundred numbers
+    return r6(found.select("period", "industry", inference.tcn(F.col("model"), F.col("x")).alias("y")).select("period", "industry", "y.*"), "momentum", "anomaly")
+
+
+@query("""WITH e AS (SELECT vec_id, label, list_transform(embedding[1:12], lambda x: x::double) z FROM embeddings),
+m AS (SELECT *, [((label+i)%3>0)::int::double FOR i IN [0,1,2]] m FROM e), p AS (SELECT vec_id, m, [(m[1]*z[j]+m[2]*z[j+4]+m[3]*z[j+8])/greatest(list_sum(m),1e-9) FOR j IN [1,2,3,4]] p FROM m)
+SELECT vec_id, round(p[1],6)+0e0 p0, round(p[2],6)+0e0 p1, round(p[3],6)+0e0 p2, round(p[4],6)+0e0 p3 FROM p""")
+def masked_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean of three token vectors of four values, some masked."""
+    z = F.col("embedding").cast("array<double>")
+    h = F.array(*(F.slice(z, 4 * i + 1, 4) for i in range(3)))
+    mask = F.array(*(((F.col("label") + i) % 3 > 0).cast("double") for i in range(3)))
+    rows = A.table(spark, sf_dir, "embeddings").select("vec_id", inference.masked_mean(h, mask).alias("p"))
+    return r6(rows.select("vec_id", *(F.col("p")[i].alias(f"p{i}") for i in range(4))), "p0", "p1", "p2", "p3")
+
+
+# ---------------------------------------------------------------- labelling
+_SIGNS = ("e", "n", "i", "u", "é")
+
+
+def _layer(seed: int, n: int) -> tuple[list[list[float]], list[float]]:
+    """Given weights of ``n`` classes over the features of a text."""
+    return [[_weight(seed, o, i) for i in range(len(_SIGNS) + 1)] for o in range(n)], [_weight(seed, 77, o) for o in range(n)]
+
+
+def _layer_sql(seed: int, n: int) -> str:
+    w, b = _layer(seed, n)
+    return "[" + ", ".join(" + ".join(f"({v!r}::double)*x[{i + 1}]" for i, v in enumerate(row)) + f" + ({c!r}::double)" for row, c in zip(w, b)) + "]"
+
+
+_MAJORS, _MODELS = labeling.L1_CATEGORIES, 6
+_SAFE = [m.replace("/", "_") for m in _MAJORS]
+_L1 = "[" + ",".join(f"'{m}'" for m in _MAJORS) + "]"
+
+
+@query(f"""WITH {Q.A2}, t AS (SELECT doc_id, CASE WHEN coalesce(title,'')<>'' AND coalesce(content,'')<>'' THEN concat(title,' [SEP] ',substring(content,1,256)) WHEN coalesce(content,'')<>'' THEN substring(content,1,256) ELSE '' END t FROM a2 WHERE NOT (title IS NULL AND content IS NULL)),
+f AS (SELECT doc_id, [{', '.join(f"(length(t)-length(replace(t,'{c}','')))/10e0" for c in _SIGNS)}, length(t)/300e0] x FROM t),
+l AS (SELECT doc_id, x, {_layer_sql(1, len(_MAJORS))} z, {_layer_sql(2, 3)} s FROM f),
+m AS (SELECT *, list_position(z,list_max(z)) c, 1/list_sum(list_transform(z,lambda v: exp(v-list_max(z)))) p FROM l),
+y AS (SELECT *, CASE c {' '.join(f'WHEN {k + 1} THEN {_layer_sql(10 + k, 4)}' for k in range(_MODELS))} END q FROM m)
+SELECT doc_id, {_L1}[c] major_category, round_even(p,4) major_confidence, (ARRAY['negative','neutral','positive'])[list_position(s,list_max(s))] sentiment,
+ CASE WHEN c=8 THEN '其他' WHEN q IS NULL THEN concat({_L1}[c],'-3') ELSE concat({_L1}[c],'-',least(list_position(q,list_max(q)),3)) END sub_category,
+ round(CASE WHEN q IS NULL THEN 0e0 ELSE 1/list_sum(list_transform(q,lambda v: exp(v-list_max(q)))) END,6) sub_confidence FROM y""")
+def news_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both phases of labelling from raw news: class and sentiment from given linear layers, then the class's own model for
+    sub-categories (the last two classes have none; the last one has no labels either)."""
+    news = labeling.selected(A.news_raw(spark, sf_dir))
+    count = lambda c: (F.length("model_text") - F.length(F.replace("model_text", F.lit(c), F.lit("")))) / 10.0
+    rows = news.select("doc_id", F.array(*map(count, _SIGNS), F.length("model_text") / 300.0).alias("x"))
+    layer = lambda seed, n: inference.linear(*(F.lit(v) for v in _layer(seed, n)), F.col("x"))
+    rows = rows.withColumn("z", layer(1, len(_MAJORS))).withColumn("s", layer(2, 3))
+    rows = labeling.classified(labeling.classified(rows, "z", _MAJORS, "major", 4), "s", labeling.SENTIMENTS, "sentiment")
+    given = {safe: _layer(10 + k, 4) for k, safe in enumerate(_SAFE[:_MODELS])}
+
+    def load(name: str):
+        if name not in given:
+            return None
+        import numpy as np
+
+        w, b = map(np.array, given[name])
+        return lambda part: np.stack(part["x"].to_list()) @ w.T + b
+
+    found = inference.routed(rows.select("doc_id", "major", "major_confidence", "sentiment", "x"), load, "doc_id")
+    subs = spark.createDataFrame([(m, [f"{m}-{k}" for k in (1, 2, 3)]) for m in _MAJORS[:-1]], "major string, subs array<string>")
+    found = labeling.sub_classified(found, subs)
+    return r6(found.select("doc_id", F.col("major").alias("major_category"), "major_confidence", "sentiment", "sub_category", F.col("sub_category_confidence").alias("sub_confidence")), "sub_confidence")
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
+#: A given vocabulary: special pieces, letters and their continuations, and short words and endings.
+VOCABULARY = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *".,;:!?#-/()", *_LETTERS, *(f"##{c}" for c in _LETTERS), "the", "and", "der", "die", "que", "##ing", "##er", "##en", "##tion", "##keit", "token", "##th", "un", "##and", "日"]
+
+
+@query()
+def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids, masks and types of all news texts, padded for a model of 64 pieces, with the batch of 32 that a row is in."""
+    news = labeling.selected(A.news_raw(spark, sf_dir)).select("doc_id", "model_text")
+    found = inference.token_batches(metrics.ranked(news, ("doc_id",)), VOCABULARY, "model_text", 64)
+    return found.select("doc_id", F.expr("(rank - 1) div 32").alias("batch"), "input_ids", "attention_mask", "token_type_ids")
