@@ -85,6 +85,22 @@ def strict_map(x: Column, values: dict, strict: bool = True) -> Column:
     return known.otherwise(F.raise_error(F.concat(F.lit("unknown value: "), x.cast("string")))) if strict else known
 
 
+def strict_double(x: Column) -> Column:
+    """A number's text as a double; other text raises, null stays null. NaN and infinities are numbers."""
+    return F.when(x.isNull(), None).otherwise(F.coalesce(x.try_cast("double"), F.raise_error(F.concat(F.lit("not a number: "), x.cast("string"))).cast("double")))
+
+
+def strict_timestamp(x: Column, pattern: str | None = None) -> Column:
+    """Text as a timestamp without zone, in ISO form or by a pattern; other text raises, null stays null."""
+    found = x.try_cast("timestamp_ntz") if pattern is None else F.try_to_timestamp(x, F.lit(pattern)).cast("timestamp_ntz")
+    return F.when(x.isNull(), None).otherwise(F.coalesce(found, F.raise_error(F.concat(F.lit("not a time: "), x)).cast("timestamp_ntz")))
+
+
+def percent(x: Column, places: int = 2) -> Column:
+    """A share as text, such as 12.34%."""
+    return F.when(x.isNotNull(), F.format_string(f"%.{places}f%%", x * 100))
+
+
 def z_safe(a: Column, b: Column) -> Column:
     """a / b, null where b is zero."""
     return F.try_divide(a, b)

@@ -16,6 +16,13 @@ def mondays(spark: SparkSession, start: str, end: str) -> DataFrame:
     return one.select(F.explode(F.sequence(first, last, F.expr("interval 7 days"))).alias("ws"))
 
 
+def weeks_of(df: DataFrame, col: str) -> DataFrame:
+    """``ws`` for every Monday from the week of the earliest date to the latest date, with or without rows; none for an
+    empty table."""
+    ends = df.agg(week_start(F.min(col)).alias("a"), F.max(col).cast("date").alias("b")).where("a IS NOT NULL")
+    return ends.select(F.explode(F.sequence("a", "b", F.expr("interval 7 days"))).alias("ws"))
+
+
 def in_week(df: DataFrame, col: str, monday: str) -> DataFrame:
     """Rows dated from a Monday to the Sunday after it; a range filter that reaches the scan."""
     ws = F.lit(monday).cast("date")

@@ -1,48 +1,76 @@
-"""Similar cases by TF-IDF, relationally."""
+"""Similar cases by TF-IDF: statistics by aggregation, products where a document is read."""
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekloom.functions.text import joined, tokens
 from weekloom.operators.metrics import ranked
-from weekloom.sources.shared import written
+from weekloom.sources.shared import forget, written
+
+
+def vocabulary_of(docs: DataFrame, text_col: str, size: int = 5000) -> tuple[list[tuple[str, float]], int]:
+    """The commonest terms (ties by term) with their smoothed inverse document frequencies, and the number of
+    documents, in one pass: occurrences and documents of a term are summed up before they are shuffled."""
+    said = F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>"))
+    kind = lambda n, d: lambda t: F.struct(t.alias("term"), F.lit(n).alias("cf"), F.lit(d).alias("df"))
+    every = F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("cf"), F.lit(1).alias("df"))  # a document
+    rows = docs.select(said.alias("said")).select(F.explode(F.concat(F.array(every), F.transform("said", kind(1, 0)), F.transform(F.array_distinct("said"), kind(0, 1)))).alias("t"))
+    terms = rows.groupBy("t.term").agg(F.sum("t.cf").alias("cf"), F.sum("t.df").alias("df"))
+    terms = written(terms, "terms")
+    n = terms.where("term IS NULL").select("df").first()
+    vocab = terms.where("term IS NOT NULL").orderBy(F.desc("cf"), "term").limit(size)  # the feature: a bounded vocabulary
+    found = [] if n is None else [(r.term, r.idf) for r in vocab.select("term", (F.log((F.lit(1.0) + n.df) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf")).collect()]
+    forget(terms)
+    return found, 0 if n is None else n.df
 
 
-def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf)."""
-    return docs.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+def similarities(docs: DataFrame, vocab: list[tuple[str, float]], asked: dict[str, int], id_col: str, text_col: str) -> DataFrame:
+    """(id, similarity) of every document: the cosine of its weighted terms and the query's, without a shuffle. A
+    document's terms are counted where it is read; 0 without a common term."""
+    terms = pa.array([t for t, _ in vocab], pa.string())
+    idf = np.array([w for _, w in vocab])
+    q = np.array([asked.get(t, 0) for t, _ in vocab]) * idf if vocab else np.zeros(0)
+    length = float(np.sqrt((q * q).sum()))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            at = pc.index_in(lists.flatten(), value_set=terms)
+            doc = np.repeat(np.arange(b.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            known = at.is_valid().to_numpy(zero_copy_only=False)
+            pair, tf = np.unique(doc[known] * max(len(idf), 1) + at.drop_null().to_numpy(), return_counts=True)
+            x = tf * idf[pair % max(len(idf), 1)]
+            of = pair // max(len(idf), 1)
+            dot = np.bincount(of, weights=x * q[pair % max(len(idf), 1)], minlength=b.num_rows)
+            norm = np.sqrt(np.bincount(of, weights=x * x, minlength=b.num_rows))
+            s = np.divide(dot, norm * length, out=np.zeros(b.num_rows), where=norm * length > 0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], names=["id", "similarity"])
 
-def inverse_frequencies(counts: DataFrame, n_docs: int, vocabulary: int = 5000) -> DataFrame:
-    """(term, idf), smoothed, of the commonest terms (ties by term)."""
-    terms = counts.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
-    vocab = terms.orderBy(F.desc("cf"), "term").limit(vocabulary)  # the feature: a bounded vocabulary
-    return vocab.select("term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    said = F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>"))
+    return docs.select(F.col(id_col).alias("id"), said.alias("said")).mapInArrow(run, f"id {kind}, similarity double")
 
 
 def similar(docs: DataFrame, query: str, k: int = 5, id_col: str = "id", text_col: str = "text", vocabulary: int = 5000, as_of: tuple[str, str] | None = None) -> DataFrame:
     """(id, similarity): the ``k`` documents closest to a query by cosine, ties to the smaller id;
     those without a common term count as 0. An empty query finds nothing. ``as_of``: (date column,
-    date) leaves out later documents, from the statistics too."""
-    spark = docs.sparkSession
+    date) leaves out later documents, from the statistics too. Null text is an empty document: it
+    counts, and can be found with similarity 0."""
     if as_of is not None:
         docs = docs.where(F.col(as_of[0]) <= F.lit(as_of[1]).cast("date"))
     if not query.strip():
         return docs.limit(0).select(F.col(id_col).alias("id"), F.lit(0.0).alias("similarity"))
-    # null text is an empty document: it counts, and can be found with similarity 0
-    counts = written(term_counts(docs, id_col, text_col), "counts")
-    idf = inverse_frequencies(counts, docs.count(), vocabulary)
-    asked = term_counts(spark.createDataFrame([(0, query)], "id long, text string"), "id", "text").select("term", F.col("tf").alias("qtf"))
-    known = written(idf.join(F.broadcast(asked), "term", "left").select("term", "idf", (F.col("qtf") * F.col("idf")).alias("q")), "idf")
-    length = F.broadcast(known.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qn")))
-    # a document's length and product with the query come from one aggregation
-    x = F.col("tf") * F.col("idf")
-    found = counts.join(F.broadcast(known), "term").groupBy("id").agg(F.sum(x * F.col("q")).alias("dot"), F.sqrt(F.sum(x * x)).alias("norm"))
-    dots = found.where("dot is not null").join(length).select("id", (F.col("dot") / F.col("norm") / F.col("qn")).alias("s"))
-    every = docs.select(F.col(id_col).alias("id"))
-    return every.join(dots, "id", "left").select("id", F.coalesce("s", F.lit(0.0)).alias("similarity")).orderBy(F.desc("similarity"), "id").limit(k)
+    vocab, _ = vocabulary_of(docs, text_col, vocabulary)
+    asked = Counter(docs.sparkSession.range(1).select(tokens(F.lit(query)).alias("t")).first().t)
+    return similarities(docs, vocab, asked, id_col, text_col).orderBy(F.desc("similarity"), "id").limit(k)
 
 
 def history(news: DataFrame, query: str, k: int = 5, as_of: tuple[str, str] | None = None) -> DataFrame:

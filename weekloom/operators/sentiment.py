@@ -32,8 +32,17 @@ def grid(series: DataFrame) -> DataFrame:
     return rows.select("period", "industry", "sentiment_mean", F.coalesce("news_count", F.lit(0)).cast("long").alias("news_count"))
 
 
-def pivoted(series: DataFrame, values: list[str], col: str = "sentiment_mean") -> DataFrame:
-    """Wide: a column for each of ``values``."""
+#: Columns that a pivot makes at most.
+PIVOT_COLUMNS = 5000
+
+
+def pivoted(series: DataFrame, values: list[str] | None = None, col: str = "sentiment_mean") -> DataFrame:
+    """Wide: a column for each of ``values``, or for each industry in order. Over ``PIVOT_COLUMNS`` industries raise; a
+    null industry has no column."""
+    if values is None:
+        values = [r[0] for r in series.where("industry IS NOT NULL").select("industry").distinct().orderBy("industry").limit(PIVOT_COLUMNS + 1).collect()]
+        if len(values) > PIVOT_COLUMNS:
+            raise ValueError(f"over {PIVOT_COLUMNS} industries: name those to pivot")
     return series.groupBy("period").pivot("industry", values).agg(F.first(col))
 
 

@@ -12,6 +12,7 @@ from weekloom.operators import calendar, features, labeling, metrics, portfolio,
 from weekloom.plans import backtest
 from weekloom.sources import adapters as A
 from weekloom.sources import files
+from weekloom.sources.shared import written
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -130,9 +131,10 @@ def date_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- calendar
-@query("SELECT cast(unnest(generate_series(timestamp '2020-12-28', timestamp '2021-03-02', INTERVAL 7 DAY)) AS date) ws")
+@query("SELECT cast(unnest(generate_series(date_trunc('week',min(cast(l_shipdate AS date)))::timestamp, max(cast(l_shipdate AS date))::timestamp, INTERVAL 7 DAY)) AS date) ws FROM lineitem")
 def week_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calendar.mondays(spark, "2021-01-03", "2021-03-02")
+    """Every Monday that the shipments span."""
+    return calendar.weeks_of(A.table(spark, sf_dir, "lineitem"), "l_shipdate")
 
 
 @query(f"WITH {A2} SELECT doc_id, d FROM a2 WHERE d BETWEEN date'2024-01-08' AND date'2024-01-14'")
@@ -175,14 +177,19 @@ def sentiment_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(sentiment.grid(_daily(spark, sf_dir)), "sentiment_mean")
 
 
-@query(f"WITH {_GRID} SELECT period, round(max(CASE WHEN industry='click' THEN s END),6) AS click, round(max(CASE WHEN industry='view' THEN s END),6) AS \"view\", round(max(CASE WHEN industry='purchase' THEN s END),6) AS purchase FROM t GROUP BY 1")
+_TYPES = ("click", "error", "purchase", "signup", "view")
+
+
+@query(f"WITH {_GRID} SELECT period, " + ", ".join(f"round(max(CASE WHEN industry='{x}' THEN s END),6) AS \"{x}\"" for x in _TYPES) + " FROM t GROUP BY 1")
 def sentiment_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(sentiment.pivoted(_daily(spark, sf_dir), ["click", "view", "purchase"]), "click", "view", "purchase")
+    """A column for each event type that occurs."""
+    wide = sentiment.pivoted(written(_daily(spark, sf_dir), "daily"))
+    return r6(wide, *wide.columns[1:])
 
 
-@query(f"WITH {_GRID} SELECT p.period, i.industry, round(t.s,6) sentiment_mean FROM (SELECT DISTINCT period FROM t) p CROSS JOIN (VALUES ('click'),('view'),('purchase')) i(industry) LEFT JOIN t ON t.period=p.period AND t.industry=i.industry")
+@query(f"WITH {_GRID} SELECT p.period, i.industry, round(t.s,6) sentiment_mean FROM (SELECT DISTINCT period FROM t) p CROSS JOIN (SELECT DISTINCT industry FROM t) i LEFT JOIN t ON t.period=p.period AND t.industry=i.industry")
 def sentiment_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(sentiment.unpivoted(sentiment.pivoted(_daily(spark, sf_dir), ["click", "view", "purchase"])), "sentiment_mean")
+    return r6(sentiment.unpivoted(sentiment.pivoted(written(_daily(spark, sf_dir), "daily"))), "sentiment_mean")
 
 
 @query(f"WITH {SC},{_agg('day', 't')} SELECT count(*) cells, count(DISTINCT period) periods, count(DISTINCT industry) industries, min(period) first_period, max(period) last_period FROM t")
@@ -214,10 +221,11 @@ def _lagged(name: str, n: int) -> str:
     return "concat_ws(','," + ",".join(f"printf('%.4f', round(lag({name},{k}) OVER w,4)+0e0)" for k in range(n, 0, -1)) + ")"
 
 
-@query(f"""WITH {DAILY}, q AS (SELECT period, industry, rn, n, m, {_lagged('s', 5)} sequence FROM ch WINDOW w AS (PARTITION BY industry ORDER BY period))
-SELECT period, industry, sequence, round(m,6) momentum, 0 anomaly FROM q WHERE n>=7 AND rn BETWEEN 5 AND n-2""")
+@query(f"""WITH {DAILY}, q AS (SELECT period, industry, rn, n, m, s, {_lagged('s', 5)} sequence FROM ch WINDOW w AS (PARTITION BY industry ORDER BY period))
+SELECT period, industry, sequence, round(m,6) momentum, CASE WHEN abs(s*0.1e0)>0.03e0 THEN 1 ELSE 0 END anomaly FROM q WHERE n>=7 AND rn BETWEEN 5 AND n-2""")
 def sequences_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(features.sequences(_daily(spark, sf_dir)).withColumn("sequence", _text("sequence")), "momentum")
+    series = _daily(spark, sf_dir).withColumn("return", F.col("sentiment_mean") * 0.1)  # both anomaly labels occur
+    return r6(features.sequences(series).withColumn("sequence", _text("sequence")), "momentum")
 
 
 @query(f"""WITH {DAILY}, q AS (SELECT period, industry, rn, n, m, ht, {_lagged('s', 5)} sequence FROM ch WINDOW w AS (PARTITION BY industry ORDER BY period))
@@ -227,12 +235,16 @@ def sequences_per_industry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(rows.select("period", "industry", _text("sequence").alias("sequence"), F.col("deltas")[0].alias("delta"), "momentum"), "delta", "momentum")
 
 
-@query(f"""WITH {DAILY}, wide AS (SELECT period, row_number() OVER (ORDER BY period)-1 rn, list(s ORDER BY industry) s, list(ht ORDER BY industry) ht, list(m ORDER BY industry) m FROM ch GROUP BY period)
-SELECT period, round(list_sum(m),4) labels, round((SELECT sum(list_sum(b.s)) FROM wide b WHERE b.rn BETWEEN a.rn-8 AND a.rn-1) + 8*list_sum(ht),4) features FROM wide a WHERE rn>=8""")
+def _sql_text(a: str) -> str:
+    return f"array_to_string(list_transform({a}, lambda x: printf('%.4f', round(x,4)+0e0)), ',')"
+
+
+@query(f"""WITH {DAILY}, wide AS (SELECT period, row_number() OVER (ORDER BY period)-1 rn, list(s ORDER BY industry) s, list(ht ORDER BY industry) ht, list(m ORDER BY industry) m FROM ch GROUP BY period),
+f AS (SELECT a.period, a.m, b.rn, list_concat(b.s, a.ht) x FROM wide a JOIN wide b ON b.rn BETWEEN a.rn-8 AND a.rn-1 WHERE a.rn>=8)
+SELECT period, {_sql_text('any_value(m)')} labels, {_sql_text('flatten(list(x ORDER BY rn))')} features FROM f GROUP BY period""")
 def sequences_cross_industry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    add = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
     rows = features.cross_sequences(_daily(spark, sf_dir))
-    return r6(rows.select("period", add("labels").alias("labels"), add(F.flatten("features")).alias("features")), "labels", "features", places=4)
+    return rows.select("period", _text("labels").alias("labels"), _text(F.flatten("features")).alias("features"))
 
 
 @query(f"""WITH {DAILY}, z AS (SELECT *, CASE WHEN rn=0 THEN 0e0 ELSE m END mm, CASE WHEN rn=0 THEN 0e0 ELSE ht END hh FROM ch),
@@ -243,18 +255,22 @@ def rolling_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {DAILY}, q AS (SELECT *, stddev_pop(v) OVER f cs, stddev_pop(s) OVER f ss FROM ch WINDOW f AS (PARTITION BY industry ORDER BY period ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
-SELECT period, industry, round(s-s1,6) delta_1, round(s-s2,6) delta_2, v news_count, round(ht,6) news_heat, round(cs,6) count_std, round(ss,6) sentiment_std, CASE WHEN sn>s THEN 1 WHEN sn<s THEN -1 ELSE 0 END AS label
+SELECT period, industry, round(s-s1,6) delta_1, round(s-s2,6) delta_2, v news_count, round(ht,6) news_heat, round(cs,6) count_std, round(ss,6) sentiment_std,
+ round(s*s,6) model_reg, round(ht/2,6) model_cls, round(s*s-s1*s1,6) model_delta, round(s*s*ht,6)+0e0 model_heat, CASE WHEN sn>s THEN 1 WHEN sn<s THEN -1 ELSE 0 END AS label
 FROM q WHERE n>=7 AND rn BETWEEN 6 AND n-2""")
 def stacking_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = features.stacking_features(features.changes(_daily(spark, sf_dir)).drop("momentum"))
-    return r6(rows.drop("model_reg", "model_cls", "model_delta", "model_heat"), "delta_1", "delta_2", "news_heat", "count_std", "sentiment_std")
+    """All ten features, with given columns as the sequence model's outputs."""
+    series = features.changes(_daily(spark, sf_dir)).drop("momentum")
+    series = series.withColumn("reg", F.col("sentiment_mean") * F.col("sentiment_mean")).withColumn("cls", F.col("news_heat") / 2)
+    rows = features.stacking_features(series, model_reg="reg", model_cls="cls")
+    return r6(rows, "delta_1", "delta_2", "news_heat", "count_std", "sentiment_std", "model_reg", "model_cls", "model_delta", "model_heat")
 
 
-@query(f"""WITH {DAILY}, q AS (SELECT period, industry, rn, n, {'+'.join(f'lead(v,{k}) OVER w' for k in range(5))} c, {'+'.join(f'lead(coalesce(ht,0e0),{k}) OVER w' for k in range(5))} h FROM ch WINDOW w AS (PARTITION BY industry ORDER BY period))
-SELECT period, industry, round(c+h,4) total, 10 size FROM q WHERE rn < n-10""")
+@query(f"""WITH {DAILY}, q AS (SELECT period, industry, rn, n, [{', '.join(f'lead(v,{k}) OVER w' for k in range(5))}, {', '.join(f'lead(coalesce(ht,0e0),{k}) OVER w' for k in range(5))}] x FROM ch WINDOW w AS (PARTITION BY industry ORDER BY period))
+SELECT period, industry, {_sql_text('x')} features FROM q WHERE rn < n-10""")
 def iforest_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = features.isolation_windows(features.changes(_daily(spark, sf_dir)).fillna(0.0, ["news_heat"]))
-    return rows.select("period", "industry", F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), F.size("features").alias("size"))
+    return rows.withColumn("features", _text("features"))
 
 
 # ---------------------------------------------------------------- scoring
@@ -379,20 +395,25 @@ def keyword_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(A.table(spark, sf_dir, "documents").select("doc_id", T.keyword_sentiment(F.col("text"), _POS, _NEG).alias("sentiment")), "sentiment")
 
 
-_BOTH = [*T.POSITIVE_KEYWORDS, *T.NEGATIVE_KEYWORDS]
-_WORDS = "[" + ",".join(f"'{w}'" for w in _BOTH) + "]"
-_SAYS = f"concat_ws(' ', {_WORDS}[doc_id % {len(_BOTH)} + 1], CASE WHEN doc_id % 3 > 0 THEN {_WORDS}[doc_id * 7 % {len(_BOTH)} + 1] END, CASE WHEN doc_id % 5 > 0 THEN {_WORDS}[doc_id * 11 % {len(_BOTH)} + 1] END)"
+# common letter groups of the texts, each standing for a keyword
+_STANDS = dict(zip(("the ", "ung", "cion", "ment", "ering", "que", "token", "and ", "eau", "##"), [w for pair in zip(T.POSITIVE_KEYWORDS, T.NEGATIVE_KEYWORDS) for w in pair]))
+
+
+def _replaced(text: str) -> str:
+    for part, word in _STANDS.items():
+        text = f"replace({text}, '{part}', '{word}')"
+    return text
 
 
-@query(f"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN '' ELSE {_SAYS} END AS says FROM documents),
+@query(f"""WITH t AS (SELECT doc_id, {_replaced('text')} says FROM documents),
 c AS (SELECT doc_id, {'+'.join(f"contains(says,'{w}')::int" for w in T.POSITIVE_KEYWORDS)} p, {'+'.join(f"contains(says,'{w}')::int" for w in T.NEGATIVE_KEYWORDS)} n FROM t)
 SELECT doc_id, round(coalesce(CASE WHEN p+n=0 THEN 0e0 ELSE (p-n)/(p+n)::double END,0e0),6)+0e0 sentiment FROM c""")
 def keyword_sentiment_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By the fixed keyword lists, over texts made of them."""
-    i, words = F.col("doc_id"), F.array(*map(F.lit, _BOTH))
-    word = lambda k: F.element_at(words, (i * k % len(_BOTH) + 1).cast("int"))
-    says = F.concat_ws(" ", word(1), F.when(i % 3 > 0, word(7)), F.when(i % 5 > 0, word(11)))
-    docs = A.table(spark, sf_dir, "documents").select("doc_id", F.when(i % 13 == 0, "").otherwise(says).alias("says"))
+    """By the fixed keyword lists, over whole texts in which letter groups are replaced by keywords."""
+    says = F.col("text")
+    for part, word in _STANDS.items():
+        says = F.replace(says, F.lit(part), F.lit(word))
+    docs = A.table(spark, sf_dir, "documents").select("doc_id", says.alias("says"))
     return r6(docs.select("doc_id", T.keyword_sentiment(F.col("says")).alias("sentiment")), "sentiment")
 
 
@@ -417,14 +438,17 @@ def confidence_four_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labeling.classified(rows, "l1_logits", labeling.L1_CATEGORIES, "l1", 4).select("vec_id", "l1_confidence")
 
 
-_FORMS = ("negative", "bearish", "0", "neutral", "1", "positive", "bullish", "2")
+# all forms of a sentiment, by the upper end of the values that take them
+_FORMS = {"0": 8, "bearish": 14, "negative": 20, "1": 36, "neutral": 54, "2": 66, "bullish": 80}
 
 
 @query(f"""SELECT word, CASE WHEN word IN ('negative','bearish','0') THEN 0 WHEN word IN ('neutral','1') THEN 1 ELSE 2 END code, count(*) n
-FROM (SELECT [{','.join(f"'{w}'" for w in _FORMS)}][event_id % {len(_FORMS)} + 1] word FROM events) GROUP BY 1,2""")
+FROM (SELECT CASE {' '.join(f"WHEN value<{v} THEN '{w}'" for w, v in _FORMS.items())} ELSE 'positive' END word FROM events) GROUP BY 1,2""")
 def sentiment_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of all words and numbers for a sentiment."""
-    word = F.element_at(F.array(*map(F.lit, _FORMS)), (F.col("event_id") % len(_FORMS) + 1).cast("int"))
+    word = F.lit("positive")
+    for w, v in reversed(_FORMS.items()):
+        word = F.when(F.col("value") < v, w).otherwise(word)
     rows = A.table(spark, sf_dir, "events").select(word.alias("word"))
     return rows.select("word", labeling.sentiment_code(F.col("word")).alias("code")).groupBy("word", "code").agg(F.count(F.lit(1)).alias("n"))
 
@@ -433,11 +457,11 @@ _CLASSES = [*labeling.L1_CATEGORIES, "other"]
 
 
 @query(f"""SELECT class, CASE WHEN class <> 'other' THEN cast(list_position([{','.join(f"'{w}'" for w in _CLASSES)}], class) - 1 AS int) END idx, count(*) n
-FROM (SELECT [{','.join(f"'{w}'" for w in _CLASSES)}][event_id % {len(_CLASSES)} + 1] class FROM events) GROUP BY 1,2""")
+FROM (SELECT [{','.join(f"'{w}'" for w in _CLASSES)}][label % {len(_CLASSES)} + 1] class FROM embeddings) GROUP BY 1,2""")
 def class_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of the first-level classes; none for an unknown one."""
-    name = F.element_at(F.array(*map(F.lit, _CLASSES)), (F.col("event_id") % len(_CLASSES) + 1).cast("int"))
-    rows = A.table(spark, sf_dir, "events").select(name.alias("class"))
+    """Numbers of the first-level classes that the vectors' labels stand for; none for an unknown one."""
+    name = F.element_at(F.array(*map(F.lit, _CLASSES)), (F.col("label") % len(_CLASSES) + 1).cast("int"))
+    rows = A.table(spark, sf_dir, "embeddings").select(name.alias("class"))
     return rows.select("class", labeling.class_index(F.col("class")).alias("idx")).groupBy("class", "idx").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -557,9 +581,11 @@ def perf_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(r6(rows, "total_return", "annual_return", "max_drawdown", "sharpe_ratio", "sortino_ratio", "calmar_ratio", "win_rate"), "final_nav", "initial_capital", places=2)
 
 
-@query()
+@query(f"""WITH {BT} SELECT 'run' run_id, strftime(ws,'%Y-%m-%d') ws, round(nav,2) nav, round(r,8) weekly_return, CASE WHEN r>0 THEN 'PROFIT' ELSE 'LOSS' END status FROM n ORDER BY ws DESC LIMIT 1""")
 def last_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backtest.last_record(_records(spark, sf_dir))
+    """The latest record as JSON, read back."""
+    rows = backtest.last_record(_records(spark, sf_dir)).select("run_id", F.from_json("record", "ws string, nav double, weekly_return double, status string").alias("r"))
+    return r6(r6(rows.select("run_id", "r.*"), "nav", places=2), "weekly_return", places=8)
 
 
 @query(f"WITH {BT}, p AS (SELECT ws, lag(ws) OVER (ORDER BY ws) before FROM weeks) SELECT p.ws, cast(count(a6.ws) AS int) decisions FROM p LEFT JOIN a6 ON a6.ws=p.before GROUP BY 1")
