@@ -84,6 +84,7 @@ class Automaton:
         for label, t in self.token.items():
             self.shorter[t] = next((x for n in range(len(label) - 1, 0, -1) if (x := self.token.get(label[:n])) is not None), -1)
         self.length = list(map(len, self.label))
+        self.longest = max(self.length)
         self.arcs: dict[tuple[int, int], bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
         self.split = regex.compile(PATTERN).findall
@@ -103,7 +104,7 @@ class Automaton:
     def _longest(self, data: bytes, i: int) -> int:
         """The longest token at position ``i``."""
         node, found, step, at = 0, -1, self.step, self.at
-        for byte in data[i:]:
+        for byte in data[i : i + self.longest]:
             node = step.get(node << 8 | byte)
             if node is None:
                 break
