@@ -55,6 +55,8 @@ AROUND = {
 AGAINST = r"version|\bv$|isbn|order|item|sku|serial|\bref\b|figure|section|chapter"
 LABELERS = ("pattern", "gazetteer", "context", "shape")
 ROUNDS, FIT_ROUNDS, RATE, BELIEVED = 8, 60, 1.0, 0.5
+#: Matches whose lengths are summed up at once.
+BLOCK = 32
 #: Lengths at which a span goes to the next class.
 LENGTHS = (10, 14, 20)
 LEFT, RIGHT = r"(?:^|[\s:;,=\"'(<\[])$", r"^(?:$|[\s.,;:!?\"')>\]])"
@@ -68,19 +70,37 @@ def _pieces(rows: DataFrame, name: str, pattern: str, there: Column) -> DataFram
     return rows.withColumn(name, F.when(there, F.struct(F.split(t, pattern, -1).alias("p"), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("h"))))
 
 
+def _let(x: Column, f) -> Column:
+    """``f`` of ``x``, which is computed once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda acc, x: acc + x)
+
+
 def _matches(name: str) -> Column:
-    """Array of (start, end, hit, before, after), in code points, of a column of ``_pieces``."""
+    """Array of (start, end, hit, before, after), in code points, of a column of ``_pieces``.
+
+    Starts are sums of the lengths before, taken in blocks: those of a block's own matches, after a list of the
+    blocks' sums. So no match copies what is found before it."""
     p, h = F.col(name)["p"], F.col(name)["h"]
     spot = "struct<start:int,end:int,hit:string,before:string,after:string>"
+    block = lambda sizes, i, n: F.slice(sizes, F.floor(i / BLOCK).cast("int") * BLOCK + 1, n)
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(p, i))
-        end = start + F.length(F.get(h, i))
-        hit = F.struct(start.alias("start"), end.alias("end"), F.get(h, i).alias("hit"), F.right(F.get(p, i), F.lit(32)).alias("before"), F.left(F.get(p, i + 1), F.lit(16)).alias("after"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(hit)).alias("out"))
+    def before(sizes: Column) -> Column:
+        step = lambda acc, b: F.struct((acc["at"] + _sum(F.slice(sizes, b * BLOCK + 1, F.lit(BLOCK)))).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int")), zero, step, lambda acc: acc["out"])
+
+    def spots(sizes: Column, offsets: Column) -> Column:
+        def one(hit: Column, i: Column) -> Column:
+            start = F.get(offsets, F.floor(i / BLOCK).cast("int")) + _sum(block(sizes, i, i % BLOCK)) + F.length(F.get(p, i))
+            return _let(start, lambda at: F.struct(at.alias("start"), (at + F.length(hit)).alias("end"), hit.alias("hit"), F.right(F.get(p, i), F.lit(32)).alias("before"), F.left(F.get(p, i + 1), F.lit(16)).alias("after")))
+
+        return F.transform(h, one)
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{spot}>").alias("out"))
-    found = F.aggregate(F.sequence(F.lit(0), F.size(h) - 1), zero, step, lambda acc: acc["out"])
+    found = _let(F.transform(h, lambda hit, i: F.length(F.get(p, i)) + F.length(hit)), lambda sizes: _let(before(sizes), lambda offsets: spots(sizes, offsets)))
     return F.when(F.size(h) > 0, found).otherwise(F.array().cast(f"array<{spot}>"))
 
 
