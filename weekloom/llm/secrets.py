@@ -32,8 +32,9 @@ NAME_WEIGHTS = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass": 0.6, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9,
     "bearer": 0.8, "auth": 0.6, "authorization": 0.8, "signature": 0.5, "private": 0.5, "access": 0.3, "api": 0.3, "key": 0.4, "client": 0.1, "session": 0.3, "salt": 0.5,
 }
-_NAME_WORDS = tuple(w.encode() for w in ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth", "signature", "private", "salt"))
-#: Values that stand for a secret to be filled in.
+#: A name of any weight holds one of these, so that a text without them has none.
+_NAME_WORDS = tuple(w.encode() for w in NAME_WEIGHTS if not any(v != w and v in w for v in NAME_WEIGHTS))
+#: Values, or parts of them, that stand for a secret to be filled in.
 PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "xxxx", "todo", "none", "null", "true", "false", "redacted", "dummy", "sample", "test")
 LEAST_SCORE = 1.0
 
@@ -53,10 +54,16 @@ def name_score(name: str) -> float:
     return sum(NAME_WEIGHTS.get(p, 0.0) for p in dict.fromkeys([*parts, *(a + b for a, b in zip(parts, parts[1:], strict=False))]))
 
 
+def value_words(value: str) -> set[str]:
+    """Words that a literal is made of: between other characters than letters and digits, without digits at their ends,
+    and the parts of camelCase; letters among digits are no words."""
+    words = {w.strip("0123456789") for w in re.split("[^A-Za-z0-9]+", value)}
+    return {p.lower() for w in words for p in [w, *(_PARTS.findall(w) if w.isalpha() else [])]}
+
+
 def literal_score(value: str) -> float:
     """How much a literal looks like key material: 0 for words, placeholders and short values."""
-    low = value.lower()
-    if len(value) < 8 or " " in value or any(p in low for p in PLACEHOLDERS) or re.fullmatch(r"\$?[{(%<].*", value):
+    if len(value) < 8 or " " in value or not value_words(value).isdisjoint(PLACEHOLDERS) or re.fullmatch(r"\$?[{(%<].*", value):
         return 0.0
     kinds = sum(bool(re.search(k, value)) for k in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     if kinds < 2 or not re.search("[0-9]", value):
