@@ -11,8 +11,8 @@ text, but for lists of links under the least density on the path to the body.
 Furniture has no density and gives no text: elements that are by their name (menus, footers, asides,
 forms, scripts and so on, headers outside of an article) and containers of which a whole word of
 class, id or role says so. A form or so named container that holds an article, a main part or a first
-heading is a wrapper and no furniture; so is a form with most of the page's characters, and all of
-them where nothing else has text.
+heading is a wrapper and no furniture; so is a container's own header with a first heading, a form with most of the page's characters,
+a container with most of them whose words are ``AMBIGUOUS``, and all of these where nothing else has text. Inline elements are never furniture.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ BLOCKS = frozenset("address article aside blockquote center details dialog div d
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
 BORDER = frozenset("table ul ol dl article section main div body aside nav footer header form blockquote".split())
 #: Elements that class, id and role can make furniture.
-CONTAINERS = frozenset("div section ul ol dl table p li header figure span".split())
+CONTAINERS = frozenset("div section ul ol dl table p li header figure".split())
 #: Whole words of class, id and role that mark furniture.
 FURNITURE = frozenset(
     """ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner nav navigation navbar menu menus menu-item breadcrumb breadcrumbs sidebar side-bar footer
@@ -49,9 +49,12 @@ FURNITURE = frozenset(
     login popup modal overlay comments comment-list commentlist comment-section replies respond disqus disqus_thread share sharing share-buttons social social-links related related-posts related-articles
     recommended recommendations widget widgets toolbar pagination pager search search-form searchbox complementary contentinfo dialog alert paywall skip-link""".split()
 )
+#: Of these, words that articles' containers bear as well: they mark no node with most of the page's text.
+AMBIGUOUS = frozenset("notice notices banner promo promotion overlay modal popup social toolbar alert dialog widget widgets search".split())
 #: Share of the core's characters per tag at which a node on the way up still belongs to it.
 PATH_SHARE = 0.5
 _SPACE = re.compile(r"\s+")
+_OPEN = re.compile(r"<[A-Za-z/?!]")
 
 
 class Node:
@@ -71,6 +74,21 @@ class _Tree(HTMLParser):
         self.body = Node("body")
         self.stack: list[Node] = [self.body]
         self.count: Counter[str] = Counter()
+        self.unclosed = self.unended = False
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        if self.unclosed:  # no comment ends after one that has no end
+            return -1
+        at = super().parse_comment(i, report)
+        self.unclosed = at < 0
+        return at
+
+    def parse_marked_section(self, i: int, report: bool = True) -> int:
+        if self.unended:
+            return -1
+        at = super().parse_marked_section(i, report)
+        self.unended = at < 0
+        return at
 
     def set_cdata_mode(self, elem: str, **kwargs) -> None:
         if elem in ("script", "style"):
@@ -104,10 +122,12 @@ class _Tree(HTMLParser):
         node = Node(tag, self.stack[-1].inside)
         if tag in SILENT:
             node.mark = "silent"
+        elif tag == "header" and not node.inside and len(self.stack) > 1:
+            node.mark = "header"  # a container's own
         elif tag in BY_NAME or tag == "header" and not node.inside or any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs):
             node.mark = "form" if tag == "form" else "name"
-        elif tag in CONTAINERS and any(w.lower() in FURNITURE for k, v in attrs if v and k in ("class", "id", "role") for w in v.split()):
-            node.mark = "word"
+        elif tag in CONTAINERS and (words := {w.lower() for k, v in attrs if v and k in ("class", "id", "role") for w in v.split()} & FURNITURE):
+            node.mark = "maybe" if words <= AMBIGUOUS else "word"
         self.stack[-1].kids.append(node)
         self.stack.append(node)
         self.count[tag] += 1
@@ -172,7 +192,7 @@ def _unwrap(order: list[tuple[Node, bool]]) -> None:
         heads[id(node)] = node.head or any(heads[id(k)] for k in kids)
         size[id(node)] = sum(len(k.strip()) for k in node.kids if isinstance(k, str)) + sum(size[id(k)] for k in kids)
     for node, _ in order:
-        if node.mark in ("form", "word") and heads[id(node)] or node.mark == "form" and 2 * size[id(node)] > size[id(order[0][0])]:
+        if node.mark in ("form", "word", "maybe", "header") and heads[id(node)] or node.mark in ("form", "maybe") and 2 * size[id(node)] > size[id(order[0][0])]:
             node.mark = ""
 
 
@@ -210,15 +230,17 @@ def _article(body: Node, order: list[tuple[Node, bool]]) -> tuple[Node, float]:
 def extract(html: str | None) -> str:
     """Main text of a page: its blocks in page order, one a line, white space within them as single
     spaces."""
+    html = html or ""
+    tag = _OPEN.search(html, html.rfind(">") + 1)  # a tag that the page ends in is none
     tree = _Tree()
-    tree.feed(html or "")
+    tree.feed(html if tag is None else html[: tag.start()])
     tree.close()
     order = _ordered(tree.body)
     _unwrap(order)
     _count(order)
     if not tree.body.chars:
         for node, _ in order:
-            node.mark = "" if node.mark in ("form", "word") else node.mark
+            node.mark = "" if node.mark in ("form", "word", "maybe") else node.mark
         _count(order)
     _measure(order)
     top, threshold = _article(tree.body, order)
