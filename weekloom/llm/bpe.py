@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the pre-tokenizer's pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct words and arcs that a Python worker remembers before it forgets all of them.
-MEMO = 500_000
+#: Words and arcs that a Python worker remembers: when so many are new, those not asked for since are forgotten.
+MEMO = 100_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -85,18 +85,23 @@ class Automaton:
             self.shorter[t] = next((x for n in range(len(label) - 1, 0, -1) if (x := self.token.get(label[:n])) is not None), -1)
         self.length = list(map(len, self.label))
         self.longest = max(self.length)
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self.arcs: dict[int, bool] = {}
+        self.older_arcs: dict[int, bool] = {}
+        self.older_words: dict[str, tuple[int, ...]] = {}
         self.words: dict[str, tuple[int, ...]] = {}
         self.split = regex.compile(PATTERN).findall
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
     def arc(self, p: int, t: int) -> bool:
         """Whether ``t`` may follow ``p`` once all merges are compiled."""
-        key = (p, t)
+        key = p << 20 | t
         if (found := self.arcs.get(key)) is not None:
             return found
-        ok = self._open(p, t, 1 << 60)
-        if len(self.arcs) > 2 * MEMO:
+        ok = self.older_arcs.get(key)
+        if ok is None:
+            ok = self._open(p, t, 1 << 60)
+        if len(self.arcs) > MEMO:
+            self.older_arcs = dict(self.arcs)
             self.arcs.clear()
         self.arcs[key] = ok
         return ok
@@ -123,7 +128,7 @@ class Automaton:
             end = i + length[t]
             if end not in closed:
                 if path:
-                    ok = arcs.get((path[-1], t))
+                    ok = arcs.get(path[-1] << 20 | t)
                     if ok is None:
                         ok = arc(path[-1], t)
                 else:
@@ -181,8 +186,11 @@ class Automaton:
         for w in self.split(text):
             path = words.get(w)
             if path is None:
-                path = self.run(w.encode())
+                path = self.older_words.get(w)
+                if path is None:
+                    path = self.run(w.encode())
                 if len(words) > MEMO:
+                    self.older_words = dict(words)
                     words.clear()
                 if len(w) <= 64:
                     words[w] = path
