@@ -34,10 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: the lineage is cut, and a lost
-    executor costs a re-read instead of a recomputation."""
+    executor costs a re-read instead of a recomputation. What is not deleted before is deleted
+    when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weekloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     found = spark.read.schema(df.schema).parquet(path)
     found.written_to = path
     if _open:
