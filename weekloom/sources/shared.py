@@ -22,10 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df``, computed once and read again by all that use it."""
-    path = f"{shared_dir(df.sparkSession)}/weekloom/{name}-{uuid.uuid4().hex}"
+    """``df``, computed once and read again by all that use it; deleted when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/weekloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    found = spark.read.schema(df.schema).parquet(path)
     found.written_to = path
     return found
 
