@@ -195,10 +195,10 @@ a6c AS (SELECT a6.ws, a6.industry, action, CASE WHEN losing>=2 AND action IN ('b
 SELECT n_c.ws, cast(losing AS int) losing, round(n_c.r,8) weekly_return, round(n_c.nav,2) nav FROM n_c JOIN lose ON lose.ws=n_c.ws""")
 def losing_streak_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The backtest with its weights cut by a fifth after two losing weeks."""
-    daily = A.closes(spark, sf_dir)
-    decided = written(A.decisions(daily), "decided")
-    plain = written(backtest.run(daily, decided, scale=0.01).select("ws", F.col("weekly_return").alias("r")), "plain")
-    found = backtest.run(daily, portfolio.cut_after_losses(decided, plain), scale=0.01).join(portfolio.losing_runs(plain), "ws")
+    daily, weekly, decided = market = Q._market(spark, sf_dir)
+    plain = Q._records(spark, sf_dir, market).select("ws", F.col("weekly_return").alias("r"))
+    cut = written(portfolio.cut_after_losses(decided, plain), "cut")
+    found = backtest.run(daily, cut, scale=0.01, industry_returns=weekly).join(portfolio.losing_runs(plain), "ws")
     return r6(r6(found.select("ws", "losing", "weekly_return", "nav"), "weekly_return", places=8), "nav", places=2)
 
 
@@ -230,9 +230,9 @@ def decision_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every week's decisions through three checks at most, revised by rule."""
     k = F.col("r_regionkey")
     tax = A.table(spark, sf_dir, "region").select(F.col("r_name").alias("small_cat"), F.when(k % 2 == 0, "very_high").otherwise("low").alias("beta"), F.when(k < 3, "k").otherwise("unknown").alias("correlation_cluster"))
-    daily = A.closes(spark, sf_dir)
-    decided = written(A.decisions(daily), "decided")
-    pnl = written(backtest.run(daily, decided, scale=0.01).select("ws", F.col("weekly_return").alias("r")), "pnl")
+    market = Q._market(spark, sf_dir)
+    decided = market[2]
+    pnl = Q._records(spark, sf_dir, market).select("ws", F.col("weekly_return").alias("r"))
     held = written(portfolio.held_into(pnl.select("ws"), decided), "held")
     accepted, log = decisions.checked(decided, decisions.RuleProvider(decided, tax), tax, held, pnl)
     buys = accepted.groupBy("ws").agg(F.count(F.when(F.col("action") == "buy", 1)).alias("n_buys"), F.coalesce(F.sum(F.when(F.col("action") == "buy", F.col("weight"))), F.lit(0.0)).alias("total_weight"))

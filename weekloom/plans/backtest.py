@@ -12,15 +12,17 @@ from weekloom.functions.exprs import week_start
 from weekloom.operators import portfolio, returns
 
 
-def run(prices: DataFrame, decisions: DataFrame, cfg: BacktestConfig = BacktestConfig(), horizon: str = "week", scale: float = 1.0, final_flush: bool = False, run_id: str = "run") -> DataFrame:
+def run(prices: DataFrame, decisions: DataFrame, cfg: BacktestConfig = BacktestConfig(), horizon: str = "week", scale: float = 1.0, final_flush: bool = False, run_id: str = "run", industry_returns: DataFrame | None = None) -> DataFrame:
     """A record for each week with prices: run_id, ws, nav, weekly_return, invested_weight,
     cash_weight, status, cumulative_return, cost, holdings, contributions.
 
     The recorded week earns on what was held into it; its own decisions cost from the next week on.
     ``final_flush``: the last record's nav also bears its own cost and a further return if prices
-    after it exist (only its nav and weekly_return are changed). ``scale`` multiplies returns."""
+    after it exist (only its nav and weekly_return are changed). ``scale`` multiplies returns.
+    ``industry_returns`` (ws, industry, r), if they are there already, spare their computation."""
     weeks = prices.select(week_start(F.col("d")).alias("ws")).distinct()
-    by_industry = returns.weekly_industry_returns(prices, horizon).withColumn("r", F.col("r") * scale)
+    found = returns.weekly_industry_returns(prices, horizon) if industry_returns is None else industry_returns
+    by_industry = found.withColumn("r", F.col("r") * scale)
     held = portfolio.held_into(weeks, decisions, cfg)
     weekly, parts = returns.portfolio_returns(held, by_industry)
     costs = portfolio.turnover(weeks, decisions, cfg).select("ws", "cost")

@@ -536,9 +536,16 @@ def held_into_week(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(portfolio.held_into(weeks, A.decisions(daily)), "w")
 
 
-def _records(spark: SparkSession, sf_dir: str, daily: DataFrame | None = None, **options) -> DataFrame:
-    daily = A.closes(spark, sf_dir) if daily is None else daily
-    return backtest.run(daily, A.decisions(daily), scale=0.01, **options)
+def _market(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Daily closes, weekly industry returns and decisions, each made once."""
+    daily = A.closes(spark, sf_dir)
+    weekly = A.industry_returns(daily)
+    return daily, weekly, A.decisions(daily, weekly)
+
+
+def _records(spark: SparkSession, sf_dir: str, market: tuple[DataFrame, DataFrame, DataFrame] | None = None, **options) -> DataFrame:
+    daily, weekly, decided = _market(spark, sf_dir) if market is None else market
+    return written(backtest.run(daily, decided, scale=0.01, industry_returns=weekly, **options), "records")  # a row a week
 
 
 @query(f"WITH {BT} SELECT ws, round(r,8) weekly_return, round(cost,8) cost, round(nav,2) nav FROM n")
@@ -590,8 +597,8 @@ def last_record(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BT}, p AS (SELECT ws, lag(ws) OVER (ORDER BY ws) before FROM weeks) SELECT p.ws, cast(count(a6.ws) AS int) decisions FROM p LEFT JOIN a6 ON a6.ws=p.before GROUP BY 1")
 def previous_week_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    daily = A.closes(spark, sf_dir)
-    rows = backtest.with_previous(_records(spark, sf_dir, daily), A.decisions(daily))
+    market = _market(spark, sf_dir)
+    rows = backtest.with_previous(_records(spark, sf_dir, market), market[2])
     return rows.select("ws", F.when(F.col("agent_decisions").isNull(), 0).otherwise(F.size("agent_decisions")).alias("decisions"))
 
 
@@ -607,10 +614,10 @@ UNION ALL SELECT ws, 'mirror', cl, cast(count(*) AS double) FROM buys WHERE weig
 def _violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("r_regionkey")
     tax = A.table(spark, sf_dir, "region").select(F.col("r_name").alias("small_cat"), F.when(k % 2 == 0, "very_high").otherwise("low").alias("beta"), F.when(k < 3, "k").otherwise("unknown").alias("correlation_cluster"))
-    daily = A.closes(spark, sf_dir)
-    records, decided = _records(spark, sf_dir, daily), A.decisions(daily)
-    weeks = records.select("ws")
-    return risk.violations(decided, tax, portfolio.held_into(weeks, decided), records.select("ws", F.col("weekly_return").alias("r")))
+    market = _market(spark, sf_dir)
+    records, decided = _records(spark, sf_dir, market), market[2]
+    held = written(portfolio.held_into(records.select("ws"), decided), "held")
+    return risk.violations(decided, tax, held, records.select("ws", F.col("weekly_return").alias("r")))
 
 
 @query(f"""WITH {_RISK} SELECT ws, "rule", subject, round("value",6) AS "value" FROM v""")

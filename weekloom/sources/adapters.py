@@ -54,19 +54,25 @@ def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.col("r_name").alias("large_cat"), F.col("n_name").alias("small_cat"), F.col("n_name").alias("index_name"), beta.alias("beta"), cluster.alias("correlation_cluster"))
 
 
-def weekly_returns(daily: DataFrame) -> DataFrame:
+def industry_returns(daily: DataFrame) -> DataFrame:
+    """(ws, industry, r) of daily closes, a few rows a week, for plans that read them several times."""
+    return written(returns.weekly_industry_returns(daily).select("ws", "industry", "r"), "returns")
+
+
+def weekly_returns(daily: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """(ws, industry, r), scaled so that 1 + r stays positive."""
-    r = returns.weekly_industry_returns(daily)
+    r = returns.weekly_industry_returns(daily) if found is None else found
     return r.select("ws", "industry", (F.col("r") / 100).alias("r"))
 
 
-def decisions(daily: DataFrame) -> DataFrame:
-    """From daily closes. Sums of buys above one, a zero-weight hold, a sell, and weeks without rows."""
-    ranked = weekly_returns(daily).withColumn("k", F.row_number().over(W.partitionBy("ws").orderBy(F.desc("r"), "industry")))
+def decisions(daily: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """From daily closes (or from their industry returns). Sums of buys above one, a zero-weight hold, a sell, and weeks without rows."""
+    ranked = weekly_returns(daily, found).withColumn("k", F.row_number().over(W.partitionBy("ws").orderBy(F.desc("r"), "industry")))
     k = F.col("k")
     action = F.when(k <= 3, "buy").when(k == 4, "hold").otherwise("sell")
     weight = F.when(k == 1, 0.5).when(k == 2, 0.4).when(k == 3, 0.3).when(k == 4, 0.0).otherwise(0.2)
-    return ranked.where(F.dayofmonth("ws") % 5 != 0).select("ws", "industry", action.alias("action"), weight.alias("weight"))
+    # read many times over by the backtest and the rules
+    return written(ranked.where(F.dayofmonth("ws") % 5 != 0).select("ws", "industry", action.alias("action"), weight.alias("weight")), "decisions")
 
 
 def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
