@@ -46,6 +46,30 @@ def test_risk_goes_down_and_beats_naive_labels():
     assert ((model.logit(model.z(np.vstack([positive, unlabelled]))) > 0) == naive).mean() < 0.7  # unlabelled positives stay positive
 
 
+def test_full_passes_against_plain_steps(spark):
+    """The refined model equals plain full-batch steps of the same risk, however the rows are dealt."""
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(0.8, 1, (150, 3)), rng.normal(-0.8, 1, (150, 3))]).astype(np.float32).astype(float)
+    liked = np.arange(300) < 60
+    for prior in (0.5, 0.98):  # the second makes the negative part negative
+        begun = quality_classifier.Model(x.mean(0), x.std(0), np.random.default_rng(2))
+        rows = spark.createDataFrame([([float(v) for v in r], bool(y)) for r, y in zip(x, liked)], "x array<float>, liked boolean")
+        got = [quality_classifier.refine(begun, rows.repartition(n), prior, 4) for n in (1, 7)]
+        assert all((a == b).all() for a, b in zip(got[0].p, got[1].p))
+        m = begun.copy([a.copy() for a in begun.p])
+        first, second = [np.zeros_like(a) for a in m.p], [np.zeros_like(a) for a in m.p]
+        for step in range(1, 5):
+            zu, zp = m.z(x), m.z(x[liked])
+            su, sp = (1 / (1 + np.exp(-m.logit(z))) for z in (zu, zp))
+            gu, plus, minus = m.gradient(zu, su / 300), m.gradient(zp, prior * (sp - 1) / 60), m.gradient(zp, prior * sp / 60)
+            negative = np.logaddexp(0, m.logit(zu)).mean() - prior * np.logaddexp(0, m.logit(zp)).mean()
+            for i, p in enumerate(m.p):
+                g = (plus[i] + gu[i] - minus[i] if negative >= 0 else minus[i] - gu[i]) + quality_classifier.DECAY * p
+                first[i], second[i] = 0.9 * first[i] + 0.1 * g, 0.999 * second[i] + 0.001 * g * g
+                m.p[i] = p - quality_classifier.RATE * first[i] / (1 - 0.9**step) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
+        assert all(np.abs(a - b).max() < 5e-5 for a, b in zip(m.p, got[0].p))
+
+
 def test_prior_against_sorted_scores():
     rng = np.random.default_rng(7)
     for share in (0.2, 0.5, 0.8):

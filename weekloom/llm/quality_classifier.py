@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from weekloom.llm.common import written
 from weekloom.llm.quality_rules import base_statistics
 
-#: Most rows of each kind that the fit sees; a documented bound.
+#: Most rows of each kind that the fit begins with; a documented bound. From there all training rows refine it.
 FIT_ROWS = 8_000
+#: Passes over all training rows, and the fixed point of a row's part in their sums (so that their order is of no account).
+PASSES, FIXED = 12, float(1 << 32)
 #: Bins of scores for the prior.
 BINS = 2_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 16, 40, 512, 5e-3, 1e-4, 42
@@ -71,6 +73,11 @@ class Model:
         self.mean, self.scale = mean, scale
         self.p = [rng.normal(0, d**-0.5, (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
 
+    def copy(self, p: list[np.ndarray]) -> Model:
+        other = object.__new__(Model)
+        other.mean, other.scale, other.p = self.mean, self.scale, p
+        return other
+
     def z(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale, -6, 6)
 
@@ -205,7 +212,59 @@ def fit(found: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
         apart = train(*half, None)
         seen = [_histogram(x.where(~first), apart) for x in (positive, rows)]
         prior = class_prior(*seen) if all(x.any() for x in seen) else prior
-    return train(p, u, prior)
+    # all that is labelled good is trusted, and every training row is unlabelled
+    named = liked.select(F.col("id").alias("__i"), F.lit(True).alias("__l"))
+    marked = written(rows.join(named, F.col("id") == F.col("__i"), "left").select("x", F.coalesce("__l", F.lit(False)).alias("liked")), "marked")
+    return refine(train(p, u, prior), marked, prior)
+
+
+def _parts(model: Model, x: np.ndarray, liked: np.ndarray) -> np.ndarray:
+    """Sums over rows in fixed point: rows, loss as negatives and gradient of that loss for all of them, then rows, both
+    losses' difference and the gradients of the losses as positives and as negatives for trusted ones."""
+    w, b, v, _ = model.p
+    z = model.z(x)
+    h = np.tanh(z @ w + b)
+    f = np.clip(h @ v + model.p[3][0], -30, 30)
+    sig = 1 / (1 + np.exp(-f))
+    dh = v * (1 - h * h)
+    each = np.concatenate([np.einsum("ni,nj->nij", z, dh).reshape(len(z), -1), dh, h, np.ones((len(z), 1))], axis=1)
+    fixed = lambda a: np.rint(a * FIXED).astype(np.int64).sum(axis=0)
+    loss, on = np.logaddexp(0, f), liked.astype(bool)
+    parts = [fixed(np.ones(len(z))), fixed(loss), fixed(sig[:, None] * each), fixed(np.ones(on.sum())), fixed(loss[on]), fixed((sig[on] - 1)[:, None] * each[on]), fixed(sig[on][:, None] * each[on])]
+    return np.concatenate([np.atleast_1d(a) for a in parts])
+
+
+def refine(model: Model, rows: DataFrame, prior: float, passes: int = PASSES) -> Model:
+    """The model after full passes of the non-negative risk over all ``rows`` (x, liked): every row counts as unlabelled, and
+    those that are liked as trusted positives too. A pass is one aggregation of some thousand numbers."""
+    shapes = [a.shape for a in model.p]
+    size = sum(int(np.prod(a)) for a in shapes)
+    first, second = np.zeros(size), np.zeros(size)
+    flat = np.concatenate([a.ravel() for a in model.p])
+    for step in range(1, passes + 1):
+
+        def run(batches: Iterator[pa.RecordBatch], m: Model = model) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(4 + 3 * size, np.int64)
+            for b in batches:
+                for i in range(0, b.num_rows, 2048):
+                    part = b.slice(i, 2048)
+                    total += _parts(m, _matrix(part.column(0), part.num_rows), part.column(1).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["at", "v"])
+
+        sums = np.zeros(4 + 3 * size)
+        for r in rows.select("x", "liked").mapInArrow(run, "at int, v long").groupBy("at").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v")).collect():
+            sums[r["at"]] = float(r["v"]) / FIXED
+        n, loss, gu = sums[0], sums[1], sums[2 : 2 + size]
+        k, liked_loss = sums[2 + size], sums[3 + size]
+        plus, minus = sums[4 + size : 4 + 2 * size], sums[4 + 2 * size :]
+        negative = loss / n - prior * liked_loss / k
+        g = prior * plus / k + gu / n - prior * minus / k if negative >= 0 else prior * minus / k - gu / n
+        g = g + DECAY * flat
+        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
+        flat = np.round(flat - RATE * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8), 6)
+        ends = np.cumsum([int(np.prod(a)) for a in shapes])[:-1]
+        model = model.copy([a.reshape(shape) for a, shape in zip(np.split(flat, ends), shapes)])
+    return model
 
 
 def scores(found: DataFrame, model: Model | None) -> DataFrame:
