@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weekloom.functions import exprs
-from weekloom.operators import calendar, retrieval, sentiment
+from weekloom.operators import calendar, labeling, retrieval, sentiment, taxonomy
 from weekloom.streaming import sentiment as stream
 
 
@@ -65,3 +65,21 @@ def test_streaming_weeks(spark, tmp_path):
     got = sorted((r.period, r.industry, round(r.sentiment_mean, 9), r.news_count) for r in spark.table("weeks").collect())
     want = sorted((r.period, r.industry, round(r.sentiment_mean, 9), r.news_count) for r in sentiment.build(spark.createDataFrame(rows, schema), "week").collect())
     assert got == want
+
+
+def test_attached_by_place(spark):
+    rows = spark.createDataFrame([(i * 7 % 100, f"r{i}") for i in range(100)], "k long, name string").repartition(5)
+    values = spark.createDataFrame([(i, i / 2) for i in range(100)], "place int, v double").repartition(3)
+    got = labeling.attached(rows, ("k",), values, ("place",)).collect()
+    assert len(got) == 100 and all(r.v == r.k / 2 for r in got)
+    with pytest.raises(ValueError, match="go together"):
+        labeling.attached(rows, ("k",), values.limit(9), ("place",))
+
+
+def test_best_etf_cache(spark, tmp_path):
+    funds = spark.createDataFrame([(1, "a", "i", 5.0), (2, "b", "i", 7.0), (3, "c", "j", None)], "code long, name string, tracking_index string, aum double")
+    path = str(tmp_path / "best.parquet")
+    codes = lambda df: sorted(r.code for r in df.collect())
+    assert codes(taxonomy.best_etf_cached(spark, path, funds)) == [2, 3]
+    assert codes(taxonomy.best_etf_cached(spark, path, funds.where("code = 1"))) == [2, 3]  # as it is there
+    assert codes(taxonomy.best_etf_cached(spark, path, funds.where("code = 1"), force=True)) == [1]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from weekloom.functions.exprs import argmax, confidence, label_at, strict_map
 from weekloom.functions.text import both_null, model_text, safe_name
+from weekloom.operators.metrics import ranked
 
 # First-level classes and sentiments in the models' order.
 L1_CATEGORIES = ("主题策略", "医药健康", "基础设施/公共", "消费文娱", "科技信息", "资源材料", "金融地产", "高端制造")
@@ -79,3 +80,12 @@ def label_index(rows: DataFrame, major: str, sub: str) -> DataFrame:
 def trainable(rows: DataFrame, major: str, sub: str) -> DataFrame:
     """(major, labels, n) of the majors with two labels or more."""
     return label_index(rows, major, sub).groupBy(major).agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n")).where("labels >= 2")
+
+
+def attached(rows: DataFrame, order: tuple[str, ...], values: DataFrame, value_order: tuple[str, ...]) -> DataFrame:
+    """``rows`` with the columns of ``values`` at the same place, both in a total order; the order columns of ``values`` are
+    dropped. Both are ranked over ranges, so no task holds either; different numbers of rows raise."""
+    left, right = ranked(rows, order).withColumnRenamed("rank", "__at"), ranked(values, value_order).drop(*value_order).withColumnRenamed("rank", "__at")
+    if (a := left.count()) != (b := right.count()):
+        raise ValueError(f"{a} rows and {b} values do not go together")
+    return left.join(right, "__at").drop("__at")

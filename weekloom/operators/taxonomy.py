@@ -3,10 +3,12 @@ correlation_cluster)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weekloom.sources.files import cached_table
+
 # What an unknown index is.
 UNKNOWN = {"large_cat": "未知", "small_cat": "未知", "beta": "medium", "correlation_cluster": "unknown"}
 
@@ -18,6 +20,11 @@ def best_etf(info: DataFrame, nulls_first: bool = False) -> DataFrame:
     return info.withColumn("__r", F.row_number().over(W.partitionBy("tracking_index").orderBy(aum, "code"))).where("__r = 1").drop("__r")
 
 
+def best_etf_cached(spark: SparkSession, path: str, funds: DataFrame, force: bool = False) -> DataFrame:
+    """``best_etf`` from the table at ``path``, which is made first if it is not there or ``force`` is set."""
+    return cached_table(spark, path, lambda: best_etf(funds), force)
+
+
 def industry_codes(taxonomy: DataFrame, best: DataFrame) -> DataFrame:
     """(industry, level, code): the best funds of an industry's indices, by large or small category;
     indices without a fund are left out, a code counts once."""
