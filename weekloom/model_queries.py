@@ -380,5 +380,5 @@ VOCABULARY = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *".,;:!?#-/()", *_LETTERS, *(f
 def token_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids, masks and types of all news texts, padded for a model of 64 pieces, with the batch of 32 that a row is in."""
     news = labeling.selected(A.news_raw(spark, sf_dir)).select("doc_id", "model_text")
-    found = inference.token_batches(metrics.ranked(news, ("doc_id",)), VOCABULARY, "model_text", 64)
-    return found.select("doc_id", F.expr("(rank - 1) div 32").alias("batch"), "input_ids", "attention_mask", "token_type_ids")
+    found = inference.token_batches(news, VOCABULARY, "model_text", 64).drop("model_text")
+    return metrics.ranked(found, ("doc_id",)).select("doc_id", F.expr("(rank - 1) div 32").alias("batch"), "input_ids", "attention_mask", "token_type_ids")
