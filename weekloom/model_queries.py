@@ -362,8 +362,7 @@ def news_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
             return None
         import numpy as np
 
-        w, b = map(np.array, given[name])
-        return lambda part: np.stack(part["x"].to_list()) @ w.T + b
+        return lambda part: inference.linear_rows(*given[name], np.stack(part["x"].to_list()))
 
     found = inference.routed(rows.select("doc_id", "major", "major_confidence", "sentiment", "x"), load, "doc_id")
     subs = spark.createDataFrame([(m, [f"{m}-{k}" for k in (1, 2, 3)]) for m in _MAJORS[:-1]], "major string, subs array<string>")

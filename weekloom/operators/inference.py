@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,15 @@ def linear(weights: Column, bias: Column, x: Column) -> Column:
     return F.zip_with(F.transform(weights, lambda w: dot(w, x)), bias, lambda v, b: v + b)
 
 
+def linear_rows(weights: Sequence[Sequence[float]], bias: Sequence[float], x: np.ndarray) -> np.ndarray:
+    """``linear`` of the rows of ``x``, bit for bit: products are added one by one. A matrix product adds them in an order
+    that depends on the machine and the number of rows, and so decides ties of two values otherwise."""
+    w, out = np.array(weights, float), np.zeros((len(x), len(weights)))
+    for i in range(w.shape[1]):
+        out = out + x[:, i : i + 1] * w[:, i]
+    return out + np.array(bias, float)
+
+
 # ---------------------------------------------------------------- routing
 def routed(rows: DataFrame, load: Callable[[str], Callable[[pd.DataFrame], Sequence[Sequence[float]]] | None], key: str, major: str = "major", logits: str = "sub_logits", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``rows`` with the logits of each row's own model; null where its group has none.

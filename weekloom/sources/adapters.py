@@ -25,7 +25,7 @@ def news_labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def news_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int"))
-    return d.select("doc_id", day.alias("d"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.when(F.col("doc_id") % 11 != 0, F.col("text")).alias("content"), "source")
+    return d.select("doc_id", day.alias("d"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.when(F.col("doc_id") % 11 == 0, None).otherwise(F.col("text")).alias("content"), "source")
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
