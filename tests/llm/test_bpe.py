@@ -46,3 +46,14 @@ def test_columns(spark, pair):
     assert list(rows[0].ids) == pair[1].encode("Hello world").ids
     assert bpe.digests(docs.limit(0), vocabulary()).count() == 0
     assert [r.n_tokens for r in bpe.digests(docs.withColumn("id", F.lit(0)), vocabulary()).orderBy("id").collect()] == [2, 0, 0]
+
+
+def test_plane_split_is_the_patterns(tmp_path):
+    """Texts of the basic plane are split by the standard module; every character of it goes the same way."""
+    a = bpe.automaton(vocabulary())
+    plane = "".join(chr(i) for i in range(1 << 16) if not 0xD800 <= i < 0xE000)
+    rng = random.Random(4)
+    odd = list(" \t\n\x0b\x0c\r\x1c\x1f\x85\xa0 　᠎'sTrevmld a1.\xb2\xbdⅧé中")
+    texts = [plane, "a\U0001d400 \U0001f600  b", *("".join(rng.choice(odd) for _ in range(40)) for _ in range(2000)), *("".join(rng.choice(plane) for _ in range(40)) for _ in range(2000))]
+    assert all(a.split_plane(t) == a.split_any(t) for t in texts if max(t) < "\U00010000")
+    assert all(a.split(t) == a.split_any(t) for t in texts)
