@@ -90,11 +90,17 @@ def best_split(histogram: dict[tuple[int, int], tuple[float, int]], g: float, h:
     return best
 
 
+def _each(rows: DataFrame, node: Column) -> DataFrame:
+    """(node, g, f, b): a row for each feature of a training row in an open node. Node and gradient are made before rows are
+    multiplied: the sum of trees so far is a long expression."""
+    made = rows.where("train").select(node.alias("node"), (F.col("sum") - F.col("y")).cast("decimal(28,12)").alias("g"), "bins").where("node IS NOT NULL")
+    return made.select("node", "g", F.posexplode("bins").alias("f", "b"))
+
+
 def _sums(rows: DataFrame, node: Column) -> dict[int, dict[tuple[int, int], tuple[float, int]]]:
     """Gradient sums and counts of training rows by node, feature and bin."""
-    each = rows.where("train").select(node.alias("node"), (F.col("sum") - F.col("y")).cast("decimal(28,12)").alias("g"), F.posexplode("bins").alias("f", "b")).where("node IS NOT NULL")
     found: dict[int, dict] = {}
-    for r in each.groupBy("node", "f", "b").agg(F.sum("g").alias("g"), F.count(F.lit(1)).alias("h")).collect():
+    for r in _each(rows, node).groupBy("node", "f", "b").agg(F.sum("g").alias("g"), F.count(F.lit(1)).alias("h")).collect():
         found.setdefault(r.node, {})[r.f, r.b] = float(r.g), r.h
     return found
 
