@@ -44,10 +44,11 @@ def subsamples(rows: DataFrame, n: int, cfg: ForestConfig, key: tuple[str, ...])
     """(tree, place, features): each tree's ``cfg.sample`` rows with the least hashes. A row is kept for the few trees
     whose hash lies below twice the share needed, so that only those are dealt out and ranked, whatever ``n`` is."""
     share = min(1.0, 2.0 * cfg.sample / max(n, 1) + 64.0 / max(n, 1))
-    drawn = lambda t: F.pmod(F.xxhash64(*key, F.lit(cfg.seed), t), F.lit(1 << 40)) / float(1 << 40)
-    some = rows.select(*key, "features", F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit(cfg.trees - 1)), lambda t: F.struct(t.alias("tree"), drawn(t).alias("u"))), lambda s: s["u"] < share)).alias("s"))
+    # rows by trees as a generator and a filter, which are compiled; array functions over the trees are not
+    each = rows.select(*key, "features", F.explode(F.sequence(F.lit(0), F.lit(cfg.trees - 1))).alias("tree"))
+    some = each.withColumn("u", F.pmod(F.xxhash64(*key, F.lit(cfg.seed), "tree"), F.lit(1 << 40)) / float(1 << 40)).where(F.col("u") < share)
     by = W.partitionBy("tree").orderBy("u", *key, "features")
-    return some.select("s.tree", "s.u", *key, "features").withColumn("place", F.row_number().over(by)).where(F.col("place") <= cfg.sample).select("tree", "place", "features")
+    return some.withColumn("place", F.row_number().over(by)).where(F.col("place") <= cfg.sample).select("tree", "place", "features")
 
 
 def grown(x: np.ndarray, tree: int, cfg: ForestConfig) -> list[tuple]:
