@@ -130,3 +130,29 @@ def test_a_large_group_of_near_copies_costs_its_size(spark):
     for i in range(len(near), len(root)):
         want = {find(j) for j in range(len(root)) if j != i and abs(len((near + far)[i]) - len((near + far)[j])) <= 2 and sum(x != y for x, y in zip((near + far)[i], (near + far)[j], strict=True)) <= 2}
         assert want <= {find(i)}
+
+
+def test_a_line_costs_its_keys_once_and_is_counted_if_it_meets(spark, monkeypatch):
+    """Keys without a shift are made for the index and not again as probes; letters are counted of
+    lines that meet others only. Characters of one to four bytes; edits at both ends and shifts."""
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abc dé日𝄞") for _ in range(rng.randint(30, 70))) for _ in range(30)]
+    near = [(base[0], "𝄞" + base[0][:-1]), (base[1], base[1][1:] + "é"), (base[2], base[2][:9] + "日" + base[2][9:40] + base[2][41:]), (base[3], base[3][2:]), (base[4], base[4] + "é𝄞"), (base[5], "x" + base[5][1:-1] + "y")]
+    texts = base + [b for _, b in near]
+    keys, counted = [], []
+    make, write = line_dedup._keys, line_dedup.written
+    monkeypatch.setattr(line_dedup, "_keys", lambda lines, layouts, *rest: keys.append(len(layouts)) or make(lines, layouts, *rest))
+
+    def seen(df, name):
+        found = write(df, name)
+        if "c" in df.columns and name == "texts":
+            counted.append(found.count())
+        return found
+
+    monkeypatch.setattr(line_dedup, "written", seen)
+    lines = spark.createDataFrame(list(enumerate(texts)), "h long, line string").select("h", F.lit(0).cast("long").alias("g"), "line")
+    found = {frozenset((texts[r.a.h], texts[r.b.h])) for r in line_dedup.near_links(lines).collect()}
+    assert found == {frozenset((a, b)) for i, a in enumerate(texts) for b in texts[:i] if distance(a, b) <= 2}
+    assert found >= set(map(frozenset, near))
+    assert sum(keys) == 12  # 15 if the three of the index were made again
+    assert counted == [2 * len(near)]

@@ -10,9 +10,11 @@ probes with the substrings that could match a segment of a line up to k characte
 places that multi-match-aware selection leaves. Pairs that meet lose their common ends and are
 verified by a banded bit-parallel edit distance (Hyyrö 2003) in integer arithmetic.
 
-Only hashes are shuffled for the join, with packed counts of a few letters: an edit changes the
-counts by two in all, so pairs whose counts differ by more than 2k are turned down where they meet.
-A line that occurs many times enters once.
+Only hashes are shuffled for the join. Keys that a line has in common with the index as they are
+(no shift) are the index itself, so of these only such as two lines have are sent as probes. Lines
+that meet get packed counts of a few letters: an edit changes the counts by two in all, so pairs
+whose counts differ by more than 2k are turned down before their texts are joined. Most lines meet
+none and are never counted. A line that occurs many times enters once.
 
 A segment that many lines share is not joined with itself. Its lines meet the least of them only,
 and what is then one class needs no further look. Lines of a crowded segment whose classes differ go
@@ -47,6 +49,8 @@ BROADCAST_ROWS = 1_000_000
 LETTERS, MORE_LETTERS = " ent", ("aoirshdl", "cumgpwfy")
 #: Lines whose flags one number holds.
 WORD_BITS = 63
+#: Bytes of a character in the form that segments are cut from.
+CODE_BYTES = 4
 #: White space of a line; one of nothing else has no word.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -77,6 +81,15 @@ def _own(layouts: list[Layout]) -> list[Layout]:
     return [x for x in layouts if not x[0] and not any(s for _, _, s in x[2])]
 
 
+def _code(line: str) -> Column:
+    """The line in four bytes a character, of which any part is found without going through the rest."""
+    return F.encode(F.col(line), "UTF-32")
+
+
+def _chars(code: str) -> Column:
+    return F.expr(f"octet_length({code}) div {CODE_BYTES}").cast("int")
+
+
 def _keys(lines: DataFrame, layouts: list[Layout], parts: int, *carry: str) -> DataFrame:
     """(carry, key) for each line and layout. Of the even segments of a length the longer ones come
     last. Layouts are rows of a literal before the key is made, so that the code for it stays small
@@ -84,11 +97,11 @@ def _keys(lines: DataFrame, layouts: list[Layout], parts: int, *carry: str) -> D
     most = max(len(b) for _, _, b in layouts)
     spots = json.dumps([{"d": d, "i": i} | {f"{n}{j}": x for j, block in enumerate(b + [(0, 0, 0)] * (most - len(b))) for n, x in zip("abs", block, strict=True)} for d, i, b in layouts])
     kind = ", ".join(["d int", "i int", *(f"{n}{j} int" for j in range(most) for n in "abs")])
-    cols = dict.fromkeys([*carry, "line"])
-    rows = lines.select(*cols, F.length("line").alias("n"), F.explode(F.from_json(F.lit(spots), f"array<struct<{kind.replace(' int', ':int')}>>")).alias("p")).select(*cols, (F.col("n") - F.col("p.d")).alias("n"), "p.*")
+    coded = lines.select(*carry, _code("line").alias("code")).select("*", _chars("code").alias("n"))
+    rows = coded.select("*", F.explode(F.from_json(F.lit(spots), f"array<struct<{kind.replace(' int', ':int')}>>")).alias("p")).select(*carry, "code", (F.col("n") - F.col("p.d")).alias("n"), "p.*")
     short, first_long = F.expr(f"n div {parts}").cast("int"), F.expr(f"{parts} - n % {parts}")
     start = lambda i: i * short + F.greatest(F.lit(0), i - first_long)
-    shared = [F.substring(F.col("line"), start(F.col(f"a{j}")) + F.col(f"s{j}") + 1, start(F.col(f"b{j}")) - start(F.col(f"a{j}"))) for j in range(most)]
+    shared = [F.substring(F.col("code"), (start(F.col(f"a{j}")) + F.col(f"s{j}")) * CODE_BYTES + 1, (start(F.col(f"b{j}")) - start(F.col(f"a{j}"))) * CODE_BYTES) for j in range(most)]
     return rows.select(*carry, F.xxhash64("n", "i", *shared).alias("key"))
 
 
@@ -109,10 +122,10 @@ def _letter_gap(x: Column, y: Column, letters: str = LETTERS) -> Column:
     return sum((F.abs(at(x, i) - at(y, i)) for i in range(len(letters))), F.lit(0))
 
 
-def _common(a: Column, b: Column, last: bool) -> Column:
-    """Length of the common prefix (or suffix) of two strings under 2^20 characters, by halving."""
-    most = F.least(F.length(a), F.length(b))
-    cut = (lambda s, n: F.right(s, n)) if last else (lambda s, n: F.left(s, n))
+def _common(a: Column, b: Column, most: Column, last: bool) -> Column:
+    """Length of the common prefix (or suffix) of two lines of ``_code``, by halving; ``most``: length
+    of the shorter one, under 2^20 characters."""
+    cut = (lambda s, n: F.substring(s, -n * CODE_BYTES, n * CODE_BYTES)) if last else (lambda s, n: F.substring(s, F.lit(1), n * CODE_BYTES))
     steps = F.array(*[F.lit(1 << e) for e in range(19, -1, -1)])
     grow = lambda n, s: F.when((n + s <= most) & (cut(a, n + s) == cut(b, n + s)), n + s).otherwise(n)
     return F.aggregate(steps, F.lit(0), grow)
@@ -175,13 +188,11 @@ def _banded(rows: Column, cols: Column, k: int) -> Column:
 def _trimmed(pairs: DataFrame) -> DataFrame:
     """(a, b, x, y): the middles of the lines ``la`` and ``lb``. Each step is written: the next one
     names its columns many times over, and a plan would repeat their making."""
-    one = written(pairs.withColumn("pre", _common(F.col("la"), F.col("lb"), False)), "prefix")
-    rest = [F.substring(F.col(c), F.col("pre") + 1, F.length(c)).alias(c) for c in ("la", "lb")]
-    two = written(one.select("a", "b", *rest), "rest")
-    forget(one)
-    one = written(two.withColumn("suf", _common(F.col("la"), F.col("lb"), True)), "suffix")
-    forget(two)
-    two = written(one.select("a", "b", F.left("la", F.length("la") - F.col("suf")).alias("x"), F.left("lb", F.length("lb") - F.col("suf")).alias("y")), "middles")
+    coded = pairs.select("*", _code("la").alias("ca"), _code("lb").alias("cb")).select("*", F.least(_chars("ca"), _chars("cb")).alias("most"))
+    ends = [_common(F.col("ca"), F.col("cb"), F.col("most"), last).alias(name) for name, last in (("pre", False), ("suf", True))]
+    one = written(coded.select("a", "b", "la", "lb", "most", *ends), "ends")
+    cut = F.col("pre") + F.least(F.col("suf"), F.col("most") - F.col("pre"))  # the ends may overlap
+    two = written(one.select("a", "b", *[F.substring(F.col(c), F.col("pre") + 1, F.length(c) - cut).alias(x) for c, x in (("la", "x"), ("lb", "y"))]), "middles")
     forget(one)
     return two
 
@@ -200,14 +211,14 @@ def _hashed(lines: DataFrame) -> DataFrame:
 
 def near_links(lines: DataFrame, k: int = THRESHOLD, dense: int = DENSE_SEGMENT, parts: Sequence[int] = PARTS) -> DataFrame:
     """Pairs (a, b) of structs (h, g): distinct lines within ``k`` edits, such that their closure is
-    that of all pairs within ``k``. ``lines``: h, g, c (letter counts), line, each line of
-    ``LEAST_CHARS`` or more once; read several times."""
+    that of all pairs within ``k``. ``lines``: h, g, line, each line of ``LEAST_CHARS`` or more
+    once; read several times."""
     links, todo = None, lines
     for step, more in enumerate(parts):
         last = step == len(parts) - 1
         met, heads = _met(todo, k + more, k, None if last else dense * DENSE_RISE**step, rooted=step > 0)
         pairs = written(met.where("near").select(F.least("h", "h1").alias("h1"), F.greatest("h", "h1").alias("h2")).distinct(), "pairs")
-        found = _verified(_with_texts(pairs, todo), k)
+        found = _verified(_with_texts(pairs, todo, k), k)
         links = found if links is None else written(links.union(found), "links")
         if last or heads.isEmpty():
             return links
@@ -221,23 +232,27 @@ def near_links(lines: DataFrame, k: int = THRESHOLD, dense: int = DENSE_SEGMENT,
 
 def _met(lines: DataFrame, parts: int, k: int, dense: int | None, rooted: bool) -> tuple[DataFrame, DataFrame]:
     """(pairs, heads). Pairs (h, h1, key, crowded, near) of lines that meet in a bucket; in one of
-    more than ``dense`` lines, with its head only. Near are those that letters (and classes, if
-    ``rooted``) don't turn down. Heads: key, h and so on of such a bucket's least line."""
+    more than ``dense`` lines, with its head only. Near are those that letters and classes don't turn
+    down, if ``rooted``, and all otherwise. Heads: key, h and so on of such a bucket's least line."""
     layouts = _layouts(parts, k)
-    carry = ["h", "c", *(["m0", "m1", "root"] if rooted else [])]
-    indexed = written(_keys(lines, _own(layouts), parts, *carry), "index")
+    own = _own(layouts)
+    carry = ["h", *(["c", "m0", "m1", "root"] if rooted else [])]
+    indexed = written(_keys(lines, own, parts, *carry), "index")
+    shared = written(indexed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    several = written(indexed.join(small(shared, BROADCAST_ROWS), "key"), "several")
     first = F.min(F.struct(*carry)).alias("first")
-    heads = written(indexed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), first).where(F.lit(False) if dense is None else F.col("n") > dense).select("key", "first.*"), "heads")
+    heads = written(several.where(F.lit(False) if dense is None else F.col("n") > dense).groupBy("key").agg(first).select("key", "first.*"), "heads")
     crowded = small(heads, BROADCAST_ROWS)
     index = indexed.join(crowded, "key", "left_anti").withColumn("crowded", F.lit(False)).unionByName(heads.withColumn("crowded", F.lit(True)))
     i = index.select(F.col("key").alias("k1"), "crowded", *[F.col(c).alias(f"{c}1") for c in carry])
-    near = _letter_gap(F.col("c"), F.col("c1")) <= 2 * k
+    near = F.lit(True)
     if rooted:
         gaps = [_letter_gap(F.col(f"m{j}"), F.col(f"m{j}1"), letters) for j, letters in enumerate(MORE_LETTERS)]
         near = (sum(gaps, _letter_gap(F.col("c"), F.col("c1"))) <= 2 * k) & (F.col("root") != F.col("root1"))
-    met = _keys(lines, layouts, parts, *carry).join(i, (F.col("key") == F.col("k1")) & (F.col("h") != F.col("h1")) & (F.col("crowded") | near))
+    probes = _keys(lines, [x for x in layouts if x not in own], parts, *carry).unionByName(several.drop("n"))
+    met = probes.join(i, (F.col("key") == F.col("k1")) & (F.col("h") != F.col("h1")) & (F.col("crowded") | near))
     out = written(met.select("h", "h1", "key", "crowded", near.alias("near")), "met")
-    forget(indexed)
+    forget(indexed, shared, several)
     return out, heads
 
 
@@ -245,25 +260,29 @@ def _unlike(lines: DataFrame, crowd: DataFrame, links: DataFrame) -> DataFrame:
     """The lines of crowded buckets (h, key) in which lines of several classes meet, with their class
     as ``root`` and counts of more letters."""
     roots = connected_components(links).select(F.col("node.h").alias("h"), F.col("node.g").alias("g"), F.col("root").alias("found"))
-    here = lines.drop("root", "m0", "m1").join(small(written(crowd.select("h").distinct(), "names"), BROADCAST_ROWS), "h", "left_semi")
-    rows = written(here.join(roots, ["h", "g"], "left").select("h", "g", "c", "line", F.coalesce("found", F.struct("h", "g")).alias("root"), *[_letters(F.col("line"), x).alias(f"m{j}") for j, x in enumerate(MORE_LETTERS)]), "rooted")
+    here = lines.select("h", "g", "line").join(small(written(crowd.select("h").distinct(), "names"), BROADCAST_ROWS), "h", "left_semi")
+    rows = written(here.join(roots, ["h", "g"], "left").select("h", "g", _letters(F.col("line")).alias("c"), "line", F.coalesce("found", F.struct("h", "g")).alias("root"), *[_letters(F.col("line"), x).alias(f"m{j}") for j, x in enumerate(MORE_LETTERS)]), "rooted")
     of = crowd.join(rows.select("h", "root"), "h")
     mixed = written(of.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "mixed")
     names = crowd.join(small(mixed, BROADCAST_ROWS), "key", "left_semi").select("h").distinct()
     return written(rows.join(small(written(names, "names"), BROADCAST_ROWS), "h", "left_semi"), "unlike")
 
 
-def _with_texts(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(a, la, b, lb) of the pairs (h1, h2) of hashes."""
+def _with_texts(pairs: DataFrame, lines: DataFrame, k: int) -> DataFrame:
+    """(a, la, b, lb) of those pairs (h1, h2) of hashes that lengths and letters don't turn down."""
     names = small(written(pairs.select(F.col("h1").alias("h")).union(pairs.select("h2")).distinct(), "names"), BROADCAST_ROWS)
-    texts = written(lines.join(names, "h", "left_semi").select("h", "g", "line"), "texts")
+    texts = written(lines.join(names, "h", "left_semi").select("h", "g", "line", F.length("line").alias("n"), _letters(F.col("line")).alias("c")), "texts")
+    counts = small(texts.select("h", "n", "c"), BROADCAST_ROWS)
+    c1, c2 = (counts.select(*[F.col(x).alias(f"{x}{j}") for x in "hnc"]) for j in (1, 2))
+    like = (F.abs(F.col("n1") - F.col("n2")) <= k) & (_letter_gap(F.col("c1"), F.col("c2")) <= 2 * k)
+    likely = written(pairs.join(c1, "h1").join(c2, "h2").where(like).select("h1", "h2"), "likely")
     one = texts.select(F.col("h").alias("h1"), F.struct("h", "g").alias("a"), F.col("line").alias("la"))
     two = texts.select(F.col("h").alias("h2"), F.struct("h", "g").alias("b"), F.col("line").alias("lb"))
-    return pairs.join(one, "h1").join(two, "h2").select("a", "la", "b", "lb")
+    return likely.join(one, "h1").join(two, "h2").select("a", "la", "b", "lb")
 
 
 def _verified(pairs: DataFrame, k: int) -> DataFrame:
-    close = _trimmed(pairs.where(F.abs(F.length("la") - F.length("lb")) <= k))
+    close = _trimmed(pairs)
     return written(close.where(edit_distance(F.col("x"), F.col("y"), k) <= k).select("a", "b"), "links")
 
 
@@ -277,7 +296,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     copied = written(counted.select("h", "g", "at"), "copied")
     # of a line that occurs more than once, its first occurrence stands for it
     usable = scan.where(F.length("line") >= LEAST_CHARS).where("h IS NOT NULL").join(small(copied, BROADCAST_ROWS), ["h", "g"], "left")
-    once = usable.where(F.col("at").isNull() | F.struct("id", "dk", "pos").eqNullSafe(F.col("at"))).select("h", "g", _letters(F.col("line")).alias("c"), "line")
+    once = usable.where(F.col("at").isNull() | F.struct("id", "dk", "pos").eqNullSafe(F.col("at"))).select("h", "g", "line")
     near = connected_components(near_links(written(once, "lines"), k, dense))
     named = near.select(F.col("node.h").alias("h"), F.col("node.g").alias("g"), F.col("root").alias("class"))
     alone = copied.join(named.select("h", "g"), ["h", "g"], "left_anti").select("h", "g", F.struct("h", "g").alias("class"))
