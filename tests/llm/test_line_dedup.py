@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weekloom.llm import line_dedup
+from weekloom.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -156,3 +157,45 @@ def test_a_line_costs_its_keys_once_and_is_counted_if_it_meets(spark, monkeypatc
     assert found >= set(map(frozenset, near))
     assert sum(keys) == 12  # 15 if the three of the index were made again
     assert counted == [2 * len(near)]
+
+
+def test_few_links_in_one_partition_give_the_same_classes(spark):
+    rng = random.Random(10)
+    edges = spark.createDataFrame([(rng.randrange(300), rng.randrange(300)) for _ in range(160)], "a long, b long").repartition(7)
+    apart, together = (sorted(map(tuple, connected_components(edges, few=few).collect())) for few in (0, 160))
+    assert apart == together and len({r for _, r in apart}) > 20
+
+
+def rows_met(spark, monkeypatch, texts):
+    """Links as pairs of texts, and how many pairs of lines met, letters turned down and were verified."""
+    met, write = [], line_dedup.written
+
+    def seen(df, name):
+        found = write(df, name)
+        if name in ("pairs", "likely", "middles"):
+            met.append(found.count())
+        return found
+
+    with monkeypatch.context() as m:
+        m.setattr(line_dedup, "written", seen)
+        lines = spark.createDataFrame(list(enumerate(texts)), "h long, line string").select("h", F.lit(0).cast("long").alias("g"), "line")
+        found = {frozenset((texts[r.a.h], texts[r.b.h])) for r in line_dedup.near_links(lines).collect()}
+    return found, sum(met)
+
+
+def test_near_copies_beyond_two_edits_meet_few(spark, monkeypatch):
+    """Copies of a line with four letters put in at a random place: no two are within two edits but
+    those made so. What meets grows with their number, not with its square."""
+    rng = random.Random(9)
+    base = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(50))
+    copies = []
+    while len(copies) < 800:
+        i = rng.randrange(len(base))
+        copies.append(base[:i] + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) + base[i:])
+    near = [x[:-1] + "#" for x in copies[:20]]
+    few, n1 = rows_met(spark, monkeypatch, copies[:400] + near)
+    many, n2 = rows_met(spark, monkeypatch, copies + near)
+    for a, b in zip(copies, near, strict=False):
+        assert frozenset((a, b)) in few and frozenset((a, b)) in many
+    assert all(distance(*pair) <= 2 for pair in map(tuple, many))
+    assert n2 <= 3 * n1 and n2 <= 50 * len(copies), (n1, n2)

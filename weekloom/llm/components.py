@@ -19,22 +19,24 @@ def _star(edges: DataFrame) -> DataFrame:
     return edges.join(least, "u")
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, few: int = 0) -> DataFrame:
     """Rows (node, root) for every node of ``edges``; root is the smallest node reachable.
 
     Null ends and loops are ignored. An empty table gives an empty result. ``max_rounds`` is a
     guard against a defect only: rounds grow with the logarithm of the longest chain, and running
-    out of them raises.
+    out of them raises. Edges that are counted to be at most ``few`` are kept in one partition, so
+    that a round of them has no shuffles; none are by default.
     """
     e = edges.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).where("u < v").distinct()
     e = written(e, "edges")
+    together = (lambda t: t.coalesce(1)) if few and e.count() <= few else (lambda t: t)
     seen = None
     for _ in range(max_rounds):
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = together(e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # every edge now points from the larger end (u) to a smaller one (v)
         stars = _star(large)
-        little = stars.select(F.col("v").alias("a"), F.col("m").alias("b")).union(stars.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
+        little = together(stars.select(F.col("v").alias("a"), F.col("m").alias("b")).union(stars.select(F.col("u").alias("a"), F.col("m").alias("b")))).where("a <> b").distinct()
         last, e = e, written(little.select(F.col("b").alias("u"), F.col("a").alias("v")), "edges")
         forget(last)
         now = e.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()

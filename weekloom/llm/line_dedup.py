@@ -40,13 +40,15 @@ THRESHOLD = 2
 LEAST_CHARS = 20
 #: Lines of a segment from which they meet the least of them only; and by how much that rises from
 #: one step to the next, as the keys of a line do.
-DENSE_SEGMENT, DENSE_RISE = 16, 32
+DENSE_SEGMENT, DENSE_RISE = 8, 32
 #: Segments beyond k in each step.
 PARTS = (1, 3, 14, 46)
 #: Rows of hashes up to which a table is broadcast (about 24 bytes each).
 BROADCAST_ROWS = 1_000_000
+#: Links up to which classes are found in one partition, without a shuffle.
+FEW_LINKS = 4096
 #: Letters that are counted, eight at most to a column, of one byte each: first, and in later steps.
-LETTERS, MORE_LETTERS = " ent", ("aoirshdl", "cumgpwfy")
+LETTERS, MORE_LETTERS = " entaoir", ("shdlcumg", "pwfybkvj", "01234567")
 #: Lines whose flags one number holds.
 WORD_BITS = 63
 #: Bytes of a character in the form that segments are cut from.
@@ -218,11 +220,11 @@ def near_links(lines: DataFrame, k: int = THRESHOLD, dense: int = DENSE_SEGMENT,
         last = step == len(parts) - 1
         met, heads = _met(todo, k + more, k, None if last else dense * DENSE_RISE**step, rooted=step > 0)
         pairs = written(met.where("near").select(F.least("h", "h1").alias("h1"), F.greatest("h", "h1").alias("h2")).distinct(), "pairs")
-        found = _verified(_with_texts(pairs, todo, k), k)
+        found = _verified(_with_texts(pairs, todo, k, counted=step > 0), k)
         links = found if links is None else written(links.union(found), "links")
         if last or heads.isEmpty():
             return links
-        crowd = written(met.where("crowded").select("h", "key").union(heads.select("h", "key")).distinct(), "crowd")
+        crowd = written(met.where("crowded").select("h", "key").union(heads.select("h", "key")), "crowd")
         forget(met, heads)
         todo = _unlike(todo, crowd, links)
         if todo.isEmpty():
@@ -236,12 +238,12 @@ def _met(lines: DataFrame, parts: int, k: int, dense: int | None, rooted: bool)
     down, if ``rooted``, and all otherwise. Heads: key, h and so on of such a bucket's least line."""
     layouts = _layouts(parts, k)
     own = _own(layouts)
-    carry = ["h", *(["c", "m0", "m1", "root"] if rooted else [])]
+    carry = ["h", *(["c", *(f"m{j}" for j in range(len(MORE_LETTERS))), "root"] if rooted else [])]
     indexed = written(_keys(lines, own, parts, *carry), "index")
     shared = written(indexed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
     several = written(indexed.join(small(shared, BROADCAST_ROWS), "key"), "several")
-    first = F.min(F.struct(*carry)).alias("first")
-    heads = written(several.where(F.lit(False) if dense is None else F.col("n") > dense).groupBy("key").agg(first).select("key", "first.*"), "heads")
+    most = several.where(F.lit(False) if dense is None else F.col("n") > dense)
+    heads = written(most.drop("n") if most.isEmpty() else most.groupBy("key").agg(F.min(F.struct(*carry)).alias("first")).select("key", "first.*"), "heads")
     crowded = small(heads, BROADCAST_ROWS)
     index = indexed.join(crowded, "key", "left_anti").withColumn("crowded", F.lit(False)).unionByName(heads.withColumn("crowded", F.lit(True)))
     i = index.select(F.col("key").alias("k1"), "crowded", *[F.col(c).alias(f"{c}1") for c in carry])
@@ -259,23 +261,25 @@ def _met(lines: DataFrame, parts: int, k: int, dense: int | None, rooted: bool)
 def _unlike(lines: DataFrame, crowd: DataFrame, links: DataFrame) -> DataFrame:
     """The lines of crowded buckets (h, key) in which lines of several classes meet, with their class
     as ``root`` and counts of more letters."""
-    roots = connected_components(links).select(F.col("node.h").alias("h"), F.col("node.g").alias("g"), F.col("root").alias("found"))
-    here = lines.select("h", "g", "line").join(small(written(crowd.select("h").distinct(), "names"), BROADCAST_ROWS), "h", "left_semi")
+    roots = connected_components(links, few=FEW_LINKS).select(F.col("node.h").alias("h"), F.col("node.g").alias("g"), F.col("root").alias("found"))
+    here = lines.select("h", "g", "line").join(small(crowd.select("h"), BROADCAST_ROWS), "h", "left_semi")
     rows = written(here.join(roots, ["h", "g"], "left").select("h", "g", _letters(F.col("line")).alias("c"), "line", F.coalesce("found", F.struct("h", "g")).alias("root"), *[_letters(F.col("line"), x).alias(f"m{j}") for j, x in enumerate(MORE_LETTERS)]), "rooted")
     of = crowd.join(rows.select("h", "root"), "h")
     mixed = written(of.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "mixed")
-    names = crowd.join(small(mixed, BROADCAST_ROWS), "key", "left_semi").select("h").distinct()
+    names = crowd.join(small(mixed, BROADCAST_ROWS), "key", "left_semi").select("h")
     return written(rows.join(small(written(names, "names"), BROADCAST_ROWS), "h", "left_semi"), "unlike")
 
 
-def _with_texts(pairs: DataFrame, lines: DataFrame, k: int) -> DataFrame:
-    """(a, la, b, lb) of those pairs (h1, h2) of hashes that lengths and letters don't turn down."""
-    names = small(written(pairs.select(F.col("h1").alias("h")).union(pairs.select("h2")).distinct(), "names"), BROADCAST_ROWS)
-    texts = written(lines.join(names, "h", "left_semi").select("h", "g", "line", F.length("line").alias("n"), _letters(F.col("line")).alias("c")), "texts")
-    counts = small(texts.select("h", "n", "c"), BROADCAST_ROWS)
-    c1, c2 = (counts.select(*[F.col(x).alias(f"{x}{j}") for x in "hnc"]) for j in (1, 2))
-    like = (F.abs(F.col("n1") - F.col("n2")) <= k) & (_letter_gap(F.col("c1"), F.col("c2")) <= 2 * k)
-    likely = written(pairs.join(c1, "h1").join(c2, "h2").where(like).select("h1", "h2"), "likely")
+def _with_texts(pairs: DataFrame, lines: DataFrame, k: int, counted: bool) -> DataFrame:
+    """(a, la, b, lb) of those pairs (h1, h2) of hashes that letters don't turn down, or of all that
+    were ``counted`` where they met."""
+    names = small(pairs.select(F.col("h1").alias("h")).union(pairs.select("h2")), BROADCAST_ROWS)
+    here = lines.join(names, "h", "left_semi")
+    texts = written(here.select("h", "g", "line", *([] if counted else [_letters(F.col("line")).alias("c")])), "texts")
+    likely = pairs
+    if not counted:
+        c1, c2 = (small(texts.select(F.col("h").alias(f"h{j}"), F.col("c").alias(f"c{j}")), BROADCAST_ROWS) for j in (1, 2))
+        likely = written(pairs.join(c1, "h1").join(c2, "h2").where(_letter_gap(F.col("c1"), F.col("c2")) <= 2 * k).select("h1", "h2"), "likely")
     one = texts.select(F.col("h").alias("h1"), F.struct("h", "g").alias("a"), F.col("line").alias("la"))
     two = texts.select(F.col("h").alias("h2"), F.struct("h", "g").alias("b"), F.col("line").alias("lb"))
     return likely.join(one, "h1").join(two, "h2").select("a", "la", "b", "lb")
@@ -297,7 +301,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     # of a line that occurs more than once, its first occurrence stands for it
     usable = scan.where(F.length("line") >= LEAST_CHARS).where("h IS NOT NULL").join(small(copied, BROADCAST_ROWS), ["h", "g"], "left")
     once = usable.where(F.col("at").isNull() | F.struct("id", "dk", "pos").eqNullSafe(F.col("at"))).select("h", "g", "line")
-    near = connected_components(near_links(written(once, "lines"), k, dense))
+    near = connected_components(near_links(written(once, "lines"), k, dense), few=FEW_LINKS)
     named = near.select(F.col("node.h").alias("h"), F.col("node.g").alias("g"), F.col("root").alias("class"))
     alone = copied.join(named.select("h", "g"), ["h", "g"], "left_anti").select("h", "g", F.struct("h", "g").alias("class"))
     return seen, written(named.unionByName(alone), "classes")
