@@ -199,3 +199,27 @@ def test_near_copies_beyond_two_edits_meet_few(spark, monkeypatch):
         assert frozenset((a, b)) in few and frozenset((a, b)) in many
     assert all(distance(*pair) <= 2 for pair in map(tuple, many))
     assert n2 <= 3 * n1 and n2 <= 50 * len(copies), (n1, n2)
+
+
+def test_the_pipelines_line_stage_meets_few_near_copies(spark, monkeypatch):
+    """The stage of the pipeline on documents of one near copy each: all but true repeats stay."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    base = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(50))
+    spots = [rng.randrange(len(base)) for _ in range(500)]
+    copies = list(dict.fromkeys(base[:i] + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) + base[i:] for i in spots))
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in enumerate(copies + [copies[7][:-1] + "#"])], SCHEMA)
+    met, write = [], line_dedup.written
+
+    def seen(df, name):
+        found = write(df, name)
+        if name in ("pairs", "likely", "middles"):
+            met.append(found.count())
+        return found
+
+    monkeypatch.setattr(line_dedup, "written", seen)
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    assert len(got) == len(copies) + 1 and got[len(copies)] == ("", 0)
+    assert sum(1 for t, _ in got.values() if t) >= len(copies) - 20
+    assert sum(met) <= 50 * len(copies), sum(met)
