@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weekloom.llm import line_dedup
+from weekloom.llm import components, line_dedup
 from weekloom.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -223,3 +223,28 @@ def test_the_pipelines_line_stage_meets_few_near_copies(spark, monkeypatch):
     assert len(got) == len(copies) + 1 and got[len(copies)] == ("", 0)
     assert sum(1 for t, _ in got.values() if t) >= len(copies) - 20
     assert sum(met) <= 50 * len(copies), sum(met)
+
+
+def test_the_pipelines_line_stage_runs_few_queries(spark, monkeypatch):
+    """Tables are counted as they are written, so the stage runs one query for each table that it
+    writes: counts and looks for rows had been almost as many again, each with its plan, stages and
+    broadcasts on the driver."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    line = lambda: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(12))
+    lines = [line() for _ in range(60)]
+    crowd = [lines[0][:i] + "q" + lines[0][i + 1 :] for i in range(40)]
+    texts = [*lines, *crowd, *(x[:-1] + "#" for x in lines[1:9]), *lines[:5]]
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in enumerate(texts)], SCHEMA)
+    names, write = [], line_dedup.written
+    for module in (line_dedup, components):
+        monkeypatch.setattr(module, "written", lambda df, name: names.append(name) or write(df, name))
+    executions = spark._jsparkSession.sharedState().statusStore()
+    before = executions.executionsCount()
+    out = corpus_pipeline.lines(spark, docs, "")
+    ran = executions.executionsCount() - before
+    kept = {r.doc_id for r in out.collect() if r.text}
+    assert kept == set(range(60))
+    assert {"heads", "unlike", "first"} <= set(names)
+    assert ran <= len(names), (ran, len(names))

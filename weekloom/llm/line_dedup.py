@@ -33,7 +33,7 @@ from itertools import combinations, groupby, product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weekloom.llm.common import forget, scratch, small, written
+from weekloom.llm.common import counted, forget, scratch, small, written
 from weekloom.llm.components import connected_components
 
 THRESHOLD = 2
@@ -219,15 +219,15 @@ def near_links(lines: DataFrame, k: int = THRESHOLD, dense: int = DENSE_SEGMENT,
     for step, more in enumerate(parts):
         last = step == len(parts) - 1
         met, heads = _met(todo, k + more, k, None if last else dense * DENSE_RISE**step, rooted=step > 0)
-        pairs = written(met.where("near").select(F.least("h", "h1").alias("h1"), F.greatest("h", "h1").alias("h2")).distinct(), "pairs")
-        found = _verified(_with_texts(pairs, todo, k, counted=step > 0), k)
+        pairs = written(counted(met.where("near").select(F.least("h", "h1").alias("h1"), F.greatest("h", "h1").alias("h2")).distinct()), "pairs")
+        found = _verified(_with_texts(pairs, todo, k, letters=step == 0), k)
         links = found if links is None else written(links.union(found), "links")
-        if last or heads.isEmpty():
+        if last or not heads.measured["rows"]:
             return links
-        crowd = written(met.where("crowded").select("h", "key").union(heads.select("h", "key")), "crowd")
+        crowd = written(counted(met.where("crowded").select("h", "key").union(heads.select("h", "key"))), "crowd")
         forget(met, heads)
         todo = _unlike(todo, crowd, links)
-        if todo.isEmpty():
+        if not todo.measured["rows"]:
             return links
     return links
 
@@ -240,10 +240,11 @@ def _met(lines: DataFrame, parts: int, k: int, dense: int | None, rooted: bool)
     own = _own(layouts)
     carry = ["h", *(["c", *(f"m{j}" for j in range(len(MORE_LETTERS))), "root"] if rooted else [])]
     indexed = written(_keys(lines, own, parts, *carry), "index")
-    shared = written(indexed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
-    several = written(indexed.join(small(shared, BROADCAST_ROWS), "key"), "several")
+    shared = written(counted(indexed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")), "shared")
+    several = written(counted(indexed.join(small(shared, BROADCAST_ROWS), "key"), most=F.max("n")), "several")
     most = several.where(F.lit(False) if dense is None else F.col("n") > dense)
-    heads = written(most.drop("n") if most.isEmpty() else most.groupBy("key").agg(F.min(F.struct(*carry)).alias("first")).select("key", "first.*"), "heads")
+    none = dense is None or (several.measured["most"] or 0) <= dense
+    heads = written(counted(most.drop("n") if none else most.groupBy("key").agg(F.min(F.struct(*carry)).alias("first")).select("key", "first.*")), "heads")
     crowded = small(heads, BROADCAST_ROWS)
     index = indexed.join(crowded, "key", "left_anti").withColumn("crowded", F.lit(False)).unionByName(heads.withColumn("crowded", F.lit(True)))
     i = index.select(F.col("key").alias("k1"), "crowded", *[F.col(c).alias(f"{c}1") for c in carry])
@@ -262,23 +263,23 @@ def _unlike(lines: DataFrame, crowd: DataFrame, links: DataFrame) -> DataFrame:
     """The lines of crowded buckets (h, key) in which lines of several classes meet, with their class
     as ``root`` and counts of more letters."""
     roots = connected_components(links, few=FEW_LINKS).select(F.col("node.h").alias("h"), F.col("node.g").alias("g"), F.col("root").alias("found"))
-    here = lines.select("h", "g", "line").join(small(crowd.select("h"), BROADCAST_ROWS), "h", "left_semi")
+    here = lines.select("h", "g", "line").join(small(crowd.select("h"), BROADCAST_ROWS, crowd.measured["rows"]), "h", "left_semi")
     rows = written(here.join(roots, ["h", "g"], "left").select("h", "g", _letters(F.col("line")).alias("c"), "line", F.coalesce("found", F.struct("h", "g")).alias("root"), *[_letters(F.col("line"), x).alias(f"m{j}") for j, x in enumerate(MORE_LETTERS)]), "rooted")
     of = crowd.join(rows.select("h", "root"), "h")
-    mixed = written(of.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "mixed")
+    mixed = written(counted(of.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")), "mixed")
     names = crowd.join(small(mixed, BROADCAST_ROWS), "key", "left_semi").select("h")
-    return written(rows.join(small(written(names, "names"), BROADCAST_ROWS), "h", "left_semi"), "unlike")
+    return written(counted(rows.join(small(written(counted(names), "names"), BROADCAST_ROWS), "h", "left_semi")), "unlike")
 
 
-def _with_texts(pairs: DataFrame, lines: DataFrame, k: int, counted: bool) -> DataFrame:
-    """(a, la, b, lb) of those pairs (h1, h2) of hashes that letters don't turn down, or of all that
-    were ``counted`` where they met."""
-    names = small(pairs.select(F.col("h1").alias("h")).union(pairs.select("h2")), BROADCAST_ROWS)
+def _with_texts(pairs: DataFrame, lines: DataFrame, k: int, letters: bool) -> DataFrame:
+    """(a, la, b, lb) of the pairs (h1, h2) of hashes; with ``letters``, of those that they don't
+    turn down: in later steps they did where lines met."""
+    names = small(pairs.select(F.col("h1").alias("h")).union(pairs.select("h2")), BROADCAST_ROWS, 2 * pairs.measured["rows"])
     here = lines.join(names, "h", "left_semi")
-    texts = written(here.select("h", "g", "line", *([] if counted else [_letters(F.col("line")).alias("c")])), "texts")
+    texts = written(counted(here.select("h", "g", "line", *([_letters(F.col("line")).alias("c")] if letters else []))), "texts")
     likely = pairs
-    if not counted:
-        c1, c2 = (small(texts.select(F.col("h").alias(f"h{j}"), F.col("c").alias(f"c{j}")), BROADCAST_ROWS) for j in (1, 2))
+    if letters:
+        c1, c2 = (small(texts.select(F.col("h").alias(f"h{j}"), F.col("c").alias(f"c{j}")), BROADCAST_ROWS, texts.measured["rows"]) for j in (1, 2))
         likely = written(pairs.join(c1, "h1").join(c2, "h2").where(_letter_gap(F.col("c1"), F.col("c2")) <= 2 * k).select("h1", "h2"), "likely")
     one = texts.select(F.col("h").alias("h1"), F.struct("h", "g").alias("a"), F.col("line").alias("la"))
     two = texts.select(F.col("h").alias("h2"), F.struct("h", "g").alias("b"), F.col("line").alias("lb"))
@@ -296,15 +297,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     scan = _hashed(_lines(docs, id_col, text_col))
     seen = written(scan.select("id", "dk", "pos", "h", "g"), "seen")
     there = seen.where("h IS NOT NULL")
-    counted = there.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "dk", "pos")).alias("at")).where("n > 1")
-    copied = written(counted.select("h", "g", "at"), "copied")
+    often = there.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "dk", "pos")).alias("at")).where("n > 1")
+    copied = written(counted(often.select("h", "g", "at")), "copied")
     # of a line that occurs more than once, its first occurrence stands for it
     usable = scan.where(F.length("line") >= LEAST_CHARS).where("h IS NOT NULL").join(small(copied, BROADCAST_ROWS), ["h", "g"], "left")
     once = usable.where(F.col("at").isNull() | F.struct("id", "dk", "pos").eqNullSafe(F.col("at"))).select("h", "g", "line")
     near = connected_components(near_links(written(once, "lines"), k, dense), few=FEW_LINKS)
     named = near.select(F.col("node.h").alias("h"), F.col("node.g").alias("g"), F.col("root").alias("class"))
     alone = copied.join(named.select("h", "g"), ["h", "g"], "left_anti").select("h", "g", F.struct("h", "g").alias("class"))
-    return seen, written(named.unionByName(alone), "classes")
+    return seen, written(counted(named.unionByName(alone)), "classes")
 
 
 def flagged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = THRESHOLD, dense: int = DENSE_SEGMENT) -> DataFrame:
@@ -312,7 +313,7 @@ def flagged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     ``WORD_BITS`` to a number, and how many are set."""
     seen, roots = classes(docs, id_col, text_col, k, dense)
     rows = written(seen.where("h IS NOT NULL").join(small(roots, BROADCAST_ROWS), ["h", "g"]).select("id", "dk", "pos", "class"), "members")
-    stays = small(written(rows.groupBy("class").agg(F.min(F.struct("id", "dk", "pos")).alias("first")), "first"), BROADCAST_ROWS)
+    stays = small(written(counted(rows.groupBy("class").agg(F.min(F.struct("id", "dk", "pos")).alias("first"))), "first"), BROADCAST_ROWS)
     drops = rows.join(stays, "class").where(~F.struct("id", "dk", "pos").eqNullSafe(F.col("first")))
     bit = F.expr(f"shiftleft(1L, pos % {WORD_BITS})")
     words = drops.groupBy("id", "dk", F.expr(f"cast(pos div {WORD_BITS} AS int)").alias("w")).agg(F.bit_or(bit).alias("bits"))
